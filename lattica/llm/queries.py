@@ -23,12 +23,28 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_docs(spark, sf_dir))
 
 
+def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lattica.llm.pfor import encode_and_read
+
+    return encode_and_read(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.mixing import mixed
 
     return mixed(_docs(spark, sf_dir))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lattica.llm.bpe import digests
+
+    return digests(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}
 
