@@ -67,6 +67,22 @@ def bitmap(keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
     return out
 
 
+def low_bits_bitmap(keys: DataFrame, column: str, most: int = 27) -> tuple[int, np.ndarray]:
+    """(bits, words) like bitmap(), for a column that is a hash itself, read from its low bits.
+
+    About eight bits for each key as long as that is no more than 2**most bits (16 MB).
+    """
+    n = keys.count()
+    bits = min(most, max(12, (8 * n).bit_length()))
+    bit = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    words = (
+        keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("mask")).toPandas()
+    )
+    out = np.zeros((1 << bits) // 64, np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).view(np.uint64)
+    return bits, out
+
+
 def bit_column(key: Column, bits: int = BITMAP_BITS) -> Column:
     """The bit of a key, for in_bitmap() in a Python operator."""
     return _bit(key, bits)
