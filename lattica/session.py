@@ -26,3 +26,11 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(path, os.path.join("lattica", os.path.relpath(path, top)))
     spark.sparkContext.addPyFile(target)
     _shipped.add(app)
+
+
+def checkpointed(df):
+    """df cut from its lineage by a reliable checkpoint in the cluster's shared folder; a local one only where none is set."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lattica-')}")
+    return df.checkpoint()
