@@ -53,16 +53,16 @@ TABLES: dict[str, tuple[str, str, list[tuple[str, str]]]] = {
     "texts": ("documents", "true", [("path", "'d' || CAST(doc_id AS STRING)"), ("text", "text")]),
     # extraction results, before any resolution: a file, the ordinal in it, and names
     "raw_symbols": ("part", "true", [
-        ("file", "'src/m' || CAST(p_partkey % 40 AS STRING) || '/x.cpp'"), ("ordinal", "CAST(p_partkey AS INT)"), ("name", _NAME), ("qualified_name", f"{_BRAND} || '::n' || CAST(p_partkey * 7 % 90 AS STRING)"),
+        ("file", "'src/m' || CAST(p_partkey % 40 AS STRING) || '/x.cpp'"), ("ordinal", "CAST(p_partkey AS INT)"), ("name", _NAME), ("qualified_name", f"{_BRAND} || '::n' || CAST(p_partkey * 7 % 9 AS STRING)"),
         ("kind", "CASE WHEN p_partkey % 10 <= 8 THEN 'function' ELSE 'gadget' END"), ("sub_kind", "CAST(NULL AS STRING)"), ("file_path", "'src/m' || CAST(p_partkey % 40 AS STRING) || '/x.cpp'"),
         ("line", "CAST(p_size % 3 AS INT)"), ("column", "1"), ("end_line", "CAST(NULL AS INT)"), ("is_definition", "p_partkey % 4 = 0"), ("return_type", "CAST(NULL AS STRING)"), ("parameters", "CAST(NULL AS STRING)"),
         ("access", "CAST(NULL AS STRING)"), ("attributes", "CAST(NULL AS STRING)")]),
     "raw_calls": ("orders", "o_orderpriority = '5-LOW'", [
-        ("file", "'src/m' || CAST(o_custkey % 40 AS STRING) || '/x.cpp'"), ("ordinal", "CAST(o_orderkey AS INT)"), ("caller", "'brand' || CAST(o_custkey % 5 + 1 AS STRING) || CAST(o_orderkey % 5 + 1 AS STRING) || '::n' || CAST(o_custkey % 90 AS STRING)"),
-        ("callee", "'brand' || CAST(o_orderkey % 5 + 1 AS STRING) || CAST(o_custkey % 5 + 1 AS STRING) || '::n' || CAST(o_orderkey % 95 AS STRING)"), ("line", "CAST(o_orderkey % 200 + 1 AS INT)"), ("column", "1"),
+        ("file", "'src/m' || CAST(o_custkey % 40 AS STRING) || '/x.cpp'"), ("ordinal", "CAST(o_orderkey AS INT)"), ("caller", "'brand' || CAST(o_custkey % 5 + 1 AS STRING) || CAST(o_orderkey % 5 + 1 AS STRING) || '::n' || CAST(o_custkey % 9 AS STRING)"),
+        ("callee", "'brand' || CAST(o_orderkey % 5 + 1 AS STRING) || CAST(o_custkey % 5 + 1 AS STRING) || '::n' || CAST(o_orderkey % 10 AS STRING)"), ("line", "CAST(o_orderkey % 200 + 1 AS INT)"), ("column", "1"),
         ("is_virtual", "false"), ("is_indirect", "false")]),
     "raw_references": ("orders", "o_orderpriority = '2-HIGH'", [
-        ("file", "'src/m' || CAST(o_custkey % 40 AS STRING) || '/x.cpp'"), ("ordinal", "CAST(o_orderkey AS INT)"), ("symbol_name", "'brand' || CAST(o_custkey % 5 + 1 AS STRING) || CAST(o_orderkey % 5 + 1 AS STRING) || '::n' || CAST(o_custkey % 90 AS STRING)"),
+        ("file", "'src/m' || CAST(o_custkey % 40 AS STRING) || '/x.cpp'"), ("ordinal", "CAST(o_orderkey AS INT)"), ("symbol_name", "'brand' || CAST(o_custkey % 5 + 1 AS STRING) || CAST(o_orderkey % 5 + 1 AS STRING) || '::n' || CAST(o_custkey % 9 AS STRING)"),
         ("line", "CAST(o_orderkey % 300 + 1 AS INT)"), ("column", "1"), ("ref_kind", "CASE o_orderstatus WHEN 'O' THEN 'read' WHEN 'F' THEN 'write' ELSE 'odd' END")]),
     "compile_entries": ("part", "true", [("directory", "'/old/base/w' || CAST(p_size % 5 AS STRING)"), ("file", "'/old/base/w' || CAST(p_size % 5 AS STRING) || '/' || " + _NAME + " || '.cpp'"), ("command", "p_type"), ("output", "CAST(p_partkey AS STRING)")]),
     "dir_entries": ("part", "true", [("name", "CASE WHEN p_partkey % 9 = 0 THEN '.' ELSE '' END || p_name || CAST(p_partkey AS STRING)"), ("path", "'/r/' || p_name || CAST(p_partkey AS STRING)"), ("is_dir", "p_partkey % 3 = 0"), ("size", "CAST(p_size AS BIGINT)")]),
