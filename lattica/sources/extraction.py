@@ -24,24 +24,27 @@ def read_json(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
 
 def decoded(documents: DataFrame) -> DataFrame:
     """file, json -> file and nested columns. Fields of REQUIRED must be there, others may be absent; nested JSON within
-    parameters and attributes stays text."""
-    parsed = documents.select("file", F.from_json("json", EXTRACTION, {"mode": "FAILFAST"}).alias("r"))
+    parameters and attributes stays text. Null documents have no rows of any kind (a filter on them may run later)."""
+    parsed = documents.select("file", F.col("json").isNotNull().alias("there"), F.from_json("json", EXTRACTION, {"mode": "FAILFAST"}).alias("r"))
     checked = []
     for field, names in REQUIRED.items():
         value = F.col(f"r.{field}")
-        missing = F.exists(value, lambda x, names=names: _any_null(x, names))
+        missing = F.exists(value, _lacks(names))
         absent = F.lit(False) if field == "references" else value.isNull()
         error = F.raise_error(F.concat(F.lit(f"a required field of {field} is missing in "), "file"))
-        kept = F.when(absent | F.coalesce(missing, F.lit(False)), error.cast(parsed.select(value).schema[0].dataType)).otherwise(F.coalesce(value, F.array().cast(parsed.select(value).schema[0].dataType)))
+        kept = F.when(F.col("there") & (absent | F.coalesce(missing, F.lit(False))), error.cast(parsed.select(value).schema[0].dataType)).otherwise(F.coalesce(value, F.array().cast(parsed.select(value).schema[0].dataType)))
         checked.append(kept.alias(field))
     return parsed.select("file", *checked)
 
 
-def _any_null(x: Column, names: tuple[str, ...]) -> Column:
-    out = x[names[0]].isNull()
-    for n in names[1:]:
-        out = out | x[n].isNull()
-    return out
+def _lacks(names: tuple[str, ...]) -> Callable[[Column], Column]:
+    def any_null(x: Column) -> Column:
+        out = x[names[0]].isNull()
+        for n in names[1:]:
+            out = out | x[n].isNull()
+        return out
+
+    return any_null
 
 
 def extracted(files: DataFrame, extractor: Extractor) -> DataFrame:
