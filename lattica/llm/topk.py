@@ -150,6 +150,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, sh
 
         dealt = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         keys = ["dim", "shard", "block"]
+        # both sides come from one table; new names of their columns keep them apart
+        q, dealt = (df.select(*(F.col(c).alias(c) for c in df.columns)) for df in (q, dealt))
         return q.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(work, _PART)
 
     first = written(searched(queries.withColumn("shard", F.col("home")).withColumn("floor", F.lit(float("-inf")))), "topk-home")
@@ -157,7 +159,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, sh
     if shards > 1:
         reached = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
         floor = F.coalesce(F.when(F.col("n") >= k, F.col("least").cast("double")), F.lit(float("-inf")))
-        bounded = queries.join(reached, queries["vec_id"] == reached["query_id"], "left").withColumn("floor", floor)
+        bounded = queries.join(reached.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("floor", floor)
         away = bounded.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != F.col("home"))
         found = first.unionByName(searched(away.select("vec_id", "dim", "v", "block", "shard", "floor")))
     # k rows a shard at most for each query: sorted as one array of a query
