@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from lattica.llm.kernels import Rolling, U, column_bytes, mix, slices
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Distinct pieces whose ids a worker keeps; beyond it the store starts afresh.
-KEPT_PIECES = 400_000
+#: Distinct pieces whose ids a worker keeps (some 50 bytes each); beyond it the store starts afresh.
+KEPT_PIECES = 1_500_000
 _LETTER, _NUMBER, _BLANK, _OTHER = range(4)
 
 
@@ -46,6 +46,7 @@ class PrefixBpe:
         self.tokens = {i: t for t, i in ranks.items()}
         self._pairs: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
+        self._spines: tuple[dict, dict] = {}, {}
         self._finder = ahocorasick.Automaton()
         for t, i in ranks.items():
             self._finder.add_word(t.decode("latin-1"), (i, len(t)))
@@ -55,18 +56,23 @@ class PrefixBpe:
         for i, t in self.tokens.items():
             sizes[i] = len(t)
         self._ends = np.cumsum(sizes)
-        self._sizes = sizes
+        self._sizes, self._size_list, self.longest = sizes, sizes.tolist(), int(sizes.max(initial=1))
         self._bytes = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(most)), np.uint8)
 
-    def merged(self, data: bytes) -> list[int]:
-        """The defining encoding, by merging the adjacent pair of the least rank; only asked about one or two tokens."""
+    def merged(self, data: bytes, until: int = 1) -> list[int]:
+        """The defining encoding, by merging the adjacent pair of the least rank, leftmost first, down to `until` parts."""
+        ranks, none = self.ranks, 1 << 60
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
-            if parts[best] + parts[best + 1] not in self.ranks:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return [self.ranks[p] for p in parts]
+        pairs = [ranks.get(parts[i] + parts[i + 1], none) for i in range(len(parts) - 1)]
+        while len(parts) > until and (least := min(pairs)) < none:
+            i = pairs.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+        return [ranks[p] for p in parts]
 
     def starts(self, token: int) -> bool:
         """Whether the token's bytes alone encode to it."""
@@ -74,41 +80,74 @@ class PrefixBpe:
             ok = self._whole[token] = self.merged(self.tokens[token]) == [token]
         return ok
 
+    def spine(self, token: int, side: int) -> list[tuple[bytes, int, int]]:
+        """The parts that stood at the token's left (0) or right (1) edge while it was merged, last first: the part's
+        bytes, the rank that made it, and the rank of the merge that took it in."""
+        if (found := self._spines[side].get(token)) is None:
+            found, part, taken = [], token, 1 << 60
+            while True:
+                data = self.tokens[part]
+                single = len(data) == 1
+                found.append((data, -1 if single else part, taken))
+                if single:
+                    break
+                taken, part = part, self.merged(data, 2)[-side]
+            self._spines[side][token] = found
+        return found
+
     def compatible(self, left: int, right: int) -> bool:
-        if (ok := self._pairs.get((left, right))) is None:
-            ok = self._pairs[left, right] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
+        """Whether the two tokens' bytes together encode to just these two: no parts that face each other across the
+        border at any time may merge before one of them is taken in on its own side."""
+        if (ok := self._pairs.get((left, right))) is not None:
+            return ok
+        x, y = self.spine(left, 1), self.spine(right, 0)
+        i = j = 0
+        ranks, ok = self.ranks, self.starts(right) and self.starts(left)
+        while ok:
+            (a, made_a, taken_a), (b, made_b, taken_b) = x[i], y[j]
+            rank = ranks.get(a + b)
+            # of equal ranks the left one is first
+            if rank is not None and rank < taken_a and rank <= taken_b:
+                ok = False
+            elif made_a >= made_b and made_a >= 0:
+                i += 1
+            elif made_b >= 0:
+                j += 1
+            else:
+                break
+        self._pairs[left, right] = ok
         return ok
 
     def table(self, data: bytes, last: list[int] | None = None) -> list[int]:
         """last[i] is the token that ends the encoding of data[:i + 1]; a table of a prefix is extended."""
         last = last or []
         done = len(last)
-        sizes, pairs = self._sizes, self._pairs
+        pairs, compatible, append = self._pairs, self.compatible, last.append
         # matches that end in the new part begin at most the longest token before it
-        back = max(0, done - int(sizes.max(initial=0)))
-        for end, (token, size) in self._finder.iter(data[back:].decode("latin-1")):
+        back = max(0, done - self.longest) if done else 0
+        for end, (token, size) in self._finder.iter((data[back:] if back else data).decode("latin-1")):
             end += back
-            if end < len(last):
+            if end < done:
                 continue
-            before = end - size
-            if before < 0:
+            if end < size:
                 ok = self.starts(token)
             else:
-                left = last[before]
+                left = last[end - size]
                 ok = pairs.get((left, token))
                 if ok is None:
-                    ok = self.compatible(left, token)
+                    ok = compatible(left, token)
             if ok:
-                last.append(token)
+                append(token)
+                done = end + 1  # the other tokens that end here need no look
         return last
 
     def read(self, last: list[int], end: int | None = None) -> list[int]:
         """The ids that a table holds for its whole or for a prefix of `end` bytes."""
         out, at = [], len(last) if end is None else end
-        sizes = self._sizes
+        sizes = self._size_list
         while at > 0:
             out.append(token := last[at - 1])
-            at -= int(sizes[token])
+            at -= sizes[token]
         return out[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
@@ -124,7 +163,7 @@ class PrefixBpe:
         old ones (each depends on no others), the rest of the old table is taken over.
         """
         new = data[:at] + added + data[at + removed :]
-        shift, longest = len(added) - removed, int(self._sizes.max(initial=1))
+        shift, longest = len(added) - removed, self.longest
         table, same, old_end = last[:at], 0, len(last)
         step = at + len(added)
         while len(table) < len(new):
@@ -206,49 +245,76 @@ def piece_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class TextEncoder:
-    """Ids of whole texts; distinct pieces are looked up in a store of what this worker has encoded before."""
+    """Ids of whole texts: distinct pieces are looked up by their 64-bit hash in a store of what this worker has encoded.
+
+    The store is two sorted tables, a large one and one of recent pieces that is merged into it now and then.
+    encode_all(pieces) returns (ids one after the other, number of ids of each piece).
+    """
 
     def __init__(self, encode_all, kept: int = KEPT_PIECES):
         self.encode_all, self.kept = encode_all, kept
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.size = np.zeros(1024, np.int64)
+        nothing = np.zeros(0, U), np.zeros(0, np.int32)
+        self.tables = [nothing, nothing]
+        self.size = np.zeros(1024, np.int32)
         self.start = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint32)
-        self.used = 0
-
-    def numbers(self, pieces: list[str]) -> np.ndarray:
-        """The store's number of each piece, encoding the new ones."""
-        if len(self.known) > self.kept:
+        self.pieces = self.used = 0
+
+    def _add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Stores new pieces (hashes ascending); returns their numbers."""
+        k, n, m = self.pieces, self.pieces + len(hashes), self.used + len(ids)
+        for name, least in (("size", n), ("start", n), ("flat", m)):
+            old = getattr(self, name)
+            if len(old) < least:
+                new = np.zeros(least + least // 4, old.dtype)
+                new[: len(old)] = old
+                setattr(self, name, new)
+        self.size[k:n] = sizes
+        self.start[k:n] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : m] = ids
+        self.pieces, self.used = n, m
+        numbers = np.arange(k, n, dtype=np.int32)
+        self.tables[1] = self._merged(self.tables[1], (hashes, numbers))
+        if len(self.tables[1][0]) * 4 > len(self.tables[0][0]):
+            self.tables = [self._merged(*self.tables), (np.zeros(0, U), np.zeros(0, np.int32))]
+        return numbers
+
+    @staticmethod
+    def _merged(x, y):
+        keys, numbers = np.concatenate([x[0], y[0]]), np.concatenate([x[1], y[1]])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], numbers[order]
+
+    def numbers(self, hashes: np.ndarray, piece_of) -> np.ndarray:
+        """The store's number of each piece (distinct hashes, ascending), encoding the new ones."""
+        if self.pieces > self.kept:
             self.clear()
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        if new:
-            ids = self.encode_all(new)
-            n, m = len(known) + len(new), self.used + sum(map(len, ids))
-            while len(self.size) < n:
-                self.size, self.start = np.append(self.size, self.size), np.append(self.start, self.start)
-            while len(self.flat) < m:
-                self.flat = np.append(self.flat, self.flat)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            k = len(known)
-            self.size[k:n] = sizes
-            self.start[k:n] = self.used + np.cumsum(sizes) - sizes
-            self.flat[self.used : m] = np.fromiter((x for i in ids for x in i), np.uint32, m - self.used)
-            self.used = m
-            known.update(zip(new, range(k, n)))
-        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        out = np.full(len(hashes), -1, np.int32)
+        for keys, numbers in self.tables:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                out = np.where(keys[at] == hashes, numbers[at], out)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            out[new] = self._add(hashes[new], *self.encode_all(piece_of(new)))
+        return out
 
     def gather(self, hashes: np.ndarray, piece_of) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after the other, number of ids of each piece). piece_of(positions): the pieces as a list of str."""
-        _, where, each = np.unique(hashes, return_index=True, return_inverse=True)
-        number = self.numbers(piece_of(where))[each]
-        size = self.size[number]
+        each_hash, where, each = np.unique(hashes, return_index=True, return_inverse=True)
+        number = self.numbers(each_hash, lambda new: piece_of(where[new]))[each]
+        size = self.size[number].astype(np.int64)
         return self.flat[spread(self.start[number], size)], size
 
 
+def flattened(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter((x for i in ids for x in i), np.uint32, int(sizes.sum())), sizes
+
+
 def encode_texts(encoder: TextEncoder, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids one after the other, number of ids of each text) of UTF-8 texts."""
     n = len(offsets) - 1
@@ -280,7 +346,7 @@ _workers: dict[str, tuple[PrefixBpe, TextEncoder]] = {}
 def _worker(ranks_path: str) -> tuple[PrefixBpe, TextEncoder]:
     if ranks_path not in _workers:
         bpe = PrefixBpe(read_ranks(ranks_path))
-        _workers[ranks_path] = bpe, TextEncoder(lambda pieces: [bpe.encode(p.encode()) for p in pieces])
+        _workers[ranks_path] = bpe, TextEncoder(lambda pieces: flattened([bpe.encode(p.encode()) for p in pieces]))
     return _workers[ranks_path]
 
 

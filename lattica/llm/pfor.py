@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.bpe import TextEncoder, spread
 from lattica.llm.files import open_file, write_file
-from lattica.llm.kernels import Words, column_bytes, slices
+from lattica.llm.kernels import U, Words, column_bytes, mix, slices
 from lattica.llm.shared import new_folder, written
 
 MAGIC, BLOCK, PERCENTILE = b"LPFOR001", 1024, 95
@@ -57,8 +57,7 @@ def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[np.ndarray, b
     head = np.zeros(blocks, np.dtype([("least", "<u4"), ("width", "u1"), ("n", "<u2")]))
     head["least"], head["width"], head["n"] = least, width, exceptions
     body[starts[:-1, None] + np.arange(7)] = head.view(np.uint8).reshape(blocks, 7)
-    for w in np.unique(width[width > 0]):
-        of = np.flatnonzero(width == w)
+    for w, of in _by_width(width):
         # the low w bits of each difference, from its four bytes
         bits = np.unpackbits(np.ascontiguousarray(diff[of]).view(np.uint8).reshape(len(of), BLOCK, 4), axis=2, bitorder="little")
         packed = np.packbits(bits[:, :, :w].reshape(len(of), -1), axis=1, bitorder="little")
@@ -72,6 +71,14 @@ def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[np.ndarray, b
     return starts.astype(np.uint64), body.tobytes()
 
 
+def _by_width(width: np.ndarray, most: int = 256) -> Iterator[tuple[int, np.ndarray]]:
+    """(width, some blocks of that width), so that the bits of few blocks at a time are laid out."""
+    for w in np.unique(width[width > 0]).tolist():
+        of = np.flatnonzero(width == w)
+        for i in range(0, len(of), most):
+            yield w, of[i : i + most]
+
+
 def unpack(starts: np.ndarray, body: np.ndarray, n: int) -> np.ndarray:
     """The ids of consecutive blocks; starts: of the blocks and of the end, relative to body."""
     blocks = len(starts) - 1
@@ -81,8 +88,7 @@ def unpack(starts: np.ndarray, body: np.ndarray, n: int) -> np.ndarray:
     head = np.ascontiguousarray(body[starts[:-1, None] + np.arange(7)]).view(np.dtype([("least", "<u4"), ("width", "u1"), ("n", "<u2")])).reshape(-1)
     width, exceptions = head["width"].astype(np.int64), head["n"].astype(np.int64)
     out = np.zeros((blocks, BLOCK), np.uint32)
-    for w in np.unique(width[width > 0]):
-        of = np.flatnonzero(width == w)
+    for w, of in _by_width(width):
         packed = body[starts[of, None] + 7 + np.arange(w * (BLOCK // 8))]
         bits = np.zeros((len(of), BLOCK, 32), np.uint8)
         bits[:, :, :w] = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(of), BLOCK, w)
@@ -143,17 +149,54 @@ def _encoder(path: str) -> TextEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        _encoders[path] = TextEncoder(lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+
+        def encode_all(pieces: list[str], most: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+            """Many pieces in one text, a line each; the offsets tell which line an id is from."""
+            if len(pieces) > most:
+                parts = [encode_all(pieces[i : i + most]) for i in range(0, len(pieces), most)]
+                return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            found = tokenizer.encode("\n".join(pieces), add_special_tokens=False)
+            ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)
+            at = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
+            return np.array(found.ids, np.uint32), np.bincount(np.searchsorted(ends, at, "right"), minlength=len(pieces))
+
+        _encoders[path] = TextEncoder(encode_all)
     return _encoders[path]
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: ASCII that is neither letter, digit nor white space; and no apostrophe, which may begin a contraction.
+_MARK = np.zeros(256, bool)
+_MARK[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
 def encode_words(encoder: TextEncoder, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, number of ids of each text) with the end id behind each text. For tokenizers that drop white space and treat
-    the words between it each on its own, so that each distinct word is encoded once."""
-    words = Words(data, offsets)
-    raw = data.tobytes()
-    ids, size = encoder.gather(words.hash, lambda where: [raw[a:b].decode() for a, b in zip(words.start[where].tolist(), words.end[where].tolist())])
-    sums = np.concatenate([[0], np.cumsum(size)])[words.first]
+    """(ids, number of ids of each text) with the end id behind each text.
+
+    For tokenizers that lower-case, drop white space, and part letters from the marks behind them: so each distinct word,
+    and the marks at its end, are encoded once, in lower case. Where a special token may occur (`<|`), words stay whole and
+    as they are.
+    """
+    plain = not bool(((data[:-1] == 0x3C) & (data[1:] == 0x7C)).any())
+    words = Words(_LOWER[data] if plain else data, offsets)
+    start, end, first, hashes = words.start, words.end, words.first, words.hash
+    if plain and len(start):
+        letter = _LETTER[data]
+        # the second byte of a Latin-1 letter (but for the signs of multiplication and division)
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0xC0) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        cut = np.flatnonzero(letter[:-1] & _MARK[data[1:]]) + 1
+        cut = cut[~np.isin(cut, offsets, assume_unique=False)] if len(cut) else cut
+        start = np.sort(np.concatenate([start, cut]))
+        end = np.sort(np.concatenate([end, cut]))
+        first = np.searchsorted(start, words.start)
+        first = np.append(first, len(start))[words.first]
+        hashes = mix(words.roll(start, end) + (end - start).astype(U) * U(0xA24BAED4963EE407))
+    raw = words.data.tobytes()
+    ids, size = encoder.gather(hashes, lambda where: [raw[a:b].decode() for a, b in zip(start[where].tolist(), end[where].tolist())])
+    sums = np.concatenate([[0], np.cumsum(size)])[first]
     each = sums[1:] - sums[:-1]
     n = len(each)
     out = np.full(len(ids) + n, end_id, np.uint32)
