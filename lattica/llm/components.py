@@ -1,7 +1,8 @@
 """Connected components of a table of links, by hooking to the least neighbour, pointer jumping and contraction.
 
-Every round is a few joins and aggregations over links between roots, which contract at least as fast as the local minima
-thin out; labels, links and parents stay in tables. Frequent keys (the middle of a star) go through lookup().
+Every round is three joins and an aggregation over links between roots. Roots are the local minima of what is left, so
+each round at least halves the nodes that still have links; a star is done in one. Only hooks and links are written;
+rows are pairs of ids, and frequent keys (the middle of a star) are left to Spark's skew join.
 """
 
 from __future__ import annotations
@@ -9,36 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import lookup, written
+from lattica.llm.shared import written
+
+
+def _moved(df: DataFrame, hooks: DataFrame, column: str) -> DataFrame:
+    """df with a column's nodes replaced by what they hook to."""
+    h = hooks.select(F.col("node").alias(column), F.col("to").alias("_to"))
+    return df.join(h, column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
 
 
 def components(links: DataFrame) -> DataFrame:
     """links(a, b) -> node, root for every node in them; the root is the least node of the component."""
-    edges = written(links.select("a", "b").where("a <> b").distinct(), "cc-links")
-    labels: DataFrame | None = None
-    while n := edges.count():
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        hooked = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p"), F.count(F.lit(1)).alias("n_rows")), "cc-hooks")
-        # two jumps; chains that are longer contract in the next rounds
-        for _ in range(2):
-            up = hooked.select(F.col("u").alias("p"), F.col("p").alias("q"))
-            sizes = hooked.groupBy("p").agg(F.count(F.lit(1)).alias("_n"))
-            table = up.join(sizes, "p").select("p", "q", F.col("_n").alias("n_rows"))
-            jumped = lookup(hooked.select("p", "u", F.col("n_rows").alias("_own")), ["p"], table, n)
-            hooked = written(jumped.select("u", F.col("q").alias("p"), F.col("_own").alias("n_rows")), "cc-hooks")
-        if labels is None:
-            labels = hooked.select(F.col("u").alias("node"), F.col("p").alias("root"))
-        else:
-            counts = labels.groupBy(F.col("root").alias("u")).agg(F.count(F.lit(1)).alias("_n"))
-            table = hooked.drop("n_rows").join(counts, "u").select(F.col("u").alias("root"), F.col("p").alias("_p"), F.col("_n").alias("n_rows"))
-            moved = lookup(labels, ["root"], table, labels.count())
-            labels = moved.select("node", F.coalesce("_p", "root").alias("root"))
-        labels = written(labels, "cc-labels")
-        for side in ("a", "b"):
-            table = hooked.select(F.col("u").alias(side), F.col("p").alias("_p"), "n_rows")
-            other = "b" if side == "a" else "a"
-            edges = lookup(edges, [side], table, n).select(F.col("_p").alias(side), other)
-        edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-links")
-    if labels is None:
-        return links.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
-    return labels
+    ordered = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = written(ordered(links), "cc-links")
+    labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node"))
+    while not edges.isEmpty():
+        hooks = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to"))
+        hooks = written(hooks, "cc-hooks")
+        once = _moved(hooks, hooks, "to")
+        hooks = written(_moved(once, hooks, "to"), "cc-hooks")
+        labels = _moved(labels, hooks, "root")
+        edges = written(ordered(_moved(_moved(edges, hooks, "a"), hooks, "b")), "cc-links")
+    return written(labels.select("node", "root"), "cc-labels")

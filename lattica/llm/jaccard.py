@@ -7,10 +7,10 @@ pair; then each document's prefix is lengthened by its estimated candidate cost
 must share as many shingles in the lengthened prefixes as the smaller of its two l before whole sets are compared.
 
 Equal sets form one class, and only classes are joined. What is asked for are the links' components, so a pair that is
-connected by links already needs no comparison: in waves, twice as many pivots of each prefix shingle as in the wave
-before are compared with its other classes, those aside that have got connected; once few pairs are left, or no pivots,
-all of these are compared. So every link between components is found, and a group of thousands of near copies costs
-about as many comparisons as it has members.
+connected by links already needs no comparison. In waves, each prefix shingle's classes are compared with two pivots of it,
+one within its largest component and one outside, others in each wave; once few pairs of different components are left, or they stop
+thinning out, all of these are compared. So every link between components is found, and a group of thousands of near
+copies costs about as many comparisons as it has members.
 
 Defined results: null texts and texts without words have an empty set, link with nothing and are their own component;
 texts of fewer than k words have their whole sequence as one shingle; rows of the same doc_id are one node; rows of
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lattica.llm.components import components
 from lattica.llm.kernels import U, Words, column_bytes, distinct_by_text, mix, slices
@@ -34,7 +35,11 @@ from lattica.llm.shared import bit_column, bitmap, in_bitmap, lookup, written
 #: The count table has 2**18 counters, whatever the number of shingles.
 COUNT_BITS, MOST_MATCHES = 18, 4
 #: Pairs for each index row that may be left for the last wave.
-LAST_WAVE = 4
+LAST_WAVE = 0.25
+#: Waves go on as long as they leave less than this part of the pairs.
+THINNING = 0.7
+#: Classes of a shingle up to which their sizes are compared in one window.
+FEW = 1000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -138,8 +143,40 @@ def _links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
-def _similar_size(x: Column, y: Column, percent: int) -> Column:
-    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+def _with_company(index: DataFrame, percent: int) -> DataFrame:
+    """Index rows but for those whose shingle no class of similar size shares: the next smaller and larger tell.
+    Shingles of over FEW classes keep all, so that no window is large."""
+    by = Window.partitionBy("token").orderBy("n")
+    smaller = F.coalesce(F.lag("n").over(by) * 100 >= F.col("n") * percent, F.lit(False))
+    larger = F.coalesce(F.col("n") * 100 >= F.lead("n").over(by) * percent, F.lit(False))
+    few = index.where(F.col("_n") <= FEW).withColumn("_near", smaller | larger).where("_near")
+    columns = ("token", "cls", "n", "pos")
+    return few.select(*columns).unionByName(index.where(F.col("_n") > FEW).select(*columns))
+
+
+def _own_shingles(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """cls, own: how many shingles of each class are in no other of the classes."""
+    words = docs.sparkSession.sparkContext.broadcast(bitmap(classes, "cls"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(in_bitmap(words.value, np.asarray(batch.column("bit"))) if len(batch) else np.zeros(0, bool)))
+            for part, _, value, text in _each(iter([batch]), k):
+                ids = np.asarray(part.column("doc_id"))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(value.view(np.int64))], names=["cls", "token"])
+
+    asked = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", bit_column(F.col("doc_id")).alias("bit"))
+    tokens = asked.mapInArrow(run, "cls long, token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("cls"))
+    return written(tokens.where("n = 1").groupBy("cls").agg(F.count(F.lit(1)).alias("own")), "jaccard-own")
+
+
+def _may_link(x: dict[str, Column], y: dict[str, Column], percent: int) -> Column:
+    """Whether index rows of one shingle can be of sets that reach the similarity, by their sizes n, the shingles that
+    others have too (alive), and the places of this one (pos): of sets that share o = ceil(t / (1 + t) * (n + m)) shingles
+    at least, some shared one is among the first n - o + 1 of one and among the first m - o + 1 of the other."""
+    need = (x["n"] + y["n"]) * percent
+    enough = [v * (100 + percent) >= need for s in (x, y) for v in (s["alive"], s["n"] - s["pos"])]
+    return (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent) & enough[0] & enough[1] & enough[2] & enough[3]
 
 
 def _shares(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -160,41 +197,50 @@ def links_and_components(docs: DataFrame, k: int = 3, percent: int = 90) -> tupl
         F.min("doc_id").alias("cls"), F.count(F.lit(1)).alias("n_rows"), *(F.first(c).alias(c) for c in ("matches", "base", "prefix"))
     )
     classes = written(full, "jaccard-classes")
-    index = classes.where("cls IS NOT NULL AND base > 0").select("cls", "n", F.explode(F.slice("prefix", F.lit(1), F.col("base"))).alias("token"))
-    often = index.groupBy("token").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
-    index = written(lookup(index, ["token"], written(often, "jaccard-tokens"), index.count(), "inner"), "jaccard-index")
+    index = classes.where("cls IS NOT NULL AND base > 0").select("cls", "n", F.posexplode(F.slice("prefix", F.lit(1), F.col("base"))).alias("pos", "token"))
+    often = index.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    index = written(_with_company(index.join(written(often, "jaccard-tokens"), "token"), percent), "jaccard-shared")
+    # what no other candidate has can't be in an intersection
+    alone = _own_shingles(docs, index.select("cls").distinct(), k)
+    alive = F.col("n") - F.coalesce("own", F.lit(0))
+    index = index.join(alone, "cls", "left").select("token", "cls", "n", "pos", alive.alias("alive"))
+    index = written(index.where(F.col("alive") * 100 >= F.col("n") * percent), "jaccard-index")
     root = _waves(docs, classes, index, k, percent)
     return rows, classes.join(root, "cls", "left").select("h1", "h2", "n", "n_rows", "cls", F.coalesce("root", "cls").alias("root"))
 
 
-def _open(state: DataFrame, size: int) -> tuple[DataFrame, int]:
+def _open(state: DataFrame) -> tuple[DataFrame, int]:
     """Index rows, with `main`, of the shingles whose classes are in several components; and the pairs across these."""
     groups = state.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m"))
     largest = F.max_by("root", F.struct(F.col("m"), -F.col("root"))).alias("main")
     tokens = groups.groupBy("token").agg(largest, F.sum("m").alias("n_rows"), F.sum(F.col("m") * F.col("m")).alias("squares"))
     tokens = written(tokens.where("n_rows * n_rows > squares"), "jaccard-open")
     left = tokens.agg(F.sum((F.col("n_rows") * F.col("n_rows") - F.col("squares")) / 2)).first()[0] or 0
-    return lookup(state, ["token"], tokens.select("token", "main", "n_rows"), size, "inner").where("main IS NOT NULL"), int(left)
-
-
-def _pivot_pairs(open_: DataFrame, size: int, wave: int, percent: int) -> DataFrame:
-    """Pairs of each index row with a class of its shingle's main component, and with a class outside it."""
-    outside = F.when(F.col("root") != F.col("main"), F.struct(F.xxhash64("cls", F.lit(wave)), "cls", "n", "root"))
-    pivots = open_.groupBy("token").agg(
-        F.min(F.when(F.col("root") == F.col("main"), F.struct("cls", "n", "root"))).alias("p"), F.min(outside).alias("q"), F.count(F.lit(1)).alias("n_rows")
-    )
-    both = F.array(F.struct(*(F.col(f"p.{c}").alias(c) for c in ("cls", "n", "root"))), F.struct(*(F.col(f"q.{c}").alias(c) for c in ("cls", "n", "root"))))
-    pivots = written(pivots.select("token", both.alias("pivots"), "n_rows"), "jaccard-pivots")
-    met = lookup(open_.select("token", "cls", "n", "root"), ["token"], pivots, size, "inner").select("cls", "n", "root", F.explode("pivots").alias("p"))
-    met = met.where((F.col("p.root") != F.col("root")) & _similar_size(F.col("p.n"), F.col("n"), percent))
+    return state.join(tokens.select("token", "main"), "token"), int(left)
+
+
+def _pivot_pairs(open_: DataFrame, wave: int, percent: int) -> DataFrame:
+    """Pairs of the index rows outside their shingle's main component with one class in it, and one outside it.
+
+    At first that is the least class, the same for all shingles of a group. Later it is another of each shingle: so a class
+    that hasn't linked meets as many others in a wave as it has shingles here.
+    """
+    fields = ("cls", "n", "pos", "alive", "root")
+    place = F.xxhash64("cls", "token", F.lit(wave)) if wave else F.lit(0).cast("long")
+    one = F.struct(place.alias("at"), *fields)
+    main = F.col("root") == F.col("main")
+    pivots = open_.groupBy("token").agg(F.min(F.when(main, one)).alias("p"), F.min(F.when(~main & F.lit(wave > 0), one)).alias("q"))
+    pivots = written(pivots.select("token", F.array("p", "q").alias("pivots")), "jaccard-pivots")
+    met = open_.where(~main).select("token", *fields).join(pivots, "token").select(*fields, F.explode("pivots").alias("p"))
+    met = met.where((F.col("p.root") != F.col("root")) & _may_link(*({c: F.col(p + c) for c in ("n", "pos", "alive")} for p in ("p.", "")), percent))
     return met.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")).distinct()
 
 
 def _all_pairs_left(open_: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components: one of the two, at least, is outside the shingle's main component."""
-    few = open_.where("root <> main").select("token", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    met = few.join(open_.select("token", "cls", "n", "root"), "token")
-    met = met.where((F.col("root") != F.col("rx")) & _similar_size(F.col("n"), F.col("nx"), percent))
+    few = open_.where("root <> main").select("token", F.col("cls").alias("x"), *(F.col(c).alias(f"x_{c}") for c in ("n", "pos", "alive", "root")))
+    met = few.join(open_.select("token", "cls", "n", "pos", "alive", "root"), "token")
+    met = met.where((F.col("root") != F.col("x_root")) & _may_link(*({c: F.col(p + c) for c in ("n", "pos", "alive")} for p in ("x_", "")), percent))
     return met.select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b")).distinct()
 
 
@@ -206,14 +252,13 @@ def _waves(docs: DataFrame, classes: DataFrame, index: DataFrame, k: int, percen
     root = spark.createDataFrame([], "cls long, root long")
     while size:
         state = index.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        open_, left = _open(written(state, "jaccard-state"), size)
+        open_, left = _open(written(state, "jaccard-state"))
         if not left:
             break
-        last = left <= LAST_WAVE * size if before is None else left <= LAST_WAVE * size or 2 * left > before
-        if wave == 0:
-            last = False  # equal neighbours in star shape first: most groups need no more
+        # stars first: most groups need no more
+        last = before is not None and (left <= LAST_WAVE * size or left > THINNING * before)
         open_ = written(open_, "jaccard-rows-open")
-        pairs = _all_pairs_left(open_, percent) if last else _pivot_pairs(open_, size, wave, percent)
+        pairs = _all_pairs_left(open_, percent) if last else _pivot_pairs(open_, wave, percent)
         pairs = written(_shares(classes, pairs.join(done, ["a", "b"], "left_anti"), percent), "jaccard-pairs")
         links = written(links.unionByName(_links(pairs, docs, k, percent)), "jaccard-links")
         root = components(links).withColumnRenamed("node", "cls")
