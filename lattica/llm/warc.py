@@ -28,6 +28,8 @@ from lattica.llm.shared import lookup, new_folder, written
 
 #: Bytes of records, before compression, after which an archive is closed.
 ARCHIVE_BYTES, LEVEL, DATE = 16 << 20, 5, "2024-01-01T00:00:00Z"
+#: Tasks of a pass over the archives at most.
+MOST_TASKS = 20_000
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -166,6 +168,11 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return written(pages.mapInArrow(write, "path string"), "warc-whole")
 
 
+def _dealt(archives: DataFrame) -> DataFrame:
+    """A partition for about each archive: a path is few bytes, so by size Spark would put many archives into one task."""
+    return archives.repartition(max(1, min(archives.count(), MOST_TASKS)), "path")
+
+
 def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
     """Normalises each archive of a column path; returns path and n_records of the new ones."""
 
@@ -177,8 +184,7 @@ def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
                 rows.append((target, normalise(path, target)[0]))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["path", "n_records"])
 
-    spread = archives.repartition(F.col("path"))
-    return written(spread.mapInArrow(rewrite, "path string, n_records long"), "warc-members")
+    return written(_dealt(archives).mapInArrow(rewrite, "path string, n_records long"), "warc-members")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -202,7 +208,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         rows.append((_id(head["warc-record-id"]), length, digest, head["warc-type"], None if refers is None else _id(refers)))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return archives.select("path").repartition(F.col("path")).mapInArrow(read, SCHEMA)
+    return _dealt(archives.select("path")).mapInArrow(read, SCHEMA)
 
 
 def archived(pages: DataFrame) -> DataFrame:
