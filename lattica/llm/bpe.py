@@ -27,7 +27,9 @@ from lattica.llm.kernels import Rolling, U, column_bytes, mix, slices
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Distinct pieces whose ids a worker keeps (some 50 bytes each); beyond it the store starts afresh.
-KEPT_PIECES = 1_500_000
+KEPT_PIECES = 600_000
+#: Token pairs of known compatibility that it keeps.
+KEPT_PAIRS = 300_000
 _LETTER, _NUMBER, _BLANK, _OTHER = range(4)
 
 
@@ -115,6 +117,8 @@ class PrefixBpe:
                 j += 1
             else:
                 break
+        if len(self._pairs) >= KEPT_PAIRS:
+            self._pairs.clear()
         self._pairs[left, right] = ok
         return ok
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lattica.llm.kernels import U, column_bytes, mix, slices
 
 #: Labelled documents that a fit takes at most.
-TRAIN_DOCS = 12_000
+TRAIN_DOCS = 6_000
 BITS, SIZES = 18, (2, 3, 4)
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -131,7 +131,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, smoothing: float = 1.0) -> M
 
     def scaled(i: int) -> np.ndarray:
         v = ratio[rows[i]]
-        return v / (np.linalg.norm(v) or 1.0)
+        return (v / (np.linalg.norm(v) or 1.0)).astype(np.float32)
 
     w, bias = descend([rows[i] for i in use], [scaled(i) for i in use], 2.0 * y[use] - 1, n)
     model = Model(ratio, w, bias, 1.0, 0.0)
@@ -162,6 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model |
         return None
     doc, quality = table.column("doc_id").to_numpy(), table.column("quality").to_numpy()
     lists = table.column("features").combine_chunks()
+    del table
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     flat, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
     order = np.lexsort((np.diff(at), doc, mix(doc.astype(U))))
