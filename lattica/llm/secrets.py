@@ -30,7 +30,7 @@ ASSIGN = re.compile(rf"({'|'.join(_KEY)})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{20,}")
-#: (class, its characters, window, bits per character): the class is the first that holds the whole window.
+#: (class, its characters, window, bits per character): a window counts if it reaches the bits of any class that holds it.
 CLASSES = (("hex", frozenset("0123456789abcdefABCDEF"), 24, 3.0), ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"), 24, 4.0))
 #: Never an entropy finding: UUIDs, plain words or paths without digits, digits only, ascending filler, documented examples.
 ALLOW = tuple(map(re.compile, (r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z", r"[A-Za-z/_=+-]+\Z", r"[0-9_-]+\Z", r".*(?:EXAMPLE|example|0123456789|abcdefgh|ABCDEFGH)", r"(?:[a-z0-9]{1,12}[-_/])+[a-z0-9]{1,12}\Z")))
@@ -68,15 +68,19 @@ def entropy_windows(text: str, characters: frozenset[str], width: int, least: fl
 
 
 def entropy_spans(candidate: str, classes=CLASSES, allow=ALLOW) -> list[tuple[int, int]]:
-    """Entropy spans of one candidate string, unless the allow-list matches it or the span."""
+    """Entropy spans of one candidate string, unless the allow-list matches it or the span; overlapping ones are joined."""
     if any(p.match(candidate) for p in allow):
         return []
     found: list[tuple[int, int]] = []
     for _, characters, width, least in classes:
-        for s, e in entropy_windows(candidate, characters, width, least):
-            if not any(p.match(candidate[s:e]) for p in allow) and not any(a < e and s < b for a, b in found):
-                found.append((s, e))
-    return found
+        found += [(s, e) for s, e in entropy_windows(candidate, characters, width, least) if not any(p.match(candidate[s:e]) for p in allow)]
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(found):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
 
 
 def find(text: str, long_run: bool = True, classes=CLASSES, allow=ALLOW) -> list[tuple[int, int, str]]:

@@ -97,6 +97,19 @@ def test_entropy_windows_against_recount():
         assert secrets.entropy_spans(allowed) == []
 
 
+def test_entropy_of_a_secret_behind_a_hex_id():
+    r = random.Random(5)
+    for _ in range(100):
+        token = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+        if secrets.entropy_spans(token) != [(0, 40)]:
+            continue
+        for glue in "_=/":
+            run = "".join(r.choice("0123456789abcdef") for _ in range(32)) + glue + token
+            spans = secrets.entropy_spans(run)
+            assert any(s <= 33 and e == len(run) for s, e in spans)
+            assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=3000), st.integers(1, 2**20), st.integers(1, 100))
 def test_pfor_round_trip(values, most, percentile):
