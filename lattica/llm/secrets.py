@@ -2,7 +2,8 @@
 
 Candidates are the maximal runs of [A-Za-z0-9+/=_-] with 20 characters or more, found by numpy over the UTF-8 bytes.
 A window slides over each candidate; the counts of its characters change by one in and one out, and the entropy follows
-from a running sum of c*log2(c). Windows at or over the class threshold are joined into spans of kind `entropy`. The
+from a running sum of c*log2(c). A candidate shorter than the window is one window of its own length, whose threshold is
+scaled by the logarithms of the lengths. Windows at or over the class threshold are joined into spans of kind `entropy`. The
 allow-list suppresses entropy spans only, never base ones.
 
 Defined results: null text counts as empty and has no spans; spans are in code points, end exclusive; ties and repeated
@@ -73,6 +74,9 @@ def entropy_spans(candidate: str, classes=CLASSES, allow=ALLOW) -> list[tuple[in
         return []
     found: list[tuple[int, int]] = []
     for _, characters, width, least in classes:
+        if len(candidate) < width:
+            least *= math.log2(len(candidate)) / math.log2(width)
+            width = len(candidate)
         found += [(s, e) for s, e in entropy_windows(candidate, characters, width, least) if not any(p.match(candidate[s:e]) for p in allow)]
     out: list[tuple[int, int]] = []
     for s, e in sorted(found):

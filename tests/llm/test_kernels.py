@@ -110,6 +110,13 @@ def test_entropy_of_a_secret_behind_a_hex_id():
             assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_entropy_of_candidates_shorter_than_the_window():
+    for key in ("q83vEjRWeJCrze8SNFZ4kA", "ASIAQ7ZK3XW9P2LM5TRB", "9f8e7d6c5b4a39281706f"):
+        assert secrets.find(f"id {key} end") == [(3, 3 + len(key), "entropy")]
+    assert secrets.find("id " + "ab1" * 7) == []
+    assert secrets.find("id " + "q83vEjRWeJCrze8SNFZ") == []
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=3000), st.integers(1, 2**20), st.integers(1, 100))
 def test_pfor_round_trip(values, most, percentile):
