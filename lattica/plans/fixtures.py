@@ -29,15 +29,15 @@ TABLES: dict[str, tuple[str, str, list[tuple[str, str]]]] = {
     "kernel_symbols": ("part", "true", [
         (c, _KERNEL if c == "name" else f"CASE WHEN p_partkey % 12 = 4 THEN {_BRAND} || '::SYSCALL_DEFINE' || CAST(p_partkey % 7 AS STRING) || '(' || {_NAME} || ', int)' ELSE {_BRAND} || '::' || {_KERNEL} END" if c == "qualified_name"
             else "CASE WHEN p_partkey % 12 IN (5, 6, 7) THEN 'type' ELSE 'function' END" if c == "kind" else e) for c, e in _SYMBOL]),
-    "call_relations": ("orders", "o_orderpriority = '5-LOW'", [
+    "call_relations": ("orders", "true", [
         ("id", "CAST(o_orderkey AS BIGINT)"), ("caller_id", "CAST(o_custkey % {n} AS BIGINT)"), ("callee_id", f"CAST({_CALLEE} AS BIGINT)"),
         ("file_path", "'src/o' || CAST(o_custkey % 50 AS STRING) || '.cpp'"), ("line", "CAST(o_orderkey % 200 + 1 AS INT)"), ("column", "CAST(o_orderkey % 80 + 1 AS INT)"),
         ("is_virtual", "o_orderstatus = 'P'"), ("is_indirect", "false")]),
-    "include_relations": ("events", "event_type = 'error' AND event_id % 8 < 2", [
+    "include_relations": ("events", "true", [
         ("id", "CAST(event_id AS BIGINT)"), ("source_file", "CASE WHEN user_id % 3 = 0 THEN 'inc/u' || CAST(user_id AS STRING) || '.h' ELSE 'src/u' || CAST(user_id AS STRING) || '.cpp' END"),
         ("target_file", "'u' || CAST(3 * ((user_id + event_id) % 50) AS STRING) || '.h'"), ("line", "CAST(event_id % 120 + 1 AS INT)"), ("is_system", "event_id % 4 = 0"),
         ("resolved_path", "CASE WHEN event_id % 4 <> 0 THEN 'inc/u' || CAST(3 * ((user_id + event_id) % 50) AS STRING) || '.h' END")]),
-    "reference_relations": ("orders", "o_orderpriority = '2-HIGH'", [
+    "reference_relations": ("orders", "true", [
         ("id", "CAST(o_orderkey AS BIGINT)"), ("symbol_id", "CAST((o_orderkey * 13) % {n} AS BIGINT)"), ("file_path", "'src/o' || CAST(o_custkey % 50 AS STRING) || '.cpp'"),
         ("line", "CAST(o_orderkey % 300 + 1 AS INT)"), ("column", "CAST(o_custkey % 80 + 1 AS INT)"), ("ref_kind", "CASE o_orderstatus WHEN 'O' THEN 'read' WHEN 'F' THEN 'write' ELSE 'address' END")]),
     "inheritance_relations": ("supplier", "true", [
@@ -57,16 +57,16 @@ TABLES: dict[str, tuple[str, str, list[tuple[str, str]]]] = {
         ("kind", "CASE WHEN p_partkey % 10 <= 8 THEN 'function' ELSE 'gadget' END"), ("sub_kind", "CAST(NULL AS STRING)"), ("file_path", "'src/m' || CAST(p_partkey % 40 AS STRING) || '/x.cpp'"),
         ("line", "CAST(p_size % 3 AS INT)"), ("column", "1"), ("end_line", "CAST(NULL AS INT)"), ("is_definition", "p_partkey % 4 = 0"), ("return_type", "CAST(NULL AS STRING)"), ("parameters", "CAST(NULL AS STRING)"),
         ("access", "CAST(NULL AS STRING)"), ("attributes", "CAST(NULL AS STRING)")]),
-    "raw_calls": ("orders", "o_orderpriority = '5-LOW'", [
+    "raw_calls": ("orders", "true", [
         ("file", "'src/m' || CAST(o_custkey % 40 AS STRING) || '/x.cpp'"), ("ordinal", "CAST(o_orderkey AS INT)"), ("caller", "'brand' || CAST(o_custkey % 5 + 1 AS STRING) || CAST(o_orderkey % 5 + 1 AS STRING) || '::n' || CAST(o_custkey % 9 AS STRING)"),
         ("callee", "'brand' || CAST(o_orderkey % 5 + 1 AS STRING) || CAST(o_custkey % 5 + 1 AS STRING) || '::n' || CAST(o_orderkey % 10 AS STRING)"), ("line", "CAST(o_orderkey % 200 + 1 AS INT)"), ("column", "1"),
         ("is_virtual", "false"), ("is_indirect", "false")]),
-    "raw_references": ("orders", "o_orderpriority = '2-HIGH'", [
+    "raw_references": ("orders", "true", [
         ("file", "'src/m' || CAST(o_custkey % 40 AS STRING) || '/x.cpp'"), ("ordinal", "CAST(o_orderkey AS INT)"), ("symbol_name", "'brand' || CAST(o_custkey % 5 + 1 AS STRING) || CAST(o_orderkey % 5 + 1 AS STRING) || '::n' || CAST(o_custkey % 9 AS STRING)"),
         ("line", "CAST(o_orderkey % 300 + 1 AS INT)"), ("column", "1"), ("ref_kind", "CASE o_orderstatus WHEN 'O' THEN 'read' WHEN 'F' THEN 'write' ELSE 'odd' END")]),
     "compile_entries": ("part", "true", [("directory", "'/old/base/w' || CAST(p_size % 5 AS STRING)"), ("file", "'/old/base/w' || CAST(p_size % 5 AS STRING) || '/' || " + _NAME + " || '.cpp'"), ("command", "p_type"), ("output", "CAST(p_partkey AS STRING)")]),
     "dir_entries": ("part", "true", [("name", "CASE WHEN p_partkey % 9 = 0 THEN '.' ELSE '' END || p_name || CAST(p_partkey AS STRING)"), ("path", "'/r/' || p_name || CAST(p_partkey AS STRING)"), ("is_dir", "p_partkey % 3 = 0"), ("size", "CAST(p_size AS BIGINT)")]),
-    "places": ("orders", "o_orderpriority = '5-LOW'", [("place_id", "CAST(o_orderkey AS BIGINT)"), ("symbol_near", f"CAST({_CALLEE} AS BIGINT)"), ("shift", "CAST(o_orderkey % 60 AS INT)")]),
+    "places": ("orders", "true", [("place_id", "CAST(o_orderkey AS BIGINT)"), ("symbol_near", f"CAST({_CALLEE} AS BIGINT)"), ("shift", "CAST(o_orderkey % 60 AS INT)")]),
 }
 
 
