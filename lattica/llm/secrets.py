@@ -33,8 +33,10 @@ HEX = re.compile(r"[0-9a-f]+")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{20,}")
 #: (class, its characters, window, bits per character): a window counts if it reaches the bits of any class that holds it.
 CLASSES = (("hex", frozenset("0123456789abcdefABCDEF"), 24, 3.0), ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"), 24, 4.0))
-#: Never an entropy finding: UUIDs, plain words or paths without digits, digits only, ascending filler, documented examples.
-ALLOW = tuple(map(re.compile, (r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z", r"[A-Za-z/_=+-]+\Z", r"[0-9_-]+\Z", r".*(?:EXAMPLE|example|0123456789|abcdefgh|ABCDEFGH)", r"(?:[a-z0-9]{1,12}[-_/])+[a-z0-9]{1,12}\Z")))
+#: Never an entropy finding, as a candidate or a span: UUIDs, plain words or paths without digits, digits only.
+ALLOW = tuple(map(re.compile, (r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z", r"[A-Za-z/_=+-]+\Z", r"[0-9_-]+\Z", r"(?:[a-z0-9]{1,12}[-_/])+[a-z0-9]{1,12}\Z")))
+#: Ascending filler and documented examples, with the letters and digits around them: no finding, but the rest of a span is.
+FILLER = re.compile(r"EXAMPLE|example|0123456789|abcdefgh|ABCDEFGH")
 
 _CANDIDATE_BYTE = np.zeros(256, bool)
 _CANDIDATE_BYTE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-")] = True
@@ -68,8 +70,27 @@ def entropy_windows(text: str, characters: frozenset[str], width: int, least: fl
     return out
 
 
+def _without_filler(candidate: str, s: int, e: int) -> list[tuple[int, int]]:
+    """The parts of candidate[s:e] that lie between filler."""
+    out = []
+    for m in FILLER.finditer(candidate, s, e):
+        if m.start() < s:
+            continue
+        a, b = m.span()
+        while a > s and candidate[a - 1].isalnum():
+            a -= 1
+        while b < e and candidate[b].isalnum():
+            b += 1
+        out.append((s, a))
+        s = b
+    return out + [(s, e)]
+
+
 def entropy_spans(candidate: str, classes=CLASSES, allow=ALLOW) -> list[tuple[int, int]]:
-    """Entropy spans of one candidate string, unless the allow-list matches it or the span; overlapping ones are joined."""
+    """Entropy spans of one candidate string, unless the allow-list matches it or the span; overlapping ones are joined.
+
+    Of a span that holds filler, the windows beside the filler are left.
+    """
     if any(p.match(candidate) for p in allow):
         return []
     found: list[tuple[int, int]] = []
@@ -77,7 +98,11 @@ def entropy_spans(candidate: str, classes=CLASSES, allow=ALLOW) -> list[tuple[in
         if len(candidate) < width:
             least *= math.log2(len(candidate)) / math.log2(width)
             width = len(candidate)
-        found += [(s, e) for s, e in entropy_windows(candidate, characters, width, least) if not any(p.match(candidate[s:e]) for p in allow)]
+        spans = entropy_windows(candidate, characters, width, least)
+        if spans and FILLER.search(candidate):
+            parts = [x for s, e in spans for x in _without_filler(candidate, s, e)]
+            spans = [(a + s, a + e) for a, b in parts for s, e in entropy_windows(candidate[a:b], characters, width, least)]
+        found += [(s, e) for s, e in spans if not any(p.match(candidate[s:e]) for p in allow)]
     out: list[tuple[int, int]] = []
     for s, e in sorted(found):
         if out and s < out[-1][1]:

@@ -117,6 +117,17 @@ def test_entropy_of_candidates_shorter_than_the_window():
     assert secrets.find("id " + "q83vEjRWeJCrze8SNFZ") == []
 
 
+def test_entropy_beside_example_and_filler_words():
+    token = "kX9vQ2mZ7LpR4tWc8NfYb3HsJd6GaUe1TiKoVx5M"
+    for before in ("example_auth=", "/repos/example/hooks/", "0123456789_", "abcdefgh="):
+        run = before + token
+        assert any(s <= len(before) and e == len(run) for s, e in secrets.entropy_spans(run)), run
+        run = token + "_EXAMPLE"
+        assert any(s == 0 and e >= len(token) for s, e in secrets.entropy_spans(run))
+    for allowed in ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "0123456789abcdef" * 3, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789"):
+        assert secrets.entropy_spans(allowed) == []
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=3000), st.integers(1, 2**20), st.integers(1, 100))
 def test_pfor_round_trip(values, most, percentile):
