@@ -14,7 +14,7 @@ equal scores; an empty table gives an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lattica.llm.kernels import U, column_bytes, mix, slices
 
 #: Labelled documents that a fit takes at most.
-TRAIN_DOCS = 6_000
+TRAIN_DOCS = 12_000
 BITS, SIZES = 18, (2, 3, 4)
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -75,7 +75,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.offset, -50, 50)))
 
 
-def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, n_features: int, c: float = 1.0, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
+def descend(rows: list[np.ndarray], values: Sequence[np.ndarray], y: np.ndarray, n_features: int, c: float = 1.0, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
     """(weights, bias) of the L1-loss linear SVM by dual coordinate descent; a constant feature stands for the bias."""
     w, bias = np.zeros(n_features), 0.0
     alpha = np.zeros(len(rows))
@@ -84,11 +84,12 @@ def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, n_f
     for _ in range(epochs):
         worst = 0.0
         for i in rng.permutation(len(rows)):
-            gradient = y[i] * (w[rows[i]] @ values[i] + bias) - 1
+            value = values[i]
+            gradient = y[i] * (w[rows[i]] @ value + bias) - 1
             new = min(max(alpha[i] - gradient / square[i], 0.0), c)
             change = new - alpha[i]
             if change:
-                w[rows[i]] += change * y[i] * values[i]
+                w[rows[i]] += change * y[i] * value
                 bias += change * y[i]
                 alpha[i] = new
                 worst = max(worst, abs(change))
@@ -97,6 +98,20 @@ def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, n_f
     return w, bias
 
 
+class Scaled(Sequence):
+    """The rows' ratios at unit length, made when asked for: kept ones would take as much memory as the rows."""
+
+    def __init__(self, ratio: np.ndarray, rows: list[np.ndarray]):
+        self.ratio, self.rows = ratio, rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        v = self.ratio[self.rows[i]]
+        return (v / (np.linalg.norm(v) or 1.0)).astype(np.float32)
+
+
 def logistic(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
     """Slope and offset of the logistic curve through (margin, y in {0, 1}) by Newton's method, with smoothed targets."""
     hit, miss = y.sum(), len(y) - y.sum()
@@ -129,14 +144,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, smoothing: float = 1.0) -> M
         counts[y[i]][rows[i]] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
-    def scaled(i: int) -> np.ndarray:
-        v = ratio[rows[i]]
-        return (v / (np.linalg.norm(v) or 1.0)).astype(np.float32)
-
-    w, bias = descend([rows[i] for i in use], [scaled(i) for i in use], 2.0 * y[use] - 1, n)
+    scaled = Scaled(ratio, rows)
+    used = [rows[i] for i in use]
+    w, bias = descend(used, Scaled(ratio, used), 2.0 * y[use] - 1, n)
     model = Model(ratio, w, bias, 1.0, 0.0)
     check = np.flatnonzero(aside) if aside.any() and len(set(y[aside])) == 2 else use
-    margin = np.array([scaled(i) @ w[rows[i]] + bias for i in check])
+    margin = np.array([scaled[i] @ w[rows[i]] + bias for i in check])
     model.slope, model.offset = logistic(margin, y[check])
     return model
 
@@ -161,12 +174,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model |
     if not table.num_rows:
         return None
     doc, quality = table.column("doc_id").to_numpy(), table.column("quality").to_numpy()
-    lists = table.column("features").combine_chunks()
-    del table
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    flat, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-    order = np.lexsort((np.diff(at), doc, mix(doc.astype(U))))
-    return fit([flat[at[i] : at[i + 1]] for i in order], (quality[order] == 1).astype(np.int64))
+    rows = []
+    for chunk in table.column("features").chunks:
+        # views: the features stay where Arrow put them
+        flat, at = chunk.flatten().to_numpy(), np.concatenate([[0], np.cumsum(chunk.value_lengths().to_numpy())])
+        rows += [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    order = np.lexsort(([len(x) for x in rows], doc, mix(doc.astype(U))))
+    return fit([rows[i] for i in order], (quality[order] == 1).astype(np.int64))
 
 
 def scored(docs: DataFrame, model: Model | None, keep: float | None = None, least: float = 0.7) -> DataFrame:

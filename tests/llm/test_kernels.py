@@ -297,6 +297,21 @@ def test_classifier_learns_and_copes_with_odd_input():
     assert nbsvm.fit(rows, np.ones(len(rows))) is None and nbsvm.fit([], np.zeros(0)) is None
 
 
+def test_classifier_fits_on_12000_documents_without_a_second_copy():
+    import inspect
+    import tracemalloc
+
+    assert inspect.signature(nbsvm.train).parameters["most"].default == 12_000
+    r = np.random.default_rng(3)
+    rows = [np.sort(r.choice(1 << nbsvm.BITS, 5000, replace=False)).astype(np.int32) for _ in range(1500)]
+    tracemalloc.start()
+    nbsvm.fit(rows, np.arange(1500) % 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(x.nbytes for x in rows) / 2 + 64 * (1 << nbsvm.BITS)
+
+
+
 def test_indicators_against_sets():
     texts = ["abcab", "", "é", "zzzzzz"]
     feature, text = nbsvm.indicators(*arrays(texts))
