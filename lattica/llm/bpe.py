@@ -354,16 +354,26 @@ def _worker(ranks_path: str) -> tuple[PrefixBpe, TextEncoder]:
     return _workers[ranks_path]
 
 
+def must_decode(bpe: PrefixBpe, ids: np.ndarray, size: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
+    """Raises unless each text's ids (size of them) decode to its bytes."""
+    ids = ids.astype("<u4")
+    at = np.concatenate([[0], np.cumsum(size)])
+    ends = np.concatenate([[0], np.cumsum(bpe._sizes[ids])])[at]
+    if not np.array_equal(ends, offsets - offsets[0]) or not np.array_equal(np.frombuffer(bpe.decode(ids), np.uint8), data[offsets[0] : offsets[-1]]):
+        raise ValueError("ids do not decode to their text")
+
+
 def tokenized(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id, text -> doc_id, ids (array<int>): the encoding itself."""
+    """doc_id, text -> doc_id, ids (array<int>): the encoding itself, which is decoded again and compared with the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, encoder = _worker(ranks_path)
+        bpe, encoder = _worker(ranks_path)
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
             for a, b in slices(offsets):
                 o = offsets[a : b + 1]
                 ids, size = encode_texts(encoder, data[o[0] : o[-1]], o - o[0])
+                must_decode(bpe, ids, size, data, o)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists], names=["doc_id", "ids"])
 
