@@ -40,6 +40,8 @@ LAST_WAVE = 0.25
 THINNING = 0.7
 #: Classes of a shingle up to which their sizes are compared in one window.
 FEW = 1000
+#: Of the two hashes of a set.
+SALTS = (0x8CB92BA72F3D8DD7, 0x3C6EF372FE94F82B)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -49,6 +51,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 3) -> tuple[np.
     return distinct_by_text(*Words(_LOWER[data], offsets).shingles(k))
 
 
+def _set_hash(value: np.ndarray, first: np.ndarray, salt: int) -> np.ndarray:
+    s = np.concatenate([np.zeros(1, U), np.cumsum(mix(value ^ U(salt)), dtype=U)])
+    return (s[first[1:]] - s[first[:-1]]).view(np.int64)
+
+
 def _each(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
     for batch in batches:
         data, offsets = column_bytes(batch.column("text"))
@@ -84,10 +91,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> Data
         for batch, rows, value, text in _each(batches, k):
             n = np.bincount(text, minlength=rows).astype(np.int64)
             first = np.concatenate([[0], np.cumsum(n)])
-            sums = []
-            for salt in (0x8CB92BA72F3D8DD7, 0x3C6EF372FE94F82B):
-                s = np.concatenate([np.zeros(1, U), np.cumsum(mix(value ^ U(salt)), dtype=U)])
-                sums.append((s[first[1:]] - s[first[:-1]]).view(np.int64))
+            sums = [_set_hash(value, first, salt) for salt in SALTS]
             often = counts[(value & U(len(counts) - 1)).astype(np.int64)]
             order = np.lexsort((value, often, text))
             value, often = value[order], often[order]
@@ -155,19 +159,21 @@ def _with_company(index: DataFrame, percent: int) -> DataFrame:
 
 
 def _own_shingles(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """cls, own: how many shingles of each class are in no other of the classes."""
+    """key, own: how many shingles of each class are in no other of the classes. The key is cls XOR h1: rows of one doc_id
+    may have different texts, which are different classes."""
     words = docs.sparkSession.sparkContext.broadcast(bitmap(classes, "cls"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(in_bitmap(words.value, np.asarray(batch.column("bit"))) if len(batch) else np.zeros(0, bool)))
-            for part, _, value, text in _each(iter([batch]), k):
-                ids = np.asarray(part.column("doc_id"))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(value.view(np.int64))], names=["cls", "token"])
+            for part, rows, value, text in _each(iter([batch]), k):
+                first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=rows))])
+                keys = np.asarray(part.column("doc_id")) ^ _set_hash(value, first, SALTS[0])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[text]), pa.array(value.view(np.int64))], names=["key", "token"])
 
     asked = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", bit_column(F.col("doc_id")).alias("bit"))
-    tokens = asked.mapInArrow(run, "cls long, token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("cls"))
-    return written(tokens.where("n = 1").groupBy("cls").agg(F.count(F.lit(1)).alias("own")), "jaccard-own")
+    tokens = asked.mapInArrow(run, "key long, token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"))
+    return written(tokens.where("n = 1").groupBy("key").agg(F.count(F.lit(1)).alias("own")), "jaccard-own")
 
 
 def _may_link(x: dict[str, Column], y: dict[str, Column], percent: int) -> Column:
@@ -202,8 +208,10 @@ def links_and_components(docs: DataFrame, k: int = 3, percent: int = 90) -> tupl
     index = written(_with_company(index.join(written(often, "jaccard-tokens"), "token"), percent), "jaccard-shared")
     # what no other candidate has can't be in an intersection
     alone = _own_shingles(docs, index.select("cls").distinct(), k)
+    keys = classes.where("cls IS NOT NULL").select("cls", "n", F.col("cls").bitwiseXOR(F.col("h1")).alias("key"))
+    own = keys.join(alone, "key", "left").groupBy("cls", "n").agg(F.min(F.coalesce("own", F.lit(0))).alias("own"))
     alive = F.col("n") - F.coalesce("own", F.lit(0))
-    index = index.join(alone, "cls", "left").select("token", "cls", "n", "pos", alive.alias("alive"))
+    index = index.join(own.where("own > 0"), ["cls", "n"], "left").select("token", "cls", "n", "pos", alive.alias("alive"))
     index = written(index.where(F.col("alive") * 100 >= F.col("n") * percent), "jaccard-index")
     root = _waves(docs, classes, index, k, percent)
     return rows, classes.join(root, "cls", "left").select("h1", "h2", "n", "n_rows", "cls", F.coalesce("root", "cls").alias("root"))
@@ -280,8 +288,9 @@ def joined(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document, that of the smallest doc_id, of each component; documents of null doc_id all stay."""
+    """docs with one document, that of the smallest doc_id, of each component; documents of null doc_id all stay, and of
+    rows of one doc_id each different text."""
     part = joined(docs, k, percent)
     kept = written(part.where("doc_id = component_id").select("doc_id").distinct(), "jaccard-kept")
-    own = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    own = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return own.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)

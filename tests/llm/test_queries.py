@@ -285,3 +285,16 @@ def test_pipeline(spark, tmp_path):
             part = brute_components([tuple(r) for r in before.collect()], 5, 80)
             assert {r["doc_id"] for r in docs.collect()} == {i for i, (_, c) in part.items() if i == c}
     assert docs.count() > 0
+
+
+def test_jaccard_of_one_id_with_two_texts(spark):
+    r = random.Random(9)
+    words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    one, other = words(60), words(400)
+    near = [*one[:59], "changed"]
+    rows = [(7, " ".join(one)), (7, " ".join(other)), (9, " ".join(near))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    roots = {(x["doc_id"], x["n_shingles"]): x["component_id"] for x in jaccard.joined(table, 3, 90).collect()}
+    assert roots[(9, 58)] == 7
+    kept = jaccard.deduplicated(table, 3, 90).collect()
+    assert sorted(x["text"] for x in kept) == sorted(x[1] for x in rows[:2])
