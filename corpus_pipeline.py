@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from lattica.llm import bpe, jaccard, mixing, nbsvm, secrets, shared
 from lattica.session import ship_package
 
-#: Documents of a lower quality score are rejected.
-LEAST_QUALITY = 0.5
+#: Documents of a lower quality score are rejected: those that the operator predicts as 0.
+LEAST_QUALITY = nbsvm.LEAST
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

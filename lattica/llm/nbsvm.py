@@ -26,6 +26,8 @@ from lattica.llm.kernels import U, column_bytes, mix, slices
 
 #: Labelled documents that a fit takes at most.
 TRAIN_DOCS = 12_000
+#: The least score of a document that is predicted good.
+LEAST = 0.7
 BITS, SIZES = 18, (2, 3, 4)
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -183,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model |
     return fit([rows[i] for i in order], (quality[order] == 1).astype(np.int64))
 
 
-def scored(docs: DataFrame, model: Model | None, keep: float | None = None, least: float = 0.7) -> DataFrame:
+def scored(docs: DataFrame, model: Model | None, keep: float | None = None, least: float = LEAST) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; with keep, docs' rows of at least that score instead."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # 2**18 features, whatever the input

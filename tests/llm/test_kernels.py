@@ -347,3 +347,11 @@ def test_shingle_sets():
     of = [value[text == i].tolist() for i in range(6)]
     assert of[0] == of[1] and len(of[0]) == 2 and [len(x) for x in of[2:]] == [1, 0, 0, 1]
     assert hashlib.md5(b"".join(v.to_bytes(8, "little") for v in of[0])).hexdigest()
+
+
+def test_pipeline_keeps_what_the_classifier_predicts():
+    import inspect
+
+    import corpus_pipeline
+
+    assert corpus_pipeline.LEAST_QUALITY == inspect.signature(nbsvm.scored).parameters["least"].default == 0.7
