@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lattica.llm.kernels import Rolling, U, column_bytes, mix, slices
+from lattica.llm.kernels import U, column_bytes, distinct_keys, same_spans, slices, span_keys
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Distinct pieces whose ids a worker keeps (some 50 bytes each); beyond it the store starts afresh.
@@ -249,10 +249,12 @@ def piece_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class TextEncoder:
-    """Ids of whole texts: distinct pieces are looked up by their 64-bit hash in a store of what this worker has encoded.
+    """Ids of whole texts: distinct pieces are looked up by a 64-bit key in a store of what this worker has encoded.
 
-    The store is two sorted tables, a large one and one of recent pieces that is merged into it now and then.
-    encode_all(pieces) returns (ids one after the other, number of ids of each piece).
+    Keys of up to seven bytes are the pieces themselves. Longer pieces are kept, and what has the key of one is compared
+    with it byte by byte; pieces that differ from the one of their key are kept by their bytes. The store is two sorted
+    tables, a large one and one of recent pieces that is merged into it now and then.
+    encode_all(pieces) returns (ids one after the other, number of ids of each piece); pieces are bytes.
     """
 
     def __init__(self, encode_all, kept: int = KEPT_PIECES):
@@ -262,29 +264,34 @@ class TextEncoder:
     def clear(self) -> None:
         nothing = np.zeros(0, U), np.zeros(0, np.int32)
         self.tables = [nothing, nothing]
-        self.size = np.zeros(1024, np.int32)
-        self.start = np.zeros(1024, np.int64)
-        self.flat = np.zeros(4096, np.uint32)
-        self.pieces = self.used = 0
-
-    def _add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Stores new pieces (hashes ascending); returns their numbers."""
-        k, n, m = self.pieces, self.pieces + len(hashes), self.used + len(ids)
-        for name, least in (("size", n), ("start", n), ("flat", m)):
+        self.odd: dict[bytes, int] = {}
+        self.size, self.start = np.zeros(1024, np.int32), np.zeros(1024, np.int64)
+        self.raw_size, self.raw_start = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.flat, self.raw = np.zeros(4096, np.uint32), np.zeros(4096, np.uint8)
+        self.pieces = self.used = self.raw_used = 0
+
+    def _room(self, **least: int) -> None:
+        for name, n in least.items():
             old = getattr(self, name)
-            if len(old) < least:
-                new = np.zeros(least + least // 4, old.dtype)
+            if len(old) < n:
+                new = np.zeros(n + n // 4, old.dtype)
                 new[: len(old)] = old
                 setattr(self, name, new)
-        self.size[k:n] = sizes
+
+    def _stored(self, pieces: list[bytes]) -> np.ndarray:
+        """Encodes and stores pieces; returns their numbers."""
+        ids, sizes = self.encode_all(pieces)
+        long = [p if len(p) > 7 else b"" for p in pieces]
+        raw, raw_sizes = b"".join(long), np.fromiter(map(len, long), np.int64, len(long))
+        k, n, m, r = self.pieces, self.pieces + len(pieces), self.used + len(ids), self.raw_used + len(raw)
+        self._room(size=n, start=n, raw_size=n, raw_start=n, flat=m, raw=r)
+        self.size[k:n], self.raw_size[k:n] = sizes, raw_sizes
         self.start[k:n] = self.used + np.cumsum(sizes) - sizes
+        self.raw_start[k:n] = self.raw_used + np.cumsum(raw_sizes) - raw_sizes
         self.flat[self.used : m] = ids
-        self.pieces, self.used = n, m
-        numbers = np.arange(k, n, dtype=np.int32)
-        self.tables[1] = self._merged(self.tables[1], (hashes, numbers))
-        if len(self.tables[1][0]) * 4 > len(self.tables[0][0]):
-            self.tables = [self._merged(*self.tables), (np.zeros(0, U), np.zeros(0, np.int32))]
-        return numbers
+        self.raw[self.raw_used : r] = np.frombuffer(raw, np.uint8)
+        self.pieces, self.used, self.raw_used = n, m, r
+        return np.arange(k, n, dtype=np.int32)
 
     @staticmethod
     def _merged(x, y):
@@ -292,24 +299,39 @@ class TextEncoder:
         order = np.argsort(keys, kind="stable")
         return keys[order], numbers[order]
 
-    def numbers(self, hashes: np.ndarray, piece_of) -> np.ndarray:
-        """The store's number of each piece (distinct hashes, ascending), encoding the new ones."""
-        if self.pieces > self.kept:
-            self.clear()
-        out = np.full(len(hashes), -1, np.int32)
-        for keys, numbers in self.tables:
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-                out = np.where(keys[at] == hashes, numbers[at], out)
+    def _numbers(self, keys: np.ndarray, piece_of) -> np.ndarray:
+        """The store's number of each key (distinct, ascending), encoding the pieces of new ones."""
+        out = np.full(len(keys), -1, np.int32)
+        for known, numbers in self.tables:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                out = np.where(known[at] == keys, numbers[at], out)
         new = np.flatnonzero(out < 0)
         if len(new):
-            out[new] = self._add(hashes[new], *self.encode_all(piece_of(new)))
+            out[new] = self._stored(piece_of(new))
+            self.tables[1] = self._merged(self.tables[1], (keys[new], out[new]))
+            if len(self.tables[1][0]) * 4 > len(self.tables[0][0]):
+                self.tables = [self._merged(*self.tables), (np.zeros(0, U), np.zeros(0, np.int32))]
         return out
 
-    def gather(self, hashes: np.ndarray, piece_of) -> tuple[np.ndarray, np.ndarray]:
-        """(ids one after the other, number of ids of each piece). piece_of(positions): the pieces as a list of str."""
-        each_hash, where, each = np.unique(hashes, return_index=True, return_inverse=True)
-        number = self.numbers(each_hash, lambda new: piece_of(where[new]))[each]
+    def gather(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, number of ids of each piece) of the pieces data[start:end]. keys: of span_keys()."""
+        if self.pieces > self.kept:
+            self.clear()
+        each, first, inverse = distinct_keys(span_keys(data, start, end) if keys is None else keys)
+        number = self._numbers(each, lambda new: [data[a:b].tobytes() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())])[inverse]
+        size = end - start
+        long = np.flatnonzero((size > 7) | (self.raw_size[number] > 7))
+        fits = self.raw_size[number[long]] == size[long]
+        same = long[fits]
+        fits[fits] = same_spans(data, start[same], self.raw[: self.raw_used], self.raw_start[number[same]], size[same])
+        other = long[~fits]
+        if len(other):  # of the key of another piece
+            pieces = [data[a:b].tobytes() for a, b in zip(start[other].tolist(), end[other].tolist())]
+            new = [p for p in dict.fromkeys(pieces) if p not in self.odd]
+            if new:
+                self.odd |= zip(new, self._stored(new).tolist())
+            number[other] = [self.odd[p] for p in pieces]
         size = self.size[number].astype(np.int64)
         return self.flat[spread(self.start[number], size)], size
 
@@ -331,14 +353,8 @@ def encode_texts(encoder: TextEncoder, data: np.ndarray, offsets: np.ndarray) ->
     if not len(points):
         return np.zeros(0, np.uint32), np.zeros(n, np.int64)
     start = piece_starts(points, bounds[:-1][filled])
-    end = np.append(start[1:], len(points))
-    roll = Rolling.of_tokens(points)
-    hashes = mix(roll(start, end) + (end - start).astype(U) * U(0xA24BAED4963EE407))
-
-    def piece_of(where: np.ndarray) -> list[str]:
-        return [text[a:b] for a, b in zip(start[where].tolist(), end[where].tolist())]
-
-    ids, size = encoder.gather(hashes, piece_of)
+    where = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    ids, size = encoder.gather(data, where[start], where[np.append(start[1:], len(points))])
     sums = np.concatenate([[0], np.cumsum(size)])
     at = np.searchsorted(start, bounds)
     return ids, sums[at[1:]] - sums[at[:-1]]
@@ -350,7 +366,7 @@ _workers: dict[str, tuple[PrefixBpe, TextEncoder]] = {}
 def _worker(ranks_path: str) -> tuple[PrefixBpe, TextEncoder]:
     if ranks_path not in _workers:
         bpe = PrefixBpe(read_ranks(ranks_path))
-        _workers[ranks_path] = bpe, TextEncoder(lambda pieces: flattened([bpe.encode(p.encode()) for p in pieces]))
+        _workers[ranks_path] = bpe, TextEncoder(lambda pieces: flattened([bpe.encode(p) for p in pieces]))
     return _workers[ranks_path]
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.bpe import TextEncoder, spread
 from lattica.llm.files import open_file, write_file
-from lattica.llm.kernels import U, Words, column_bytes, mix, slices
+from lattica.llm.kernels import Words, column_bytes, slices, span_keys
 from lattica.llm.shared import new_folder, written
 
 MAGIC, BLOCK, PERCENTILE = b"LPFOR001", 1024, 95
@@ -150,13 +150,14 @@ def _encoder(path: str) -> TextEncoder:
 
         tokenizer = Tokenizer.from_file(path)
 
-        def encode_all(pieces: list[str], most: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+        def encode_all(pieces: list[bytes], most: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
             """Many pieces in one text, a line each; the offsets tell which line an id is from."""
             if len(pieces) > most:
                 parts = [encode_all(pieces[i : i + most]) for i in range(0, len(pieces), most)]
                 return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            found = tokenizer.encode("\n".join(pieces), add_special_tokens=False)
-            ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)
+            lines = [p.decode() for p in pieces]
+            found = tokenizer.encode("\n".join(lines), add_special_tokens=False)
+            ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)) + 1)
             at = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
             return np.array(found.ids, np.uint32), np.bincount(np.searchsorted(ends, at, "right"), minlength=len(pieces))
 
@@ -182,7 +183,7 @@ def encode_words(encoder: TextEncoder, data: np.ndarray, offsets: np.ndarray, en
     """
     plain = not bool(((data[:-1] == 0x3C) & (data[1:] == 0x7C)).any())
     words = Words(_LOWER[data] if plain else data, offsets)
-    start, end, first, hashes = words.start, words.end, words.first, words.hash
+    start, end, first, keys = words.start, words.end, words.first, words.hash
     if plain and len(start):
         letter = _LETTER[data]
         # the second byte of a Latin-1 letter (but for the signs of multiplication and division)
@@ -193,9 +194,8 @@ def encode_words(encoder: TextEncoder, data: np.ndarray, offsets: np.ndarray, en
         end = np.sort(np.concatenate([end, cut]))
         first = np.searchsorted(start, words.start)
         first = np.append(first, len(start))[words.first]
-        hashes = mix(words.roll(start, end) + (end - start).astype(U) * U(0xA24BAED4963EE407))
-    raw = words.data.tobytes()
-    ids, size = encoder.gather(hashes, lambda where: [raw[a:b].decode() for a, b in zip(start[where].tolist(), end[where].tolist())])
+        keys = span_keys(words.data, start, end)
+    ids, size = encoder.gather(words.data, start, end, keys)
     sums = np.concatenate([[0], np.cumsum(size)])[first]
     each = sums[1:] - sums[:-1]
     n = len(each)

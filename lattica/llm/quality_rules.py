@@ -3,7 +3,11 @@
 Per text, the word suffixes that share a first pair of words are sorted by prefix doubling; adjacent common prefixes
 (word-hash binary descent) give the longest-common-prefix intervals. A suffix's deepest interval is its longest repeat,
 and the union of those spans is the union of all maximal repeated substrings of at least `min_repeat` words. A text is
-rejected if the union covers more than `max_covered` of its words or one repeat has more than `max_longest` words.
+rejected if the union covers more than `max_covered` of its words or one repeat has more than `max_longest` words. The
+defaults: 15 % of the words in repeats of five and more, which is the limit that web corpora commonly set for repeated
+5-grams, and a repeat of over 50 words, longer than a line or a refrain.
+
+Words and lines are equal if their bytes are; the lengths of repeats come from hashes modulo 2**61 - 1.
 
 Defined results: null or empty text has no words, so base_failed and not kept; repeated documents are judged one by one
 alike; an empty table gives an empty table; extra columns are ignored. A text is handled whole, in one task.
@@ -17,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lattica.llm.kernels import SPACE, U, Rolling, Words, column_bytes, mix, per_text, runs, slices
+from lattica.llm.kernels import SPACE, U, Rolling, Words, column_bytes, distinct_keys, per_text, runs, slices, span_numbers
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -27,19 +31,20 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
 
-def repeats(tokens: np.ndarray, text: np.ndarray, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
+def repeats(word: np.ndarray, text: np.ndarray, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """(position, length) of the longest repeat within its text that starts at each position, where >= least (>= 2).
 
-    The suffix array holds only suffixes whose first two words occur again in their text; all others repeat nothing.
+    word: numbers from 0, equal for equal words. The suffix array holds only suffixes whose first two words occur again in
+    their text; all others repeat nothing.
     """
-    n = len(tokens)
+    n = len(word)
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    _, word = np.unique(tokens, return_inverse=True)
     follow = np.zeros(n, np.int64)
     follow[:-1] = np.where(text[1:] == text[:-1], word[1:] + 1, 0)
     m = int(word.max()) + 2
-    _, pair, count = np.unique((text * m + word) * m + follow, return_inverse=True, return_counts=True)
+    _, _, pair = distinct_keys((text * m + word) * m + follow)
+    count = np.bincount(pair)
     # A rank is the number of suffixes before the group, so groups can be split without renumbering others.
     rank = (np.cumsum(count) - count)[pair]
     ends = np.searchsorted(text, text, "right")
@@ -64,21 +69,21 @@ def repeats(tokens: np.ndarray, text: np.ndarray, least: int = 2) -> tuple[np.nd
     order = live[np.argsort(rank[live], kind="stable")]
     if not len(order):
         return order, order
-    shared = common_prefix(Rolling.of_tokens(tokens), order[:-1], order[1:], ends)
+    shared = common_prefix(Rolling(word), order[:-1], order[1:], ends)
     longest = np.maximum(np.append(shared, 0), np.insert(shared, 0, 0))
     keep = longest >= least
     return order[keep], longest[keep]
 
 
 def common_prefix(roll: Rolling, a: np.ndarray, b: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of the suffixes at a and b within their texts (0 across texts), by binary descent."""
+    """Length of the common prefix of the suffixes at a and b within their texts (0 across texts), by binary descent over hashes."""
     most = np.where(ends[a] == ends[b], ends[a] - np.maximum(a, b), 0)
     size = np.zeros(len(a), np.int64)
     step = 1 << int(most.max(initial=0)).bit_length()
     while step:
         to = size + step
         can = np.flatnonzero(to <= most)
-        same = roll(a[can], a[can] + to[can]) == roll(b[can], b[can] + to[can])
+        same = roll.same(a[can], b[can], to[can])
         size[can[same]] = to[can[same]]
         step >>= 1
     return size
@@ -106,21 +111,22 @@ def measure(data: np.ndarray, offsets: np.ndarray, min_repeat: int) -> dict[str,
     full = seen[end] > seen[start]
     start, end = start[full], end[full]
     line_text = np.searchsorted(offsets, start, "right") - 1
-    line = mix(words.roll(start, end) + (end - start).astype(U)) ^ mix(line_text.astype(U))
-    _, first = np.unique(line, return_index=True)
+    _, first, _ = distinct_keys(line_text * (len(start) + 1) + span_numbers(data, start, end))
     out["n_dup_lines"] = np.bincount(line_text, minlength=n) - np.bincount(line_text[first], minlength=n)
 
+    word = span_numbers(data, words.start, words.end)
     again = np.zeros(len(text), bool)
     if len(text) > 2:
-        window = np.flatnonzero(text[2:] == text[:-2])
-        roll = Rolling.of_tokens(words.hash)
-        _, group, count = np.unique(mix(roll(window, window + 3)) ^ mix(text[window].astype(U)), return_inverse=True, return_counts=True)
-        found = window[count[group] > 1]
+        window, m = np.flatnonzero(text[2:] == text[:-2]), len(word) + 1
+        group = text[window]
+        for k in range(3):
+            _, _, group = distinct_keys(group * m + word[window + k])
+        found = window[np.bincount(group)[group] > 1]
         for k in range(3):
             again[found + k] = True
     out["n_repeat_words"] = np.bincount(text[again], minlength=n)
 
-    position, length = repeats(words.hash, text, min_repeat)
+    position, length = repeats(word, text, min_repeat)
     out["covered_words"] = np.bincount(text[covered(position, length, len(text))], minlength=n)
     longest = np.zeros(n, np.int64)
     np.maximum.at(longest, text[position], length)
@@ -128,7 +134,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, min_repeat: int) -> dict[str,
     return out
 
 
-def quality_rules(docs: DataFrame, min_repeat: int = 4, max_covered: float = 0.4, max_longest: int = 100) -> DataFrame:
+def quality_rules(docs: DataFrame, min_repeat: int = 5, max_covered: float = 0.15, max_longest: int = 50) -> DataFrame:
     """Verdicts on documents(doc_id, text); no shuffle, one pass over the text column only."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

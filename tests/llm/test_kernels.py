@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lattica.llm import bpe, jaccard, nbsvm, pfor, quality_rules, sa_dedup, secrets, suffix_sort, topk, warc
-from lattica.llm.kernels import Words, column_bytes, slices
+from lattica.llm.kernels import Rolling, Words, column_bytes, powers, same_spans, slices, span_keys, span_numbers, times
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TEXTS = [None, "", " ", "\n\n", "a", "a b", "a b c a b c", "é　ü x\n\nx\nx", "l #*\nl #*\n" * 9, "w " * 300, "0123456789abcdef" * 40, "中文 字 中文 字 中文 字"]
@@ -38,6 +38,66 @@ def test_words_and_slices():
     assert column_bytes(sliced)[0].tobytes() == b"yy"
 
 
+def thue_morse(n):
+    """A word of n letters and its complement: polynomial hashes modulo 2**64 are equal from 1,024 letters on."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_products_modulo_the_prime():
+    p, r = (1 << 61) - 1, random.Random(1)
+    x, y = ([*(r.randrange(p) for _ in range(3000)), p - 1, p - 1, 0, 1] for _ in range(2))
+    assert times(np.array(x, np.uint64), np.array(y, np.uint64)).tolist() == [a * b % p for a, b in zip(x, y)]
+    up = powers(300).tolist()
+    assert all(b == a * up[1] % p for a, b in zip(up, up[1:]))
+    x, y = thue_morse(2048)
+    roll = Rolling(np.array([*map(ord, x + y + x)]))
+    at = np.array([0, 0, 0, 1]), np.array([2048, 4096, 2047, 4097]), np.array([2048, 2048, 1, 2000])
+    assert roll.same(*at).tolist() == [False, True, y[-1] != x[-1] and x[0] == y[-2] or x[0] == x[2047], True]
+
+
+def test_keys_and_numbers_of_spans():
+    r = random.Random(3)
+    spans = [bytes(r.choices(b"ab\0", k=n)) for n in [*range(40), *range(40), 255, 256, 257, 300, 5000] for _ in range(6)]
+    spans += [w.encode() for n in (1024, 2048, 4096) for w in (*thue_morse(n), thue_morse(n)[0])]
+    data = np.frombuffer(b"".join(spans), np.uint8)
+    end = np.cumsum([len(s) for s in spans])
+    start = end - [len(s) for s in spans]
+    key, number = span_keys(data, start, end).tolist(), span_numbers(data, start, end).tolist()
+    assert len(set(key)) == len(set(number)) == len(set(zip(key, spans))) == len(set(zip(number, spans))) == len(set(spans))
+    long = np.flatnonzero(end - start >= 8)
+    other = r.choices(long.tolist(), k=len(long))
+    size = np.minimum((end - start)[long], (end - start)[other])
+    want = [spans[a][:n] == spans[b][:n] for a, b, n in zip(long, other, size)]
+    assert same_spans(data, start[long], data, start[other], size).tolist() == want and any(want) and not all(want)
+
+
+def test_lines_and_words_that_plain_hashes_confuse():
+    x, y = thue_morse(2048)
+    m = quality_rules.measure(*arrays([f"{x}\n{y}\n{x}", f"{' '.join(x)} {' '.join(y)}"]), 4)
+    assert m["n_dup_lines"].tolist() == [1, 0]
+    value, text = jaccard.shingle_sets(*arrays([x, y, f"{x} q r", f"{y} q r"]))
+    assert len(set(value.tolist())) == 4
+    words = [*x, *y]
+    spans, longest = suffix_array_repeats(words)
+    assert m["longest_repeat"][1] == longest and m["covered_words"][1] == spans
+
+
+def suffix_array_repeats(words):
+    """(covered positions by repeats of 4 and more, longest repeat) from sorted suffixes."""
+    text = "".join(words)
+    order = sorted(range(len(text)), key=lambda i: text[i:])
+    covered, longest = set(), 0
+    for a, b in zip(order, order[1:]):
+        n = 0
+        while max(a, b) + n < len(text) and text[a + n] == text[b + n]:
+            n += 1
+        longest = max(longest, n)
+        if n >= 4:
+            covered |= {*range(a, a + n), *range(b, b + n)}
+    return len(covered), longest
+
+
 def repeats(words, least):
     """(covered positions, longest repeat) by comparing all pairs."""
     covered, longest = set(), 0
@@ -212,11 +272,34 @@ def test_bpe_pairs_appends_and_edits(coder):
 
 def test_store_starts_afresh(coder):
     (own, _), library = coder
-    small = bpe.TextEncoder(lambda pieces: bpe.flattened([own.encode(p.encode()) for p in pieces]), kept=3)
+    small = bpe.TextEncoder(lambda pieces: bpe.flattened([own.encode(p) for p in pieces]), kept=3)
     for t in ("one two three four five six", "two six seven", "one"):
         assert bpe.encode_texts(small, *arrays([t]))[0].tolist() == library.encode_ordinary(t)
 
 
+def test_pieces_are_told_by_their_bytes(coder):
+    (own, _), library = coder
+    encode = lambda pieces: bpe.flattened([own.encode(p) for p in pieces])
+    pieces = [b"considerable", b"considerably", b"short", b"consider", b"considerable", b" considerably"] * 2
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    end = np.cumsum([len(p) for p in pieces])
+    start = end - [len(p) for p in pieces]
+    keys = np.where(end - start > 7, np.uint64(1 << 63), span_keys(data, start, end))  # all long pieces have one key
+    store = bpe.TextEncoder(encode)
+    for _ in range(2):
+        ids, size = store.gather(data, start, end, keys)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [library._encode_single_piece(p) for p in pieces]
+    path = tokenizer_path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    texts = [w for n in (1024, 2048, 4096) for w in thue_morse(n)] * 2
+    words = Tokenizer.from_file(path)
+    ids, size = pfor.encode_words(pfor._encoder(path), *arrays(texts), 1)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [words.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    ids, size = bpe.encode_texts(coder[0][1], *arrays(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [library.encode_ordinary(t) for t in texts]
+
+
 def test_suffix_sort_against_sorting():
     r = random.Random(1)
     for t in range(250):
@@ -235,7 +318,7 @@ def test_regions_hold_every_window_once(monkeypatch):
     data, offsets = arrays(texts)
     monkeypatch.setattr(sa_dedup, "PART", 256)
     anchor_of = {}
-    for text, anchor, place, first, last, _ in sa_dedup.regions(data, offsets, 20):
+    for text, anchor, place, first, last in sa_dedup.regions(data, offsets, 20):
         for row in zip(text, anchor, place, first, last):
             for p in range(row[3], row[4] + 1):
                 key = row[0], p
