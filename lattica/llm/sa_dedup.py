@@ -5,8 +5,15 @@ A suffix array of the whole corpus isn't built at once. Every window of `length`
 they meet in the group of that anchor; an anchor is chosen about once in length / 4 bytes. Anchors that occur once are
 dropped. Of the others, each occurrence is a region: the windows it is the anchor of. Equal regions form a class; a class
 of two or more repeats whole. Classes of the same anchor that differ are sorted together: two-stage suffix sorting
-(suffix_sort), then adjacent common prefixes of `length` bytes or more. Groups of more than HOT_CLASSES different regions
-are never in one task: their windows are counted by hash, by Spark.
+(suffix_sort), then adjacent common prefixes of `length` bytes or more.
+
+A group is sorted in one task, so groups of over GROUP_CLASSES classes are split first: each region into the windows that
+have more and those that have fewer bytes before the anchor. All windows of a half hold more bytes around the anchor in
+common; these bytes are the half's new group. Equal windows stay together, equal halves are a class again, and a group
+that is still large is split again; after log2(length / 2) times a group has one class. All groups go the same way.
+
+Anchors, regions and texts are told apart by 64-bit hashes: anchors only bring regions together, whose bytes are compared;
+regions are equal if anchor and hash are.
 
 Defined results: null text counts as empty; texts under `length` bytes lose nothing; strings are judged on the input, and
 overlaps count; rows that repeat a document, whatever their doc_id, repeat each other; an empty table gives an empty table;
@@ -16,26 +23,41 @@ extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from lattica.llm.kernels import U, Rolling, column_bytes, mix, slices
+from lattica.llm.kernels import U, column_bytes, mix, slices
 from lattica.llm.shared import in_bitmap, lookup, low_bits_bitmap, written
 from lattica.llm.suffix_sort import repeated_windows
 
-LENGTH, HOT_CLASSES = 400, 1024
-#: Bytes that are cut into windows, or sorted, at a time; a longer text is cut in parts that overlap.
-PART, SORT_BYTES = 1 << 21, 1 << 20
+LENGTH, GROUP_CLASSES = 400, 256
+#: Bytes that are cut into windows, or sorted, at a time (a longer text is cut in parts that overlap), and of a sorting task.
+PART, SORT_BYTES, TASK_BYTES = 1 << 21, 1 << 20, 4 << 20
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _PLACE = 24
+_CODE = mix((np.arange(256, dtype=U) + U(1)) * U(0xD1B54A32D192ED03))
+_BASE = 0x9E3779B97F4A7C15
+_steps: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+
+
+def grams(data: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the k bytes at every place (polynomial, modulo 2**64); it only chooses anchors and brings regions together."""
+    n = len(data) + 1
+    if len(_steps[0]) < n:
+        for i, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _steps[i] = np.cumprod(np.concatenate([np.ones(1, U), np.full((1 << (n - 1).bit_length()) - 1, x, U)]), dtype=U)
+    sums = np.zeros(n, U)
+    np.cumsum(_CODE[data] * _steps[0][: n - 1], out=sums[1:])
+    return mix((sums[k:] - sums[:-k]) * _steps[1][: n - k])
 
 
 def regions(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, anchor's hash, its place, first and last window, the region's hash) of all regions; places within the texts."""
+    """(text, anchor's hash, its place, first and last window) of all regions; places within the texts."""
     for a, b in slices(offsets, PART):
         if b - a == 1 and offsets[b] - offsets[a] > PART:
             size = int(offsets[b] - offsets[a])
@@ -54,9 +76,8 @@ def _regions(data: np.ndarray, offsets: np.ndarray, length: int, text: int, shif
     none = np.zeros(0, np.int64)
     size = np.diff(offsets)
     if n < length or not (size >= length).any():
-        return none, none.astype(U), none, none, none, none.astype(U)
-    roll = Rolling.of_bytes(data)
-    gram = mix(roll.sliding(k))
+        return none, none.astype(U), none, none, none
+    gram = grams(data, k)
     key = (gram >> U(_PLACE) << U(_PLACE)) | np.arange(len(gram), dtype=U)
     # the least of each `wide` keys in a row: of blocks, the least from the left and from the right
     blocks = -(-len(key) // wide) + 1
@@ -77,22 +98,21 @@ def _regions(data: np.ndarray, offsets: np.ndarray, length: int, text: int, shif
     head = np.flatnonzero(new)
     first, last = start[head], start[np.append(head[1:], len(start)) - 1]
     anchor, of = anchor[head], of[head]
-    content = mix(roll(first, last + length) ^ mix(((anchor - first) << 12 | (last - first)).astype(U)))
     at = offsets[of] - shift
-    return of + text, gram[anchor], anchor - at, first - at, last - at, content
+    return of + text, gram[anchor], anchor - at, first - at, last - at
 
 
 def _slim(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text")
 
 
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    raw = memoryview(np.ascontiguousarray(data))
+    return np.fromiter((xxh3_64_intdigest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist())), U, len(start)).view(np.int64)
+
+
 def _text_hash(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    out = []
-    for a, b in slices(offsets, PART):
-        o = offsets[a : b + 1]
-        roll = Rolling.of_bytes(data[o[0] : o[-1]])
-        out.append(mix(roll(o[:-1] - o[0], o[1:] - o[0]) + np.diff(o).astype(U) * U(0xA24BAED4963EE407)))
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+    return _hashes(data, offsets[:-1], offsets[1:])
 
 
 def _own_id(column: pa.Array) -> np.ndarray:
@@ -120,9 +140,13 @@ def occurrences(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
             own, th = _own_id(batch.column("doc_id")), _text_hash(data, offsets)
-            for text, anchor, place, first, last, content in regions(data, offsets, length):
-                keep = np.flatnonzero(in_bitmap(shared.value, anchor & U((1 << bits) - 1)))
-                values = (anchor.view(np.int64)[keep], content.view(np.int64)[keep], own[text[keep]], th[text[keep]], place[keep], first[keep], last[keep])
+            for found in regions(data, offsets, length):
+                keep = in_bitmap(shared.value, found[1] & U((1 << bits) - 1))
+                text, anchor, place, first, last = (x[keep] for x in found)
+                at = offsets[text]
+                # the same bytes around the anchor at the same place
+                content = _hashes(data, at + first, at + last + length) ^ mix((place - first).astype(U)).view(np.int64)
+                values = (anchor.view(np.int64), content, own[text], th[text], place, first, last)
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, [pa.int64()] * 4 + [pa.int32()] * 3)], names=["anchor", "region", "own", "th", "place", "first", "last"])
 
     found = _slim(docs).mapInArrow(run, "anchor long, region long, own long, th long, place int, first int, last int")
@@ -146,8 +170,8 @@ def _texts(docs: DataFrame, of: DataFrame) -> DataFrame:
 
 
 def _cut(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """anchor, region, place, first, hot, data: the bytes of one region of each wanted class."""
-    lists = wanted.groupBy("own", "th").agg(F.collect_list(F.struct("anchor", "region", "place", "first", "last", "hot")).alias("regions"))
+    """anchor, region, shift, data: the bytes of one region of each wanted class, and the anchor's place in them."""
+    lists = wanted.groupBy("own", "th").agg(F.collect_list(F.struct("anchor", "region", "place", "first", "last")).alias("regions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,12 +180,12 @@ def _cut(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 text = data[offsets[i] : offsets[i + 1]]
                 bytes_ = [text[r["first"] : r["last"] + length].tobytes() for r in found]
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array([r[c] for r in found], t) for c, t in (("anchor", pa.int64()), ("region", pa.int64()), ("place", pa.int32()), ("first", pa.int32()), ("hot", pa.bool_()))), pa.array(bytes_, pa.binary())],
-                    names=["anchor", "region", "place", "first", "hot", "data"],
+                    [*(pa.array([r[c] for r in found], pa.int64()) for c in ("anchor", "region")), pa.array([r["place"] - r["first"] for r in found], pa.int32()), pa.array(bytes_, pa.binary())],
+                    names=["anchor", "region", "shift", "data"],
                 )
 
     joined = texts.join(lists, ["own", "th"]).dropDuplicates(["own", "th"]).select("data", "regions")
-    return joined.mapInArrow(run, "anchor long, region long, place int, first int, hot boolean, data binary")
+    return joined.mapInArrow(run, _PIECES)
 
 
 def _spans(flags: np.ndarray, length: int) -> tuple[list[int], list[int]]:
@@ -173,6 +197,7 @@ def _spans(flags: np.ndarray, length: int) -> tuple[list[int], list[int]]:
     return at[np.append(0, cut + 1)].tolist(), (at[np.append(cut, len(at) - 1)] + length).tolist()
 
 
+_PIECES = "anchor long, region long, shift int, data binary"
 _SPANS = "anchor long, region long, starts array<int>, ends array<int>"
 
 
@@ -182,7 +207,7 @@ def _spans_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["anchor", "region", "starts", "ends"])
 
 
-def _sorted_groups(cut: DataFrame, length: int) -> DataFrame:
+def _sorted_groups(cut: DataFrame, length: int, tasks: int) -> DataFrame:
     """Spans, relative to the anchor, of windows that repeat in another region of the same anchor, by suffix sorting."""
 
     def solve(group: list[tuple[int, int, int, bytes]]) -> list[tuple]:
@@ -202,75 +227,93 @@ def _sorted_groups(cut: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, size = [], 0
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("anchor", "region", "place", "first", "data"))
-            for anchor, region, place, first, data in zip(*columns):
+            columns = (batch.column(c).to_pylist() for c in ("anchor", "region", "shift", "data"))
+            for anchor, region, shift, data in zip(*columns):
                 if size >= SORT_BYTES and anchor != group[-1][0]:
                     yield _spans_batch(solve(group))
                     group, size = [], 0
-                group.append((anchor, region, place - first, data))
+                group.append((anchor, region, shift, data))
                 size += len(data)
         if group:
             yield _spans_batch(solve(group))
 
-    ordered = cut.where("NOT hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor", "region")
-    return ordered.mapInArrow(run, _SPANS)
+    return cut.repartition(tasks, "anchor").sortWithinPartitions("anchor", "region").mapInArrow(run, _SPANS)
 
 
-def _counted_windows(cut: DataFrame, length: int) -> DataFrame:
-    """The same for anchors of very many different regions: windows that repeat by their 128-bit hash."""
+def _halves(pieces: DataFrame, length: int) -> DataFrame:
+    """anchor, region, sub, piece, shift, data, low, high: of pieces whose windows have low to high bytes before the anchor,
+    those with fewer and those with more; sub is the hash of what all windows of such a half have in common."""
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("anchor", "region", "place", "first", "data"))
-            for anchor, region, place, first, data in zip(*columns):
-                d = np.frombuffer(data, np.uint8)
-                h1 = Rolling.of_bytes(d).sliding(length)
-                h2 = Rolling.of_tokens(d).sliding(length)
-                n = len(h1)
-                at = np.arange(n) - (place - first)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, anchor)), pa.array(np.full(n, region)), pa.array(at, pa.int32()), pa.array(mix(h1).view(np.int64)), pa.array(mix(h2).view(np.int64))],
-                    names=["anchor", "region", "at", "h1", "h2"],
-                )
-
-    windows = cut.where("hot").mapInArrow(hashes, "anchor long, region long, at int, h1 long, h2 long")
-    keys = ["anchor", "at", "h1", "h2"]
-    twice = windows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
-    found = lookup(windows, keys, written(twice, "sa-windows"), 1 << 20, "inner")
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.uint64(), pa.uint64(), pa.int32(), pa.binary(), pa.int32(), pa.int32())
         for batch in batches:
-            rows = []
-            for anchor, region, at in zip(*(batch.column(c).to_pylist() for c in ("anchor", "region", "at"))):
-                a = np.sort(np.array(at))
-                s, e = _spans(np.bincount(a - a[0]), length)
-                rows.append((anchor, region, [x + int(a[0]) for x in s], [x + int(a[0]) for x in e]))
-            yield _spans_batch(rows)
-
-    return found.groupBy("anchor", "region").agg(F.collect_list("at").alias("at")).mapInArrow(merge, _SPANS)
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, hot_classes: int = HOT_CLASSES) -> DataFrame:
+            rows: list[tuple] = []
+            for anchor, region, shift, data, low, high in zip(*(batch.column(c).to_pylist() for c in ("anchor", "region", "shift", "data", "low", "high"))):
+                middle = (low + high) // 2
+                for a, b in ((low, middle), (middle + 1, high)):
+                    # windows with a to b bytes before the anchor, of those that the piece has
+                    first, last = max(shift - b, 0), min(shift - a, len(data) - length)
+                    if first > last:
+                        continue
+                    common, own = data[shift - a : shift - b + length], data[first : last + length]
+                    seed = (anchor ^ a) & (1 << 64) - 1
+                    rows.append((anchor, region, xxh3_64_intdigest(common, seed), xxh3_64_intdigest(own, shift - first), shift - first, own, a, b))
+            columns = [pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)]
+            columns[2:4] = [c.view(pa.int64()) for c in columns[2:4]]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "region", "sub", "piece", "shift", "data", "low", "high"])
+
+    return pieces.mapInArrow(run, "anchor long, region long, sub long, piece long, shift int, data binary, low int, high int")
+
+
+def _joined_spans(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("anchor", "region").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends")))
+
+
+def _several(classes: DataFrame, cut: Callable[[DataFrame], DataFrame], length: int, most: int) -> DataFrame:
+    """Spans, relative to the anchor, of windows that repeat in another class of the same anchor; a class may have two rows.
+
+    classes: anchor, region, low, high and what cut needs to give anchor, region, shift and data of classes.
+    """
+    groups = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_rows"), F.first("low").alias("low"), F.first("high").alias("high")).where("n_rows > 1")
+    groups = written(groups.withColumn("large", (F.col("n_rows") > most) & (F.col("low") < F.col("high"))), "sa-groups")
+    wanted = written(lookup(classes.drop("low", "high"), ["anchor"], groups.select("anchor", "n_rows"), classes.count(), "inner"), "sa-wanted")
+    pieces = written(cut(wanted), "sa-cut")
+    n, total = pieces.agg(F.count(F.lit(1)), F.sum(F.octet_length("data"))).first()
+    tasks = min(50_000, 1 + (total or 0) // TASK_BYTES)
+    if groups.where("large").isEmpty():
+        return written(_sorted_groups(pieces, length, tasks), "sa-spans")
+    pieces = lookup(pieces, ["anchor"], groups, n, "inner")
+    spans = written(_sorted_groups(pieces.where("NOT large").select("anchor", "region", "shift", "data"), length, tasks), "sa-spans")
+    halves = written(_halves(pieces.where("large"), length), "sa-halves")
+    parts = halves.groupBy(F.col("sub").alias("anchor"), F.col("piece").alias("region")).agg(
+        F.count(F.lit(1)).alias("n_rows"), *(F.first(c).alias(c) for c in ("shift", "low", "high", "data"))
+    )
+    parts = written(parts, "sa-classes")
+    again = parts.where("n_rows > 1")
+    whole = again.select("anchor", "region", F.array(-F.col("shift")).alias("starts"), F.array(F.octet_length("data") - F.col("shift")).alias("ends"))
+    more = _several(parts.select("anchor", "region", "low", "high", "shift", "data"), lambda w: w.select("anchor", "region", "shift", "data"), length, most)
+    single = _joined_spans(more).join(parts.where("n_rows = 1").select("anchor", "region"), ["anchor", "region"])
+    found = whole.unionByName(single).join(parts.select("anchor", "region", "n_rows"), ["anchor", "region"])
+    table = written(found.withColumnsRenamed({"anchor": "sub", "region": "piece"}), "sa-table")
+    back = lookup(halves.select("anchor", "region", "sub", "piece"), ["sub", "piece"], table, halves.count(), "inner")
+    return written(spans.unionByName(back.select("anchor", "region", "starts", "ends")), "sa-spans")
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = GROUP_CLASSES) -> DataFrame:
     """own, th, s, e: byte spans to remove, by text; they may overlap."""
     found = occurrences(docs, repeated_anchors(docs, length), length)
-    classes = written(
-        found.groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.struct("own", "th", "place", "first", "last")).alias("r")), "sa-classes"
+    classes = found.groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.struct("own", "th", "place", "first", "last")).alias("r"))
+    classes = written(classes, "sa-classes")
+    several = _several(
+        classes.select("anchor", "region", F.lit(0).alias("low"), F.lit(length - length // 2).alias("high"), "r.*"),
+        lambda wanted: _cut(_texts(docs, wanted.select("th").distinct()), wanted, length),
+        length,
+        most,
     )
-    groups = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("n_rows")).where("n > 1")
-    groups = written(groups.select("anchor", (F.col("n") > hot_classes).alias("hot"), "n_rows"), "sa-groups")
-    n_classes = classes.count()
-    wanted = lookup(classes.select("anchor", "region", "r"), ["anchor"], groups, n_classes, "inner").select("anchor", "region", "hot", "r.*")
-    wanted = written(wanted, "sa-wanted")
-    cut = _cut(_texts(docs, wanted.select("th").distinct()), wanted, length)
-    several = _sorted_groups(cut, length)
-    if not groups.where("hot").isEmpty():
-        cut = written(cut, "sa-cut")
-        several = _sorted_groups(cut, length).unionByName(_counted_windows(cut, length))
-    several = written(several, "sa-spans")
     whole = classes.where("n_rows > 1").select(
         "anchor", "region", F.array(F.col("r.first") - F.col("r.place")).alias("starts"), F.array(F.col("r.last") - F.col("r.place") + length).alias("ends"), "n_rows"
     )
-    single = several.join(classes.where("n_rows = 1").select("anchor", "region", "n_rows"), ["anchor", "region"])
+    single = _joined_spans(several).join(classes.where("n_rows = 1").select("anchor", "region", "n_rows"), ["anchor", "region"])
     table = written(whole.unionByName(single), "sa-table")
     hit = lookup(found.select("anchor", "region", "own", "th", "place"), ["anchor", "region"], table, found.count(), "inner")
     return hit.select("own", "th", "place", F.explode(F.arrays_zip("starts", "ends")).alias("x")).select(
@@ -278,10 +321,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot_classes: int = HOT
     )
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, hot_classes: int = HOT_CLASSES) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = LENGTH, most: int = GROUP_CLASSES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes' digest of each document."""
     spans = written(
-        repeated_spans(docs, length, hot_classes).groupBy("own", "th").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans")), "sa-removed"
+        repeated_spans(docs, length, most).groupBy("own", "th").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans")), "sa-removed"
     )
     bits, words = low_bits_bitmap(spans.select("th").distinct(), "th")
     shared = docs.sparkSession.sparkContext.broadcast(words)

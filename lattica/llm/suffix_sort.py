@@ -2,14 +2,15 @@
 
 Stage one sorts directly only the suffixes that are smaller than their successors (type S). Stage two scans the buckets of
 first bytes in ascending order and induces the others (type L): the predecessor of a suffix in a bucket, if it is of type L,
-follows in the bucket of its own first byte. Suffixes are ordered to a depth of `depth` bytes at least.
+follows in the bucket of its own first byte. Suffixes are ordered to a depth of `depth` bytes at least. Bytes themselves are
+compared, eight at a time; nothing rests on hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from lattica.llm.kernels import U, Rolling
+from lattica.llm.kernels import U, loads
 
 
 def is_smaller(data: np.ndarray) -> np.ndarray:
@@ -23,73 +24,80 @@ def is_smaller(data: np.ndarray) -> np.ndarray:
     return np.repeat(up, np.diff(np.append(start, n)))
 
 
-def shared_prefix(roll: Rolling, a: np.ndarray, b: np.ndarray, end: int, most: int) -> np.ndarray:
-    """Common prefix of the suffixes at a and b, up to `most`, by binary descent over hashes."""
-    limit = np.minimum(most, end - np.maximum(a, b))
-    size = np.zeros(len(a), np.int64)
-    step = 1 << max(0, int(most).bit_length() - 1)
-    while step:
-        to = size + step
-        can = np.flatnonzero(to <= limit)
-        same = roll(a[can], a[can] + to[can]) == roll(b[can], b[can] + to[can])
-        size[can[same]] = to[can[same]]
-        step >>= 1
-    return size
+def needed(small: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The wanted suffixes and those that these are induced from: all up to the next one of type S."""
+    n = len(small)
+    to = np.where(small, np.arange(n), n - 1)
+    to = np.minimum.accumulate(to[::-1])[::-1]
+    edge = np.zeros(n + 1, np.int64)
+    at = np.flatnonzero(wanted)
+    edge[at] += 1
+    np.subtract.at(edge, to[at] + 1, 1)
+    return np.cumsum(edge[:-1]) > 0
 
 
-def sort_directly(data: np.ndarray, at: np.ndarray, roll: Rolling, depth: int) -> np.ndarray:
-    """The suffixes at `at` in order to `depth` bytes: groups that tie are split where their members first differ."""
-    n = len(data)
-    pad = np.concatenate([data, np.zeros(16, np.uint8)]).astype(U)
-    word = pad[:-7].copy()
-    word <<= U(56)
-    for k in range(1, 8):
-        word |= pad[k : len(pad) - 7 + k] << U(56 - 8 * k)
-    # where the text ends within the eight bytes, its end must come before a zero byte: the length breaks that tie
-    order = np.lexsort((np.minimum(8, n - at), word[at]))
+def sort_directly(word: np.ndarray, at: np.ndarray, n: int, depth: int) -> np.ndarray:
+    """The suffixes at `at` of n bytes in order to `depth` bytes; word: the eight bytes at each place, first one highest.
+
+    All groups that tie go on by eight bytes in every round: a group of equal ones as it is, any other in new order.
+    """
+
+    def by(keys: np.ndarray, place: np.ndarray, group: np.ndarray | None) -> np.ndarray:
+        if len(place) and place.max() + 8 > n:  # the end comes before a zero byte
+            return np.lexsort((np.minimum(8, n - place), keys, *(() if group is None else (group,))))
+        order = np.argsort(keys)
+        if group is None:
+            return order
+        narrow = group.astype(np.uint16) if group[-1] < 1 << 16 else group
+        return order[np.argsort(narrow[order], kind="stable")]
+
+    def fresh(keys: np.ndarray, place: np.ndarray, group: np.ndarray | None) -> np.ndarray:
+        length = np.clip(n - place, 0, 8)
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (length[1:] != length[:-1])
+        if group is not None:
+            new[1:] |= group[1:] != group[:-1]
+        return new
+
+    order = by(word[at], at, None)
     out = at[order]
-    place = np.arange(len(out))
-    key, length = word[out], np.minimum(8, n - out)
-    new = np.ones(len(out), bool)
-    new[1:] = (key[1:] != key[:-1]) | (length[1:] != length[:-1])
+    new = fresh(word[out], out, None)
+    place, member, skip = np.arange(len(out)), out, 0
     while True:
         group = np.cumsum(new) - 1
-        size = np.bincount(group) if len(group) else np.zeros(0, np.int64)
-        tied = size[group] > 1 if len(group) else np.zeros(0, bool)
-        if not tied.any():
+        tied = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
+        skip += 8
+        place, member = place[tied], member[tied]
+        if skip >= depth or not len(place):
             return out
-        place, group = place[tied], group[tied]
-        member = out[place]
+        group = group[tied]
+        group = np.cumsum(np.append(0, group[1:] != group[:-1]))
+        keys = word[np.minimum(member + skip, n)]
+        new = fresh(keys, member + skip, group)
         head = np.ones(len(group), bool)
         head[1:] = group[1:] != group[:-1]
-        first = member[np.maximum.accumulate(np.where(head, np.arange(len(group)), 0))]
-        alike = shared_prefix(roll, first, member, n, depth)
-        alike[head] = depth
-        least = np.minimum.reduceat(alike, np.flatnonzero(head))
-        which = np.cumsum(head) - 1
-        go = least[which] < depth
-        place, group, member, skip = place[go], which[go], member[go], least[which][go]
-        if not len(place):
-            return out
-        there = member + skip
-        key, length = word[np.minimum(there, n)], np.minimum(8, n - there)
-        by = np.lexsort((length, key, group))
-        out[place] = member[by]
-        group, key, length = group[by], key[by], length[by]
-        new = np.ones(len(place), bool)
-        new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1]) | (length[1:] != length[:-1])
+        mixed = np.bincount(group, new & ~head)[group] > 0
+        some = np.flatnonzero(mixed)
+        if len(some):
+            order = some[by(keys[some], np.minimum(member[some] + skip, n), group[some])]
+            member[some], keys[some] = member[order], keys[order]
+            out[place[some]] = member[some]
+            new[some] = fresh(keys[some], member[some] + skip, group[some])
 
 
-def suffix_array(data: np.ndarray, depth: int, roll: Rolling | None = None) -> np.ndarray:
+def suffix_array(data: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """All suffixes in order, or those that `wanted` flags and others that they were induced from."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
-    roll = roll or Rolling.of_bytes(data)
     small = is_smaller(data)
-    direct = sort_directly(data, np.flatnonzero(small), roll, depth)
+    asked = np.ones(n, bool) if wanted is None else needed(small, wanted)
+    direct = sort_directly(loads(data).byteswap(), np.flatnonzero(small & asked), n, depth)
     bounds = np.searchsorted(data[direct], np.arange(257))
+    larger = asked & ~small
     coming: list[list[np.ndarray]] = [[] for _ in range(256)]
-    coming[data[n - 1]].append(np.array([n - 1]))
+    if asked[n - 1]:
+        coming[data[n - 1]].append(np.array([n - 1]))
     out = []
     for c in range(256):
         found = coming[c]
@@ -97,14 +105,14 @@ def suffix_array(data: np.ndarray, depth: int, roll: Rolling | None = None) -> n
         found = [wave]
         while len(wave):  # runs of the byte: predecessors in the same bucket
             wave = wave[wave > 0] - 1
-            wave = wave[(data[wave] == c) & ~small[wave]]
+            wave = wave[(data[wave] == c) & larger[wave]]
             found.append(wave)
         bucket = np.concatenate([*found, direct[bounds[c] : bounds[c + 1]]])
         if not len(bucket):
             continue
         out.append(bucket)
         before = bucket[bucket > 0] - 1
-        before = before[(data[before] > c) & ~small[before]]
+        before = before[(data[before] > c) & larger[before]]
         if len(before):
             byte = data[before]
             order = np.argsort(byte, kind="stable")
@@ -112,15 +120,27 @@ def suffix_array(data: np.ndarray, depth: int, roll: Rolling | None = None) -> n
             cuts = np.flatnonzero(byte[1:] != byte[:-1]) + 1
             for part in np.split(before, cuts):
                 coming[data[part[0]]].append(part)
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def common_prefix(word: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Length of the common prefix, up to `most`, of suffixes that have `most` bytes at least; word: as loads() gives it."""
+    size = np.full(len(a), most)
+    live, k = np.arange(len(a)), 0
+    while k < most and len(live):
+        other = word[a[live] + k] ^ word[b[live] + k]
+        ends = other != 0
+        lowest = other[ends] & (~other[ends] + U(1))
+        size[live[ends]] = np.minimum(most, k + np.log2(lowest.astype(np.float64)).astype(np.int64) // 8)
+        live, k = live[~ends], k + 8
+    return size
 
 
 def repeated_windows(data: np.ndarray, valid: np.ndarray, length: int) -> np.ndarray:
     """Flags of the valid starts whose `length` bytes also start at another valid place."""
-    roll = Rolling.of_bytes(data)
-    order = suffix_array(data, length, roll)
+    order = suffix_array(data, length, valid)
     order = order[valid[order]]
-    twice = shared_prefix(roll, order[:-1], order[1:], len(data), length) >= length
+    twice = common_prefix(loads(data), order[:-1], order[1:], length) >= length
     flags = np.zeros(len(data), bool)
     flags[order[:-1][twice]] = True
     flags[order[1:][twice]] = True
