@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import written
+from lattica.llm.shared import drop_table, written
 
 
 def _moved(df: DataFrame, hooks: DataFrame, column: str) -> DataFrame:
@@ -20,15 +20,18 @@ def _moved(df: DataFrame, hooks: DataFrame, column: str) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links(a, b) -> node, root for every node in them; the root is the least node of the component."""
+    """links(a, b), without nulls -> node, root for every node in them; the root is the least node of the component."""
     ordered = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = written(ordered(links), "cc-links")
+    used = [edges]
     labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node"))
     while not edges.isEmpty():
         hooks = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to"))
         hooks = written(hooks, "cc-hooks")
-        once = _moved(hooks, hooks, "to")
-        hooks = written(_moved(once, hooks, "to"), "cc-hooks")
+        used += [hooks, hooks := written(_moved(_moved(hooks, hooks, "to"), hooks, "to"), "cc-hooks")]
         labels = _moved(labels, hooks, "root")
         edges = written(ordered(_moved(_moved(edges, hooks, "a"), hooks, "b")), "cc-links")
-    return written(labels.select("node", "root"), "cc-labels")
+        used.append(edges)
+    out = written(labels.select("node", "root"), "cc-labels")
+    drop_table(*used)
+    return out

@@ -40,10 +40,11 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Deletes the files of a table made by written(), once nothing reads them any more."""
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        drop_folder(df.sparkSession, path)
+def drop_table(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by written(), once nothing reads them any more."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            drop_folder(df.sparkSession, path)
 
 
 def _bit(key: Column, bits: int) -> Column:
