@@ -3,19 +3,35 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
 from pyspark.sql import SparkSession
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a new local one if it is unset and Spark is one process."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='lattica-')}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends the package to the executors once per application; they need not have it installed."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
+    # by default a batch for Python has 10,000 rows, however long
+    if spark.conf.get(BATCH_BYTES, None) in (None, str(2**31 - 1)):
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
     top = os.path.dirname(os.path.abspath(__file__))
     target = os.path.join(tempfile.mkdtemp(prefix="lattica-"), "lattica.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
@@ -29,8 +45,8 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpointed(df):
-    """df cut from its lineage by a reliable checkpoint in the cluster's shared folder; a local one only where none is set."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lattica-')}")
+    """df cut from its lineage by a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(work_folder(df.sparkSession))
     return df.checkpoint()
