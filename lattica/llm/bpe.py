@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lattica.llm.kernels import U, column_bytes, distinct_keys, same_spans, slices, span_keys
+from lattica.llm.shared import trimmed
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Distinct pieces whose ids a worker keeps (some 50 bytes each); beyond it the store starts afresh.
@@ -393,7 +394,7 @@ def tokenized(docs: DataFrame, ranks_path: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, ids array<int>")
 
 
 def digests(docs: DataFrame, ranks_path: str) -> DataFrame:
@@ -420,4 +421,4 @@ def digests(docs: DataFrame, ranks_path: str) -> DataFrame:
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), SCHEMA)

@@ -22,16 +22,17 @@ def _moved(df: DataFrame, hooks: DataFrame, column: str) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """links(a, b), without nulls -> node, root for every node in them; the root is the least node of the component."""
     ordered = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = written(ordered(links), "cc-links")
-    used = [edges]
+    edges = written(ordered(links), "cc-links", links.count())
+    used, n = [edges], edges.count()
     labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node"))
-    while not edges.isEmpty():
+    left = n
+    while left:
         hooks = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to"))
-        hooks = written(hooks, "cc-hooks")
-        used += [hooks, hooks := written(_moved(_moved(hooks, hooks, "to"), hooks, "to"), "cc-hooks")]
+        hooks = written(_moved(_moved(hooks, hooks, "to"), hooks, "to"), "cc-hooks", left)
         labels = _moved(labels, hooks, "root")
-        edges = written(ordered(_moved(_moved(edges, hooks, "a"), hooks, "b")), "cc-links")
-        used.append(edges)
-    out = written(labels.select("node", "root"), "cc-labels")
+        edges = written(ordered(_moved(_moved(edges, hooks, "a"), hooks, "b")), "cc-links", left)
+        used += [hooks, edges]
+        left = edges.count()
+    out = written(labels.select("node", "root"), "cc-labels", 2 * n)
     drop_table(*used)
     return out

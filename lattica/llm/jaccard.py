@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 
 from lattica.llm.components import components
 from lattica.llm.kernels import U, Words, column_bytes, distinct_by_text, mix, slices
-from lattica.llm.shared import drop_table, in_bitmap, lookup, low_bits_bitmap, written
+from lattica.llm.shared import drop_table, in_bitmap, lookup, low_bits_bitmap, trimmed, written
 
 #: The count table has 2**18 counters, whatever the number of shingles.
 COUNT_BITS, MOST_MATCHES = 18, 4
 #: Parity bits of a set, as 64-bit numbers.
 PARITY_WORDS = 16
 #: How many times more pivots a wave has than the one before.
-WIDER = 8
+WIDER = 32
 #: Of the two hashes of a set.
 SALTS = (0x8CB92BA72F3D8DD7, 0x3C6EF372FE94F82B)
 #: Texts that are handled at a time at most, so that their parity bits stay small.
@@ -82,7 +82,7 @@ def shingle_counts(docs: DataFrame, k: int = 3) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["counter", "n"])
 
-    table = docs.select("text").mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    table = docs.select("text").mapInArrow(trimmed(count), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size, np.int64)
     out[table["counter"].to_numpy(np.int64)] = table["n"].to_numpy(np.int64)
     return out
@@ -136,7 +136,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> Data
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _ROW.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _ROW)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), _ROW)
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -151,11 +151,12 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield batch.select(["doc_id", "text"]).filter(pa.array(asked))
 
     slim = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", bit(F.col("doc_id")).alias("bit"))
-    return slim.mapInArrow(run, "doc_id long, text string")
+    return slim.mapInArrow(trimmed(run), "doc_id long, text string")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity. Rows of one doc_id are one node: any text of it counts."""
+def _with_links(links: DataFrame, pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """links, and the pairs (a, b) whose whole sets reach the similarity. Rows of one doc_id are one node: any text of it
+    counts."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = written(_texts_of(docs, ids), "jaccard-texts")
 
@@ -182,7 +183,8 @@ def _links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
 
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
-    found = written(met.mapInArrow(compare, "a long, b long").distinct(), "jaccard-links")
+    found = met.mapInArrow(trimmed(compare), "a long, b long").distinct()
+    found = written(links.unionByName(found), "jaccard-links", links.count() + pairs.count())
     drop_table(texts)
     return found
 
@@ -229,12 +231,10 @@ def _index(classes: DataFrame, percent: int) -> DataFrame:
 
 def _open(index: DataFrame, root: DataFrame) -> DataFrame:
     """Index rows, with root and main (the largest component of their key), of the keys with several components."""
-    state = written(index.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "jaccard-state")
+    state = index.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     groups = state.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
     keys = groups.groupBy("key").agg(F.max_by("root", F.struct(F.col("m"), -F.col("root"))).alias("main"), F.count(F.lit(1)).alias("several"))
-    out = written(state.join(keys.where("several > 1").select("key", "main"), "key"), "jaccard-open")
-    drop_table(state)
-    return out
+    return written(state.join(keys.where("several > 1").select("key", "main"), "key"), "jaccard-open", index.count())
 
 
 def _wave_pairs(rows: DataFrame, wave: int, percent: int) -> DataFrame:
@@ -271,17 +271,18 @@ def _waves(docs: DataFrame, classes: DataFrame, links: DataFrame, k: int, percen
     while True:
         rows = _open(index, root)
         drop_table(index)
-        if rows.isEmpty():
-            drop_table(rows)
+        n = rows.count()
+        if not n:
+            drop_table(rows, links)
             return root
-        likely = written(_shares(_wave_pairs(rows, wave, percent), classes, percent), "jaccard-pairs")
-        new = _links(likely, docs, k, percent)
-        links, old = written(links.unionByName(new), "jaccard-all"), links
-        root, old_root = components(links).withColumnRenamed("node", "cls"), root
+        likely = written(_shares(_wave_pairs(rows, wave, percent), classes, percent), "jaccard-pairs", n * WIDER**wave)
+        if not likely.isEmpty():
+            links, old = _with_links(links, likely, docs, k, percent), links
+            root, old_root = components(links).withColumnRenamed("node", "cls"), root
+            drop_table(old, old_root)
+        drop_table(likely)
         # all pairs of a key have met once its share of pivots is whole
-        index = rows.drop("root", "main") if not wave else rows.where(F.col("size") > WIDER**wave).drop("root", "main")
-        index = written(index, "jaccard-index")
-        drop_table(likely, new, old, old_root, rows)
+        index = rows.select("key", "cls", "n", "pos", "size").where(F.col("size") > (WIDER**wave if wave else 0))
         wave += 1
 
 

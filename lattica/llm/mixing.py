@@ -4,10 +4,15 @@ Water-filling gives each source its target; a document is taken floor(target / s
 a subset of the documents by a hash threshold. The threshold comes from histograms: sizes are summed by source and
 hash bucket, cumulated, and the bucket in which the budget ends is split again by the next bits of the hash, so that
 only that bucket's documents are summed anew. Nothing is sorted by document. Targets that grow keep their documents
-(nested thresholds), and a rerun takes the same ones.
+(nested thresholds), and a rerun takes the same ones. The last bucket is in if that comes nearer to the target, so what
+a source takes is off by half of its documents there at most: of one document, in general.
+
+Sources are few against documents, but nothing rests on it: tables of sources are joined as their size asks for, and are
+never in one task.
 
 Defined results: null text has size 0 and is taken 0 words; null sources form one source, the last; a source of size 0 has
-target 0; documents with the same id share their hash and so their fate; empty tables give empty tables.
+target 0; documents with the same id share their hash and so their fate, those of null id too; extra columns of any name
+are ignored by mixed() and kept by mix(); empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -20,10 +25,10 @@ from lattica.llm.shared import written
 
 #: Weights of the sources in their order, and what the mix takes of all sizes.
 WEIGHTS, SHARE = (5.0, 2.0, 1.0), 1.5
-#: Bits of the hash that each level of the histogram reads; three levels reach 1 in 2**30 of a source.
-LEVEL_BITS, LEVELS = 10, 3
-#: Sources up to this number are broadcast (their rows are about 100 bytes each); more are joined by shuffle.
-BROADCAST_SOURCES = 10_000
+#: A source is taken as often at most.
+MOST = 2
+#: Of the hash: its bits, and those that each level of the histogram reads; three levels reach 1 in 2**30 of a source.
+HASH_BITS, LEVEL_BITS, LEVELS = 60, 10, 3
 
 
 def words(text: Column) -> Column:
@@ -31,51 +36,67 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0).cast("long"))
 
 
-def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = 2.0) -> DataFrame:
-    """source, source_size, target of a table (source, source_size) with a row for each source.
+def _key(source: Column) -> Column:
+    """A source as a string that isn't null."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
-    Water-filling in closed form: the sources that reach most * size are those with the least cap / weight, so with
-    them in that order it is enough to find the first whose share at the level of the rest stays below its cap.
-    """
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int"))
-    capped = sizes.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    by = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, every = by.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(0))
-    level = (F.sum("source_size").over(every) * F.lit(share) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (
-        F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    )
-    levels = capped.withColumn("level", level).withColumn("open", F.col("cap") >= F.col("level") * F.col("weight"))
-    final = F.min(F.when(F.col("open"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(every)["level"]
-    target = F.least("cap", F.coalesce(final * F.col("weight"), F.col("cap")))
-    return levels.select("source", "source_size", target.alias("target"))
+
+def _hash(doc_id: Column) -> Column:
+    text = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":mix"))
+    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
-def _joined(docs: DataFrame, table: DataFrame, small: bool) -> DataFrame:
-    t = table.withColumnRenamed("source", "_source")
-    return docs.join(F.broadcast(t) if small else t, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """sizes with `rank`, from 0, by code point with the null source last: ranks within ranges, and the ranges' starts."""
+    last = F.col("key") == ""
+    ranged = written(sizes.repartitionByRange(last, "key").withColumn("part", F.spark_partition_id()), "mix-ranges")
+    starts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    starts = starts.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("start"))  # a row for each task
+    within = F.row_number().over(Window.partitionBy("part").orderBy(last, "key"))
+    return ranged.withColumn("within", within).join(starts, "part").withColumn("rank", F.col("start") + F.col("within") - 1).drop("part", "start", "within")
 
 
-def thresholds(docs: DataFrame, plan: DataFrame, small: bool, levels: int = LEVELS, bits: int = LEVEL_BITS) -> DataFrame:
-    """plan with `cut`: documents whose 63-bit hash is below it make up the budget of the last, partial copy.
+def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """sizes(key, source_size), a row for each source, with its target.
 
-    docs: source, size, hash. Each level sums the documents of one bucket of the level before (at first of all).
+    Water-filling: all sources get one level times their weight, those that this would take above their cap get the cap,
+    and what they leave raises the level of the others, until none is above.
+    """
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    capped = _ranked(sizes).select("key", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("cap"))
+    capped = written(capped, "mix-caps")
+    budget, total = (capped.agg(F.sum("source_size") * F.lit(share), F.sum("weight")).first()) or (None, None)
+    level, before = F.lit(0.0), -1
+    while total:
+        full = F.col("cap") < level * F.col("weight")
+        n, cap, weight_ = capped.agg(F.count_if(full), F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(full, F.col("weight"))), F.lit(0.0))).first()
+        if n == before:
+            break
+        before = n
+        level = F.lit((budget - cap) / (total - weight_) if total > weight_ else float("inf"))
+    return capped.select("key", "source_size", F.least("cap", level * F.col("weight")).alias("target"))
+
+
+def thresholds(docs: DataFrame, plan: DataFrame, levels: int = LEVELS, bits: int = LEVEL_BITS) -> DataFrame:
+    """plan with `cut`: documents whose hash is below it make up the budget of the last, partial copy.
+
+    docs: key, size, hash. Each level sums the documents of one bucket of the level before (at first of all).
     """
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     state = plan.withColumn("copies", whole).select(
         "*", (F.col("target") - F.col("copies") * F.col("source_size")).alias("left"), F.lit(0).cast("long").alias("cut")
     )
     for level in range(levels):
-        shift = 63 - bits * (level + 1)
-        inside = _joined(docs.select("source", "size", "hash"), state.select("source", "cut"), small)
+        shift = HASH_BITS - bits * (level + 1)
+        inside = docs.select("key", "size", "hash")
         if level:
-            inside = inside.where(F.shiftright("hash", shift + bits) == F.shiftright("cut", shift + bits))
-        bucket = F.shiftright("hash", shift)
-        sums = inside.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
-        up = Window.partitionBy("source").orderBy("bucket")
-        filled = _joined(sums.withColumn("end", F.sum("words").over(up)), state.select("source", F.col("left").alias("_left")), small)
-        fits = F.col("end") <= F.col("_left")
-        found = filled.groupBy("source").agg(
+            of = state.select("key", F.shiftright("cut", shift + bits).alias("bucket"))
+            inside = inside.join(of, "key").where(F.shiftright("hash", shift + bits) == F.col("bucket")).drop("bucket")
+        sums = inside.groupBy("key", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("words"))
+        up = Window.partitionBy("key").orderBy("bucket")  # of 2**bits buckets at most
+        filled = sums.withColumn("end", F.sum("words").over(up)).join(state.select("key", "left"), "key")
+        fits = F.col("end") <= F.col("left")
+        found = filled.groupBy("key").agg(
             F.coalesce(F.max(F.when(fits, F.col("end"))), F.lit(0)).alias("used"),
             F.min(F.when(~fits, F.struct("bucket", "end"))).alias("over"),
         )
@@ -83,36 +104,29 @@ def thresholds(docs: DataFrame, plan: DataFrame, small: bool, levels: int = LEVE
         if level == levels - 1:  # the last bucket counts if that comes nearer to the target
             over = over + F.when(F.col("over.end") - F.col("left") < left, 1).otherwise(0)
         cut = F.coalesce(F.shiftleft(over, shift), F.col("cut"))
-        state = written(_joined(state, found, small).select("source", "source_size", "target", "copies", left.alias("left"), cut.alias("cut")), "mix-cut")
+        state = written(state.join(found, "key", "left").select("key", "source_size", "target", "copies", left.alias("left"), cut.alias("cut")), "mix-cut")
     return state
 
 
-def _cut(docs: DataFrame, weights, share: float) -> tuple[DataFrame, DataFrame, bool]:
-    slim = written(docs.select("doc_id", "source", words(F.col("text")).alias("size"), _hash().alias("hash")), "mix-sizes")
-    sizes = written(slim.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
-    small = sizes.count() <= BROADCAST_SOURCES
-    plan = written(targets(sizes, weights, share), "mix-targets")
-    return slim, thresholds(slim, plan, small), small
-
-
-def _hash() -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit("mix")), 1)
+def _cut(docs: DataFrame, weights, share: float) -> tuple[DataFrame, DataFrame]:
+    slim = written(docs.select("doc_id", _key(F.col("source")).alias("key"), words(F.col("text")).alias("size"), _hash(F.col("doc_id")).alias("hash")), "mix-sizes")
+    sizes = written(slim.groupBy("key").agg(F.sum("size").alias("source_size")), "mix-sources")
+    return slim, thresholds(slim, written(targets(sizes, weights, share), "mix-targets"))
 
 
 def _times() -> Column:
-    return (F.col("copies") + F.when(F.col("hash") < F.col("cut"), 1).otherwise(0)).cast("int")
+    return F.least(F.col("copies") + F.when(F.col("hash") < F.col("cut"), 1).otherwise(0), F.lit(MOST)).cast("int")
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
     """doc_id, size, source_size, target, taken for each of docs(doc_id, text, source)."""
-    slim, cut, small = _cut(docs, weights, share)
-    return _joined(slim, cut, small).select("doc_id", "size", "source_size", "target", (F.col("size") * _times()).alias("taken"))
+    slim, cut = _cut(docs, weights, share)
+    return slim.join(cut, "key").select("doc_id", "size", "source_size", "target", (F.col("size") * _times()).alias("taken"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
-    """The mix itself: docs, all columns, each row as often as the mix takes it. One broadcast join, no shuffle of texts."""
-    _, cut, small = _cut(docs, weights, share)
-    table = cut.select("source", F.col("copies").alias("_copies"), F.col("cut").alias("_cut"))
-    times = F.col("_copies") + F.when(_hash() < F.col("_cut"), 1).otherwise(0)
-    taken = _joined(docs, table, small).withColumn("_copy", F.explode(F.expr("sequence(1, 2)"))).where(F.col("_copy") <= times)
-    return taken.select(docs.columns)
+    """The mix itself: docs, all columns, each row as often as the mix takes it."""
+    _, cut = _cut(docs, weights, share)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    rows = docs.select(whole, _key(F.col("source")).alias("key"), _hash(F.col("doc_id")).alias("hash"))
+    return rows.join(cut.select("key", "copies", "cut"), "key").select("doc", F.explode(F.array_repeat(F.lit(0), _times()))).select("doc.*")

@@ -4,10 +4,11 @@ Indicators of a text's byte n-grams (2 to 4 bytes, hashed to 2**18 features) are
 ratios and to unit length; a linear hinge-loss model over them is fitted by dual coordinate descent. A logistic curve,
 fitted on labelled rows that the descent has not seen, turns margins into scores of 0 to 1.
 
-The fit takes TRAIN_DOCS labelled documents at most, those of the least hash of doc_id, whatever the size of the input;
-their indicators (integers, not texts) reach the driver. Scoring runs over every whole text without a shuffle.
+The fit takes TRAIN_DOCS labelled documents at most, those of the least hash of doc_id, whatever the size of the input, and
+of these as many as have TRAIN_FEATURES indicators in all; the indicators (integers, not texts) reach the driver. A text has
+2**18 of them at most, however long. Scoring runs over every whole text without a shuffle.
 
-Defined results: labels of repeated doc_ids count once (the lesser quality), null labels not at all; without documents of
+Defined results: labels and texts of repeated doc_ids count once (the lesser quality, the least text), null labels not at all; without documents of
 both classes every score is 0.5; null and empty texts have no indicators, so the score of the bias; repeated rows get
 equal scores; an empty table gives an empty table; extra columns are ignored.
 """
@@ -23,9 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.kernels import U, column_bytes, mix, slices
+from lattica.llm.shared import drop_table, trimmed, written
 
-#: Labelled documents that a fit takes at most.
-TRAIN_DOCS = 12_000
+#: Labelled documents that a fit takes at most, and their indicators (four bytes each on the driver).
+TRAIN_DOCS, TRAIN_FEATURES = 12_000, 80_000_000
 #: The least score of a document that is predicted good.
 LEAST = 0.7
 BITS, SIZES = 18, (2, 3, 4)
@@ -156,7 +158,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, smoothing: float = 1.0) -> M
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_features: int = TRAIN_FEATURES) -> Model | None:
     """Fits on labelled documents outside the held-out fold."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2))
     chosen = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -169,19 +171,30 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model |
                 feature, text = indicators(data[o[0] : o[-1]], o - o[0])
                 at = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=b - a))])
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(feature, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("quality").slice(a, b - a), lists], names=["doc_id", "quality", "features"])
-
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
-    table = sample.mapInArrow(features, "doc_id long, quality int, features array<int>").toArrow()
-    if not table.num_rows:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(a, b - a), batch.column("quality").slice(a, b - a), pa.array(np.diff(at)), lists], names=["doc_id", "quality", "n", "features"]
+                )
+
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").cast("int").alias("quality"))
+    made = written(sample.mapInArrow(trimmed(features), "doc_id long, quality int, n long, features array<int>"), "nbsvm-features")
+    sizes = made.select("doc_id", "n").toArrow()  # a row of two numbers for each of the chosen documents
+    doc, n = sizes.column("doc_id").to_numpy(), sizes.column("n").to_numpy()
+    order = np.lexsort((doc, mix(doc.astype(U))))
+    taken = order[np.cumsum(n[order]) <= most_features]
+    if not len(taken):
+        drop_table(made)
         return None
+    table = made.select("doc_id", "quality", "features").toArrow() if len(taken) == len(doc) else made.join(
+        F.broadcast(docs.sparkSession.createDataFrame([(int(x),) for x in doc[taken]], "doc_id long")), "doc_id"
+    ).select("doc_id", "quality", "features").toArrow()
+    drop_table(made)
     doc, quality = table.column("doc_id").to_numpy(), table.column("quality").to_numpy()
     rows = []
     for chunk in table.column("features").chunks:
         # views: the features stay where Arrow put them
         flat, at = chunk.flatten().to_numpy(), np.concatenate([[0], np.cumsum(chunk.value_lengths().to_numpy())])
         rows += [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-    order = np.lexsort(([len(x) for x in rows], doc, mix(doc.astype(U))))
+    order = np.lexsort((doc, mix(doc.astype(U))))
     return fit([rows[i] for i in order], (quality[order] == 1).astype(np.int64))
 
 
@@ -210,5 +223,5 @@ def scored(docs: DataFrame, model: Model | None, keep: float | None = None, leas
             yield batch.filter(pa.array(scores(*column_bytes(batch.column("text"))) >= keep))
 
     if keep is not None:
-        return docs.mapInArrow(filtered, docs.schema)
-    return docs.select("doc_id", "text", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")).mapInArrow(score, SCHEMA)
+        return docs.mapInArrow(trimmed(filtered), docs.schema)
+    return docs.select("doc_id", "text", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")).mapInArrow(trimmed(score), SCHEMA)

@@ -11,6 +11,9 @@ positions (u16) and differences (u32).
 
 Defined results: null text counts as empty and has the end id alone; documents of null id come first; those of equal id
 follow one another by their ids' bytes; an empty table gives no shards; extra columns are ignored.
+
+Each range of doc_id is sorted in one task, by Spark, and streams into files of bounded size: a worker never holds more
+than a file's ids, however many documents have one id.
 """
 
 from __future__ import annotations
@@ -23,16 +26,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lattica.llm.bpe import TextEncoder, spread
 from lattica.llm.files import open_file, write_file
 from lattica.llm.kernels import Words, column_bytes, slices, span_keys
-from lattica.llm.shared import new_folder, written
+from lattica.llm.shared import new_folder, trimmed, written
 
 MAGIC, BLOCK, PERCENTILE = b"LPFOR001", 1024, 95
-#: Documents of a shard at least, and shards at most (the manifest that the driver reads has a row for each).
-SHARD_DOCS, MOST_SHARDS = 10_000, 10_000
+#: Documents of a range of doc_id at least, ranges at most (the driver reads a row for each), and ids of a shard's file: it
+#: ends with the document that reaches them.
+RANGE_DOCS, MOST_RANGES, SHARD_IDS = 10_000, 10_000, 1 << 22
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
+_MANIFEST = "shard int, part int, path string, n_docs long, n_ids long"
 
 
 def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[np.ndarray, bytes]:
@@ -204,22 +210,22 @@ def encode_words(encoder: TextEncoder, data: np.ndarray, offsets: np.ndarray, en
     return out, each + 1
 
 
-def _edges(docs: DataFrame, shard_docs: int) -> list[int]:
-    """Ascending ids that part the documents into shards of about equal numbers."""
+def _edges(docs: DataFrame, range_docs: int) -> list[int]:
+    """Ascending ids that part the documents into ranges of about equal numbers."""
     n, _ = docs.agg(F.count(F.lit(1)), F.max("doc_id")).first()
-    shards = min(MOST_SHARDS, -(-n // shard_docs))
+    shards = min(MOST_RANGES, -(-n // range_docs))
     if shards < 2:
         return []
     at = [k / shards for k in range(1, shards)]
     return sorted(set(docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, at)), 20 * shards)).first()[0] or []))
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """Encodes docs(doc_id, text) and writes shards in ascending doc_id order; returns shard, path, n_docs, n_ids.
+def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, range_docs: int = RANGE_DOCS, shard_ids: int = SHARD_IDS) -> DataFrame:
+    """Encodes docs(doc_id, text) and writes shards in ascending doc_id order; returns shard, part, path, n_docs, n_ids.
 
-    The shuffle carries ids, two bytes each where they fit. Shards hold ranges of doc_id, so each is sorted on its own.
+    The shuffle carries ids, two bytes each where they fit. A shard holds a range of doc_id, in one file or several parts.
     """
-    edges = _edges(docs, shard_docs)
+    edges = _edges(docs, range_docs)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
@@ -238,39 +244,57 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), doc, pa.array(np.full(len(size), 2 if small else 4), pa.int32()), binary], names=["shard", "doc_id", "bytes", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs_, sizes, parts, shard = [], [], [], None
+        docs_: list[int | None] = []
+        sizes: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
+        held, part, shard = 0, 0, 0
+
+        def closed() -> pa.RecordBatch:
+            path = f"{folder}/shard-{shard:05d}-{part:06d}.pfor"
+            write_file(path, shard_bytes(docs_, np.concatenate(sizes), np.concatenate(ids)))
+            row = zip((shard, part, path, len(docs_), held), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in row], names=["shard", "part", "path", "n_docs", "n_ids"])
+
         for batch in batches:
             data, offsets = column_bytes(batch.column("ids"))
-            width = np.asarray(batch.column("bytes"))
+            width, numbers = np.asarray(batch.column("bytes")), batch.column("doc_id").to_pylist()
+            size = np.diff(offsets) // width if len(width) else np.zeros(0, np.int64)
             shard = int(batch.column("shard")[0].as_py()) if len(width) else shard
-            docs_ += batch.column("doc_id").to_pylist()
-            sizes.append(np.diff(offsets) // width)
-            for a, b in _same(width):
-                parts.append(data[offsets[a] : offsets[b]].view("<u2" if width[a] == 2 else "<u4").astype(np.uint16 if width[a] == 2 else np.uint32))
-        if shard is not None:
-            path = f"{folder}/shard-{shard:05d}.pfor"
-            ids = np.concatenate([p.astype(np.uint32) for p in parts])
-            write_file(path, shard_bytes(docs_, np.concatenate(sizes), ids))
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (path, pa.string()), (len(docs_), pa.int64()), (len(ids), pa.int64()))], names=["shard", "path", "n_docs", "n_ids"])
-
-    encoded = docs.select("doc_id", "text").mapInArrow(encode, "shard int, doc_id long, bytes int, ids binary")
+            at = 0
+            while at < len(width):
+                # to the document that fills the file, of those of one width
+                total = held + np.cumsum(size[at:])
+                to = at + min(int(np.searchsorted(total, shard_ids)) + 1, len(total))
+                cut = np.flatnonzero(width[at:to] != width[at])
+                to = at + int(cut[0]) if len(cut) else to
+                ids.append(data[offsets[at] : offsets[to]].view("<u2" if width[at] == 2 else "<u4").astype(np.uint32))
+                sizes.append(size[at:to])
+                docs_ += numbers[at:to]
+                held, at = int(total[to - at - 1]), to
+                if held >= shard_ids:
+                    yield closed()
+                    docs_, sizes, ids, held, part = [], [], [], 0, part + 1
+        if docs_:
+            yield closed()
+
+    encoded = docs.select("doc_id", "text").mapInArrow(trimmed(encode), "shard int, doc_id long, bytes int, ids binary")
     placed = encoded.repartitionById(len(edges) + 1, F.col("shard")).sortWithinPartitions("doc_id", "ids")
-    return written(placed.mapInArrow(write, "shard int, path string, n_docs long, n_ids long"), "pfor-manifest")
+    return written(placed.mapInArrow(trimmed(write), _MANIFEST), "pfor-manifest")
 
 
-def _same(values: np.ndarray) -> list[tuple[int, int]]:
-    cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
-    return [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
+def _with_starts(manifest: DataFrame) -> DataFrame:
+    """path, base, i of the shards' files: how many ids, and how many files, stand before each. The driver sees a row for
+    each range."""
+    ranges = sorted(tuple(r) for r in manifest.groupBy("shard").agg(F.sum("n_ids"), F.count(F.lit(1))).collect())
+    before = np.cumsum([[0, 0], *(r[1:] for r in ranges)], axis=0).tolist()
+    starts = manifest.sparkSession.createDataFrame([(r[0], *at) for r, at in zip(ranges, before)], "shard int, start long, files long")
+    up = Window.partitionBy("shard").orderBy("part")
+    own = manifest.select("shard", "part", "path", (F.sum("n_ids").over(up) - F.col("n_ids")).alias("own"))
+    return own.join(F.broadcast(starts), "shard").select("path", (F.col("start") + F.col("own")).alias("base"), (F.col("files") + F.col("part")).alias("i"))
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 from the shards' files. The manifest has MOST_SHARDS rows at most."""
-    rows = sorted(tuple(r) for r in manifest.select("shard", "path", "n_ids").collect())
-    spark = manifest.sparkSession
-    base, table = 0, []
-    for _, path, n in rows:
-        table.append((path, base))
-        base += n
+    """doc_id, start, n_tokens, ids_crc32 from the shards' files."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,8 +313,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     at = to
                 shard.close()
 
-    listed = spark.createDataFrame([(i, p, b) for i, (p, b) in enumerate(table)], "i int, path string, base long")
-    return listed.repartitionById(max(1, len(table)), F.col("i")).mapInArrow(read, SCHEMA)
+    tasks = max(1, min(manifest.count(), MOST_RANGES))
+    return _with_starts(manifest).repartitionById(tasks, (F.col("i") % tasks).cast("int")).mapInArrow(trimmed(read), SCHEMA)
 
 
 def encode_and_read(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:

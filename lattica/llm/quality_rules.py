@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lattica.llm.kernels import SPACE, U, Rolling, Words, column_bytes, distinct_keys, per_text, runs, slices, span_numbers
+from lattica.llm.shared import trimmed
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -149,4 +150,4 @@ def quality_rules(docs: DataFrame, min_repeat: int = 5, max_covered: float = 0.1
                 arrays += [pa.array(failed), pa.array(kept), pa.array(m["covered_words"], pa.int64()), pa.array(m["longest_repeat"], pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(judge, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(judge), SCHEMA)

@@ -14,7 +14,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.quality_rules import quality_rules
 
-    return quality_rules(_docs(spark, sf_dir))
+    return quality_rules(_docs(spark, sf_dir)).drop("longest_repeat")
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +82,68 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}
 
 
+#: Windows of a text that occur twice: of three words for n_repeat_words, of five for covered_words, of 51 for the longest.
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), r AS (
+  SELECT row_number() OVER () AS i, * FROM d
+), u AS (
+  SELECT i, k, unnest(list_transform(range(1, len(w) - k + 2), lambda p: {'pos': p, 'words': array_to_string(w[p : p + k - 1], ' ')})) AS x
+  FROM r, (VALUES (3), (5), (51)) AS v(k)
+), again AS (
+  SELECT i, k, x.pos AS pos FROM u QUALIFY count(*) OVER (PARTITION BY i, k, x.words) > 1
+), held AS (
+  SELECT i, k, count(DISTINCT place) AS n FROM (SELECT i, k, unnest(range(pos, pos + k)) AS place FROM again) GROUP BY i, k
+), n AS (
+  SELECT i, max(n) FILTER (k = 3) AS n3, max(n) FILTER (k = 5) AS n5, max(n) FILTER (k = 51) AS n51 FROM held GROUP BY i
+), c AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    CAST(coalesce(n3, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n5, 0) AS BIGINT) AS covered_words, coalesce(n51, 0) AS n51
+  FROM r LEFT JOIN n USING (i)
+), b AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+)
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND covered_words <= 0.15 * n_words AND n51 = 0 AS kept, covered_words
+FROM b
+"""
+
+#: Water-filling in closed form; the documents of a source below the hash that ends its budget.
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce('=' || source, '') AS key,
+    CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix'), 1, 15) AS BIGINT) AS hash
+  FROM documents
+), s AS (
+  SELECT key, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY key
+), w AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY key = '', encode(key)) - 1) % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS weight, source_size * 2e0 AS cap FROM s
+), l AS (
+  SELECT *, (sum(source_size) OVER () * 1.5e0 - coalesce(sum(cap) OVER before, 0e0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0e0)) AS level
+  FROM w WINDOW before AS (ORDER BY cap / weight, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT key, source_size, least(cap, coalesce((SELECT min_by(level, cap / weight) FROM l WHERE cap >= level * weight) * weight, cap)) AS target FROM l
+), c AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS copies FROM t
+), b AS (
+  SELECT key, hash >> 30 AS bucket, sum(sum(size)) OVER (PARTITION BY key ORDER BY hash >> 30) AS total FROM d GROUP BY key, hash >> 30
+), o AS (
+  SELECT key, c.target - c.copies * c.source_size AS rest, min(bucket) FILTER (total > rest) AS bucket, min(total) FILTER (total > rest) AS total,
+    coalesce(max(total) FILTER (total <= rest), 0) AS used
+  FROM b JOIN c USING (key) GROUP BY key, rest
+), k AS (
+  SELECT key, coalesce((bucket + CASE WHEN total - rest < rest - used THEN 1 ELSE 0 END) << 30, 0) AS cut FROM o
+)
+SELECT doc_id, size, source_size, target,
+  CAST(size * least(copies + CASE WHEN hash < cut THEN 1 ELSE 0 END, 2) AS BIGINT) AS taken
+FROM d JOIN c USING (key) JOIN k USING (key)
+"""
+
 #: Scores by brute force, for the exact search.
 OP7_SQL = """
 WITH v AS (
@@ -144,4 +206,4 @@ FROM documents AS d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(m) AS m
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_ngram_jaccard": OP8_SQL, "op6_warc_normaliser": OP6_SQL, "op7_ball_tree_top_k": OP7_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op4_mix_sources": OP4_SQL, "op8_ngram_jaccard": OP8_SQL, "op6_warc_normaliser": OP6_SQL, "op7_ball_tree_top_k": OP7_SQL}

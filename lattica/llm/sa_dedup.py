@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from lattica.llm.kernels import U, column_bytes, mix, slices
-from lattica.llm.shared import in_bitmap, lookup, low_bits_bitmap, written
+from lattica.llm.shared import in_bitmap, lookup, low_bits_bitmap, trimmed, written
 from lattica.llm.suffix_sort import repeated_windows
 
 LENGTH, GROUP_CLASSES = 400, 256
@@ -127,7 +127,7 @@ def repeated_anchors(docs: DataFrame, length: int) -> DataFrame:
             for found in regions(*column_bytes(batch.column("text")), length):
                 yield pa.RecordBatch.from_arrays([pa.array(found[1].view(np.int64))], names=["anchor"])
 
-    anchors = docs.select("text").mapInArrow(run, "anchor long")
+    anchors = docs.select("text").mapInArrow(trimmed(run), "anchor long")
     return written(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "sa-anchors")
 
 
@@ -149,7 +149,7 @@ def occurrences(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
                 values = (anchor.view(np.int64), content, own[text], th[text], place, first, last)
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, [pa.int64()] * 4 + [pa.int32()] * 3)], names=["anchor", "region", "own", "th", "place", "first", "last"])
 
-    found = _slim(docs).mapInArrow(run, "anchor long, region long, own long, th long, place int, first int, last int")
+    found = _slim(docs).mapInArrow(trimmed(run), "anchor long, region long, own long, th long, place int, first int, last int")
     return written(found, "sa-occurrences")
 
 
@@ -166,7 +166,7 @@ def _texts(docs: DataFrame, of: DataFrame) -> DataFrame:
             columns = [pa.array(_own_id(batch.column("doc_id"))), pa.array(th), batch.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["own", "th", "data"]).filter(keep)
 
-    return _slim(docs.where("text IS NOT NULL")).mapInArrow(run, "own long, th long, data binary")
+    return _slim(docs.where("text IS NOT NULL")).mapInArrow(trimmed(run), "own long, th long, data binary")
 
 
 def _cut(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -185,7 +185,7 @@ def _cut(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 )
 
     joined = texts.join(lists, ["own", "th"]).dropDuplicates(["own", "th"]).select("data", "regions")
-    return joined.mapInArrow(run, _PIECES)
+    return joined.mapInArrow(trimmed(run), _PIECES)
 
 
 def _spans(flags: np.ndarray, length: int) -> tuple[list[int], list[int]]:
@@ -237,7 +237,7 @@ def _sorted_groups(cut: DataFrame, length: int, tasks: int) -> DataFrame:
         if group:
             yield _spans_batch(solve(group))
 
-    return cut.repartition(tasks, "anchor").sortWithinPartitions("anchor", "region").mapInArrow(run, _SPANS)
+    return cut.repartition(tasks, "anchor").sortWithinPartitions("anchor", "region").mapInArrow(trimmed(run), _SPANS)
 
 
 def _halves(pieces: DataFrame, length: int) -> DataFrame:
@@ -262,7 +262,7 @@ def _halves(pieces: DataFrame, length: int) -> DataFrame:
             columns[2:4] = [c.view(pa.int64()) for c in columns[2:4]]
             yield pa.RecordBatch.from_arrays(columns, names=["anchor", "region", "sub", "piece", "shift", "data", "low", "high"])
 
-    return pieces.mapInArrow(run, "anchor long, region long, sub long, piece long, shift int, data binary, low int, high int")
+    return pieces.mapInArrow(trimmed(run), "anchor long, region long, sub long, piece long, shift int, data binary, low int, high int")
 
 
 def _joined_spans(spans: DataFrame) -> DataFrame:
@@ -344,7 +344,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, most: int = GROUP_CLASSE
                 names=["doc_id", "own", "th", "n_bytes", "sha", "data"],
             )
 
-    rows = _slim(docs).mapInArrow(split, "doc_id long, own long, th long, n_bytes long, sha string, data binary")
+    rows = _slim(docs).mapInArrow(trimmed(split), "doc_id long, own long, th long, n_bytes long, sha string, data binary")
     done = rows.join(spans, ["own", "th"], "left").select("doc_id", "n_bytes", "sha", "data", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,4 +372,4 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, most: int = GROUP_CLASSE
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    return done.mapInArrow(remove, SCHEMA)
+    return done.mapInArrow(trimmed(remove), SCHEMA)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lattica.llm.kernels import column_bytes, runs
+from lattica.llm.shared import trimmed
 
 #: Kinds in their order, and the base patterns.
 KINDS = ("assign", "access", "hex", "entropy")
@@ -33,9 +34,11 @@ HEX = re.compile(r"[0-9a-f]+")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{20,}")
 #: (class, its characters, window, bits per character): a window counts if it reaches the bits of any class that holds it.
 CLASSES = (("hex", frozenset("0123456789abcdefABCDEF"), 24, 3.0), ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"), 24, 4.0))
-#: Never an entropy finding, as a candidate or a span: UUIDs, plain words or paths without digits, digits only.
-ALLOW = tuple(map(re.compile, (r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z", r"[A-Za-z/_=+-]+\Z", r"[0-9_-]+\Z", r"(?:[a-z0-9]{1,12}[-_/])+[a-z0-9]{1,12}\Z")))
-#: Ascending filler and documented examples, with the letters and digits around them: no finding, but the rest of a span is.
+#: Never an entropy finding, as a candidate or a span: UUIDs, plain words or paths without digits, digits only, and words and
+#: numbers in a row, none of which mixes letters and digits (but for v1, v2, ..).
+ALLOW = tuple(map(re.compile, (r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z", r"[A-Za-z/_=+-]+\Z", r"[0-9_-]+\Z", r"(?:(?:[a-z]{1,12}|v?[0-9]{1,8})[-_/])+(?:[a-z]{1,12}|v?[0-9]{1,8})\Z")))
+#: Ascending filler and documented examples, with up to BESIDE letters and digits on either side: no finding, but the rest is.
+BESIDE = 16
 FILLER = re.compile(r"EXAMPLE|example|0123456789|abcdefgh|ABCDEFGH")
 
 _CANDIDATE_BYTE = np.zeros(256, bool)
@@ -77,9 +80,9 @@ def _without_filler(candidate: str, s: int, e: int) -> list[tuple[int, int]]:
         if m.start() < s:
             continue
         a, b = m.span()
-        while a > s and candidate[a - 1].isalnum():
+        while a > max(s, m.start() - BESIDE) and candidate[a - 1].isalnum():
             a -= 1
-        while b < e and candidate[b].isalnum():
+        while b < min(e, m.end() + BESIDE) and candidate[b].isalnum():
             b += 1
         out.append((s, a))
         s = b
@@ -154,7 +157,7 @@ def scan(docs: DataFrame) -> DataFrame:
             columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), SCHEMA)
 
 
 def redact(docs: DataFrame, mask: str = "[REDACTED]", length_column: str | None = "n_chars") -> DataFrame:
@@ -184,4 +187,4 @@ def redact(docs: DataFrame, mask: str = "[REDACTED]", length_column: str | None
                 arrays[k] = pa.array(lengths, arrays[k].type)
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields]))
+    return docs.mapInArrow(trimmed(run), T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields]))

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.session import work_folder
 
+#: Rows of a small table that a task writes.
+ROWS_A_TASK = 250_000
 #: 2**24 bits = 2 MB: the size of a membership bitmap, whatever the number of keys.
 BITMAP_BITS = 24
 
@@ -18,15 +24,32 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read back: short lineage, and true sizes for the planner."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df written as a Parquet table in the shared folder and read back: short lineage, and true sizes for the planner.
+
+    rows: how many it has at most, if that is known; a small table is then written by few tasks.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_A_TASK)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     return out
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow that returns to the system what it has freed: Spark keeps its workers for later tasks."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # of the GNU C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

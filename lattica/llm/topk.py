@@ -8,8 +8,8 @@ hash, and what it reached there bounds the search in all the others from the sta
 
 Scores are integers: components are floor(scale * x). Ties go to the smaller vec_id. Defined results: vectors that are
 null, or hold null or non-finite components, take no part; vectors of different length aren't compared; null ids take no
-part; repeated ids are rows of their own, but never candidates of a query of the same id; a query without candidates has
-no rows; an empty table gives an empty table; extra columns are ignored.
+part; rows of a repeated id are candidates of their own, but never of a query of the same id; rows of one query id are one
+query, that of the least vector; a query without candidates has no rows; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -133,8 +133,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, sh
     shard = F.pmod(F.xxhash64("vec_id", F.lit("shard")), F.lit(shards)).cast("int")
     block = F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int")
     points = all_.withColumn("shard", shard)
-    # copies of a query's row would only repeat its search
-    queries = all_.where(is_query).withColumn("block", block).withColumn("home", F.pmod(F.xxhash64("vec_id", F.lit("home")), F.lit(shards)).cast("int"))
+    # rows of one query id are one query
+    queries = all_.where(is_query).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("q")).select("vec_id", "q.*")
+    queries = queries.withColumn("block", block).withColumn("home", F.pmod(F.xxhash64("vec_id", F.lit("home")), F.lit(shards)).cast("int"))
 
     def searched(q: DataFrame) -> DataFrame:
         """q: vec_id, dim, v, block, shard, floor."""

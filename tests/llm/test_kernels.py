@@ -136,6 +136,67 @@ def test_secret_patterns():
     assert [k for *_, k in secrets.find("x token=abcdefghi", False)] == ["assign"]
 
 
+def brute_base(text):
+    """The base spans by trying every place of a text, character by character."""
+    out, n = [], len(text)
+    run = lambda i, chars: next((j for j in range(i, n) if text[j] not in chars), n)
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    fold = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
+
+    def assign(i):
+        for key in ("password", "passwd", "secret", "token", "apikey", "api_key"):
+            if fold(text[i : i + len(key)]) != key:
+                continue
+            j = i + len(key)
+            for quote in (1, 0):
+                if quote and text[j : j + 1] not in ('"', "'"):
+                    continue
+                k = run(j + quote, " ")
+                if text[k : k + 1] not in (":", "="):
+                    continue
+                k = run(k + 1, " ")
+                # the quote before the value is taken where there is one
+                k += text[k : k + 1] in ('"', "'")
+                e = run(k, value)
+                if e > k:
+                    return k, e
+        return None
+
+    i = 0
+    while i < n:
+        if found := assign(i):
+            if found[1] - found[0] >= 6:
+                out.append((i, found[1], "assign"))
+            i = found[1]
+        else:
+            i += 1
+    for kind, head, chars, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), ("hex", "", set("0123456789abcdef"), 24)):
+        i = 0
+        while i < n:
+            e = run(i + len(head), chars)
+            if text[i : i + len(head)] == head and e > i + len(head):
+                if e - i >= least:
+                    out.append((i, e, kind))
+                i = e
+            else:
+                i += 1
+    return sorted(out, key=lambda x: (x[0], secrets.KINDS.index(x[2])))
+
+
+def secret_texts(seed, n):
+    r = random.Random(seed)
+    parts = ["password", "PassWd", "SECRET", "token", "api_key", "apikey", "APIKEY", ":", "=", " ", "  ", '"', "'", "AKIA", "é", "中", "\n", "-", "/", "_", ".", "deadbeef", "0a1b2c3d4e5f", "ABCDEF0123456789", "x", "abc", "é=", "ſecret", "toKen"]
+    return ["".join(r.choice(parts) for _ in range(r.randrange(1, 60))) for _ in range(n)]
+
+
+def test_base_spans_against_trying_every_place():
+    texts = secret_texts(11, 3000)
+    found = [[x for x in secrets.find(t) if x[2] != "entropy"] for t in texts]
+    assert found == [brute_base(t) for t in texts] and sum(map(len, found)) > 500
+    scanned = [[x for x in spans if x[2] != "entropy"] for _, spans in secrets._scanned(pa.array(texts))]
+    assert scanned == found
+
+
 def test_entropy_windows_against_recount():
     import math
 
@@ -184,7 +245,8 @@ def test_entropy_beside_example_and_filler_words():
         assert any(s <= len(before) and e == len(run) for s, e in secrets.entropy_spans(run)), run
         run = token + "_EXAMPLE"
         assert any(s == 0 and e >= len(token) for s, e in secrets.entropy_spans(run))
-    for allowed in ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "0123456789abcdef" * 3, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789"):
+    assert secrets.entropy_spans(token + "example")[0][0] == 0 and secrets.entropy_spans("a1b2c3d4e5f6-zq9x8w7v6u5t")
+    for allowed in ("docs/2024-plan/quarterly-v2-final", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "0123456789abcdef" * 3, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789"):
         assert secrets.entropy_spans(allowed) == []
 
 

@@ -126,8 +126,8 @@ def test_bpe_and_blocks(spark, docs, nothing):
         ids = np.array(library.encode_ordinary(text or ""), "<u4")
         assert tuple(got[i])[1:] == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
     words = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    manifest = pfor.write_shards(docs, P.path("word_bpe_49k.json"), shared.new_folder(spark, "t"), 1, 20)
-    assert manifest.count() > 2
+    manifest = pfor.write_shards(docs, P.path("word_bpe_49k.json"), shared.new_folder(spark, "t"), 1, 20, 500)
+    assert manifest.select("shard").distinct().count() > 2 and manifest.where("part > 1").count() > 2
     start = 0
     read = {r["doc_id"]: r for r in pfor.read_shards(manifest).collect()}
     for i, text, *_ in sorted(documents()):
