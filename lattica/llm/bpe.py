@@ -27,11 +27,12 @@ from lattica.llm.kernels import U, column_bytes, distinct_keys, same_spans, slic
 from lattica.llm.shared import trimmed
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Distinct pieces whose ids a worker keeps (some 50 bytes each); beyond it the store starts afresh.
+#: Distinct pieces whose ids a worker keeps (some 60 bytes each); beyond it the store starts afresh.
 KEPT_PIECES = 600_000
 #: Token pairs of known compatibility that it keeps.
-KEPT_PAIRS = 300_000
+KEPT_PAIRS = 200_000
 _LETTER, _NUMBER, _BLANK, _OTHER = range(4)
+_SIDE = 1 << 24
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,7 +48,7 @@ class PrefixBpe:
 
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}  # by left * _SIDE + right
         self._whole: dict[int, bool] = {}
         self._spines: tuple[dict, dict] = {}, {}
         self._finder = ahocorasick.Automaton()
@@ -101,7 +102,7 @@ class PrefixBpe:
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two tokens' bytes together encode to just these two: no parts that face each other across the
         border at any time may merge before one of them is taken in on its own side."""
-        if (ok := self._pairs.get((left, right))) is not None:
+        if (ok := self._pairs.get(left * _SIDE + right)) is not None:
             return ok
         x, y = self.spine(left, 1), self.spine(right, 0)
         i = j = 0
@@ -120,7 +121,7 @@ class PrefixBpe:
                 break
         if len(self._pairs) >= KEPT_PAIRS:
             self._pairs.clear()
-        self._pairs[left, right] = ok
+        self._pairs[left * _SIDE + right] = ok
         return ok
 
     def table(self, data: bytes, last: list[int] | None = None) -> list[int]:
@@ -138,7 +139,7 @@ class PrefixBpe:
                 ok = self.starts(token)
             else:
                 left = last[end - size]
-                ok = pairs.get((left, token))
+                ok = pairs.get(left * _SIDE + token)
                 if ok is None:
                     ok = compatible(left, token)
             if ok:
@@ -387,7 +388,7 @@ def tokenized(docs: DataFrame, ranks_path: str) -> DataFrame:
         bpe, encoder = _worker(ranks_path)
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, 1 << 19):
                 o = offsets[a : b + 1]
                 ids, size = encode_texts(encoder, data[o[0] : o[-1]], o - o[0])
                 must_decode(bpe, ids, size, data, o)
@@ -404,7 +405,7 @@ def digests(docs: DataFrame, ranks_path: str) -> DataFrame:
         bpe, encoder = _worker(ranks_path)
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, 1 << 19):
                 o = offsets[a : b + 1]
                 ids, size = encode_texts(encoder, data[o[0] : o[-1]], o - o[0])
                 ids = ids.astype("<u4")

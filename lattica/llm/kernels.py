@@ -161,7 +161,7 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 20, rows: int = (1 << 16) - 1) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 18, rows: int = (1 << 16) - 1) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most` bytes, and of `rows` rows, at the utmost; a longer text stands alone."""
     n, at = len(offsets) - 1, 0
     while at < n:

@@ -231,7 +231,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         encoder = _encoder(tokenizer_path)
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, 1 << 20):
                 o = offsets[a : b + 1]
                 ids, size = encode_words(encoder, data[o[0] : o[-1]], o - o[0], end_id)
                 doc = batch.column("doc_id").slice(a, b - a)
