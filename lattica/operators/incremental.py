@@ -22,7 +22,10 @@ def changes(disk: DataFrame, files: DataFrame) -> DataFrame:
 
 def refreshed(tables: dict[str, DataFrame], changed: DataFrame, results: DataFrame, files: DataFrame, unresolved: DataFrame | None = None, project_id: str = "default") -> tuple[dict[str, DataFrame], DataFrame]:
     """(tables, unresolved calls) after a change: what belongs to changed files goes, what was extracted anew comes in, and
-    calls are resolved across files over the new whole, those of unchanged files that nothing had answered included."""
+    calls are resolved across files over the new whole, those of unchanged files that nothing had answered included (the
+    snapshot's own, unless others are given)."""
+    if unresolved is None:
+        unresolved = tables.get("unresolved_calls")
     kept = store.without_files(tables, changed.select("path"))
     fresh = resolve.deduplicated_symbols(resolve.raw_symbols(results), project_id)
     own = resolve.names_in_file(fresh)
@@ -45,5 +48,5 @@ def refreshed(tables: dict[str, DataFrame], changed: DataFrame, results: DataFra
     out["reference_relations"] = kept["reference_relations"].unionByName(resolve.reference_rows(results, own))
     out["inheritance_relations"] = kept["inheritance_relations"].unionByName(resolve.inheritance_rows(results, own))
     out["file_info"] = store.upserted(kept["file_info"], files, ("file_path",))
-    left = waiting.join(across.select("file", "ordinal"), ["file", "ordinal"], "left_anti")
-    return out, left
+    left = resolve.still_unresolved(waiting, across)
+    return out | {"unresolved_calls": left}, left

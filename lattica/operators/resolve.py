@@ -74,10 +74,15 @@ def calls_in_file(results: DataFrame, names: DataFrame) -> Resolved:
 
 
 def calls_across_files(unresolved: DataFrame, names: DataFrame) -> DataFrame:
-    """Calls whose ends both exist somewhere in the project; the others are dropped."""
+    """Calls whose ends both exist somewhere in the project."""
     return _named(_named(unresolved, names, "caller", "caller_id", "inner", False), names, "callee", "callee_id", "inner", False)
 
 
+def still_unresolved(unresolved: DataFrame, across: DataFrame) -> DataFrame:
+    """What a later file may answer: kept with the snapshot, so that the order in which files arrive doesn't matter."""
+    return unresolved.join(across.select("file", "ordinal"), ["file", "ordinal"], "left_anti")
+
+
 def _id(*columns: str) -> Column:
     return F.xxhash64(*columns).alias("id")
 
@@ -90,6 +95,33 @@ def include_rows(results: DataFrame) -> DataFrame:
     return exploded(results, "includes").select(_id("file", "ordinal", "source_file", "target_file", "line"), "source_file", "target_file", "line", "is_system", "resolved_path")
 
 
+def normalised(path: Column) -> Column:
+    """A path without empty and `.` components, and without `..` behind another component."""
+    def step(done: Column, part: Column) -> Column:
+        up = (part == "..") & (F.size(done) > 0) & (F.coalesce(F.element_at(done, -1), F.lit("..")) != "..")
+        return F.when(up, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when((part == "") | (part == "."), done).otherwise(F.array_append(done, part))
+
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(parts, "/"))
+
+
+def with_resolved_paths(includes: DataFrame, files: DataFrame, folders: list[str] | None = None, flags: DataFrame | None = None) -> DataFrame:
+    """includes with resolved_path filled in where the tree, files(path), has what is spelt: beside the including file for
+    quoted ones, then in the file's own folders, flags(file, pos, folder), then in the folders of all. The first counts."""
+    own = F.regexp_replace("source_file", r"[^/]*$", "")
+    order = F.struct(F.lit(0).alias("rank"), F.lit(0).alias("pos"), own.alias("folder"))
+    all_ = [F.struct(F.lit(2).alias("rank"), F.lit(i).alias("pos"), F.lit(f.rstrip("/") + "/").alias("folder")) for i, f in enumerate(folders or [])]
+    places = F.filter(F.array(F.when(~F.col("is_system"), order), *all_), lambda x: x.isNotNull())
+    absolute = F.col("target_file").startswith("/")
+    tried = includes.select("id", "source_file", "target_file", F.explode(F.when(absolute, F.array(F.struct(F.lit(0).alias("rank"), F.lit(0).alias("pos"), F.lit("").alias("folder")))).otherwise(places)).alias("x")).select("id", "target_file", "x.*")
+    if flags is not None:
+        each = includes.where(~absolute).join(flags.select(F.col("file").alias("source_file"), "pos", "folder"), "source_file")
+        tried = tried.unionByName(each.select("id", "target_file", F.lit(1).alias("rank"), "pos", F.concat(F.regexp_replace("folder", "/+$", ""), F.lit("/")).alias("folder")))
+    found = tried.withColumn("path", normalised(F.concat("folder", "target_file"))).join(files.select("path").distinct(), "path", "left_semi")
+    first = found.groupBy("id").agg(F.min_by("path", F.struct("rank", "pos")).alias("_path"))
+    return includes.join(first, "id", "left").withColumn("resolved_path", F.coalesce("resolved_path", "_path")).select(includes.columns)
+
+
 def reference_rows(results: DataFrame, names: DataFrame) -> DataFrame:
     """References to names of their own file; those to other names are dropped."""
     raw = results.select("file", F.posexplode("references").alias("ordinal", "_x")).select(
@@ -113,7 +145,8 @@ def resolved_tables(results: DataFrame, project_id: str = "default") -> dict[str
     symbols = deduplicated_symbols(raw_symbols(results), project_id)
     own = names_in_file(symbols)
     near = calls_in_file(results, own)
-    calls = near.calls.unionByName(calls_across_files(near.unresolved, names_in_project(symbols)))
+    across = calls_across_files(near.unresolved, names_in_project(symbols))
+    calls = near.calls.unionByName(across)
     return {
         "symbols": symbols.select(
             "id", "name", "qualified_name", "kind", "sub_kind", "file_path", "line", "column", "end_line", "is_definition", "return_type", "parameters", "access", "attributes", "project_id"
@@ -122,4 +155,5 @@ def resolved_tables(results: DataFrame, project_id: str = "default") -> dict[str
         "include_relations": include_rows(results),
         "reference_relations": reference_rows(results, own),
         "inheritance_relations": inheritance_rows(results, own),
+        "unresolved_calls": still_unresolved(near.unresolved, across),
     }

@@ -32,11 +32,13 @@ def upserted_symbols(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def appended(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows are added; an id that exists already fails the job that reads the result."""
-    merged = old.unionByName(new)
-    once = F.count(F.lit(1)).over(Window.partitionBy("id"))
+    """Rows are added; an id that exists already fails the job that reads the result. Only the ids of the old rows that the
+    new ones have are moved, not the old table."""
+    known = old.join(new.select("id"), "id", "left_semi").select("id")
+    times = new.select("id").unionByName(known).groupBy("id").agg(F.count(F.lit(1)).alias("_times"))
     error = F.raise_error(F.concat(F.lit("duplicate id "), F.col("id").cast("string"))).cast("long")
-    return merged.withColumn("id", F.when(once == 1, F.col("id")).otherwise(error))
+    checked = new.join(times, "id").withColumn("id", F.when(F.col("_times") == 1, F.col("id")).otherwise(error))
+    return old.unionByName(checked.select(new.columns))
 
 
 def without_files(tables: dict[str, DataFrame], files: DataFrame) -> dict[str, DataFrame]:
@@ -47,14 +49,18 @@ def without_files(tables: dict[str, DataFrame], files: DataFrame) -> dict[str, D
     derived = symbols.join(gone, "file_path", "left_semi").select(F.col("id").alias("derived_id"))
     out = {t: tables[t].join(gone, "file_path", "left_anti").select(tables[t].columns) for t in ("symbols", "call_relations", "reference_relations", "file_info")}
     out["include_relations"] = tables["include_relations"].join(gone.withColumnRenamed("file_path", "source_file"), "source_file", "left_anti").select(tables["include_relations"].columns)
+    if "unresolved_calls" in tables:
+        waiting = tables["unresolved_calls"]
+        out["unresolved_calls"] = waiting.join(gone.withColumnRenamed("file_path", "file"), "file", "left_anti").select(waiting.columns)
     out["inheritance_relations"] = tables["inheritance_relations"].join(derived, "derived_id", "left_anti").select(tables["inheritance_relations"].columns)
     return out
 
 
 class Snapshots:
-    """Immutable snapshots under one folder, and a pointer file to the current one, replaced by rename.
+    """Immutable snapshots under one folder, and a pointer for each: an empty file CURRENT-number-name. The highest counts.
 
-    A build never changes what a reader has open, and one that fails leaves the pointer alone.
+    A pointer appears by one rename once its snapshot is whole, and no file is ever replaced, so a reader always finds one
+    whole snapshot; a build never changes what a reader has open, and one that fails leaves no pointer.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -64,11 +70,14 @@ class Snapshots:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _pointers(self) -> list[tuple[int, str]]:
+        fs, p = self._fs(self.root)
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted((int(n.split("-")[1]), n.split("-", 2)[2]) for n in names if n.startswith("CURRENT-"))
+
     def current(self) -> str | None:
-        fs, p = self._fs(f"{self.root}/CURRENT")
-        if not fs.exists(p):
-            return None
-        return self.spark.read.text(f"{self.root}/CURRENT").first()[0]
+        found = self._pointers()
+        return found[-1][1] if found else None
 
     def initialize(self) -> None:
         """Creates an empty index unless there is one."""
@@ -85,14 +94,12 @@ class Snapshots:
             if t in order:
                 df = df.sortWithinPartitions(order[t])
             df.write.parquet(f"{self.root}/{name}/{t}")
-        fs, p = self._fs(f"{self.root}/CURRENT.{name}")
-        out = fs.create(p, True)
-        out.write(bytearray(name.encode()))
-        out.close()
-        target = self._fs(f"{self.root}/CURRENT")[1]
-        if fs.exists(target):
-            fs.delete(target, False)
-        fs.rename(p, target)
+        before = self._pointers()
+        fs, part = self._fs(f"{self.root}/.{name}")
+        fs.create(part, True).close()
+        fs.rename(part, self._fs(f"{self.root}/CURRENT-{before[-1][0] + 1 if before else 0:012d}-{name}")[1])
+        for number, old in before[:-1]:  # the last one stays for readers that have just listed it
+            fs.delete(self._fs(f"{self.root}/CURRENT-{number:012d}-{old}")[1], False)
         return name
 
     def read(self) -> dict[str, DataFrame]:

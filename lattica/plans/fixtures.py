@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 _NAME = "replace(p_name, ' ', '_')"
 _BRAND = "lower(replace(p_brand, '#', ''))"
 _KERNEL = (
-    f"CASE p_partkey % 12 WHEN 0 THEN 'sys_' || {_NAME} WHEN 1 THEN '__do_sys_' || {_NAME} WHEN 2 THEN '__se_sys_' || {_NAME} WHEN 3 THEN {_NAME} || '_ioctl' "
+    f"CASE p_partkey % 12 WHEN 0 THEN 'sys_' || {_NAME} WHEN 1 THEN '__do_sys_' || {_NAME} WHEN 2 THEN '__se_sys_' || {_NAME} WHEN 3 THEN {_NAME} || '_ioctl' WHEN 11 THEN {_NAME} || CASE WHEN p_partkey % 5 = 0 THEN '_ioctl_handler' ELSE '_ioctl' END "
     f"WHEN 4 THEN 'SYSCALL_DEFINE' || CAST(p_partkey % 7 AS STRING) WHEN 5 THEN 'Audio' || {_NAME} || 'Stub' WHEN 6 THEN 'Audio' || {_NAME} || 'ServiceProxy' "
     f"WHEN 7 THEN {_NAME} || 'AbilityStubStub' WHEN 8 THEN 'AddSystemAbility_' || {_NAME} WHEN 9 THEN 'compat_ioctl_' || {_NAME} WHEN 10 THEN 'Publish' || {_NAME} ELSE {_NAME} END"
 )

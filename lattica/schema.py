@@ -21,6 +21,9 @@ REFERENCES = "id bigint, symbol_id bigint, file_path string, line int, `column`
 INHERITANCE = "id bigint, derived_id bigint, base_id bigint, access string, is_virtual boolean"
 FILES = "file_path string, last_modified bigint, content_hash string, parse_status string, error_message string, symbol_count bigint, parse_time_ms bigint"
 
+#: Calls whose ends nothing has answered so far, by name.
+UNRESOLVED = "file string, ordinal int, caller string, callee string, file_path string, line int, `column` int, is_virtual boolean, is_indirect boolean"
+
 TABLES = {
     "symbols": SYMBOLS,
     "call_relations": CALLS,
@@ -28,6 +31,7 @@ TABLES = {
     "reference_relations": REFERENCES,
     "inheritance_relations": INHERITANCE,
     "file_info": FILES,
+    "unresolved_calls": UNRESOLVED,
 }
 #: Columns that identify a row; later rows replace earlier ones on them.
 KEYS = {
@@ -37,6 +41,7 @@ KEYS = {
     "reference_relations": ("id",),
     "inheritance_relations": ("id",),
     "file_info": ("file_path",),
+    "unresolved_calls": ("file", "ordinal"),
 }
 
 #: Vocabularies, and what an unknown value is read as.

@@ -45,3 +45,13 @@ def rewritten(entries: DataFrame, new_root: str) -> DataFrame:
     for c in ("directory", "file"):
         moved = moved.withColumn(c, _moved(F.col(c), F.col("prefix"), new_root))
     return moved.drop("prefix")
+
+
+def include_folders(entries: DataFrame) -> DataFrame:
+    """file, pos, folder of the -I flags of each entry, in their order; relative folders are below the entry's directory."""
+    words = F.coalesce("arguments", F.filter(F.split("command", r"\s+"), lambda x: x != ""))
+    each = entries.withColumn("_words", words).select("file", "directory", "_words", F.posexplode("_words").alias("pos", "word"))
+    apart = F.when(F.col("word") == "-I", F.get("_words", F.col("pos") + 1)).when(F.col("word").startswith("-I"), F.substr("word", F.lit(3)))
+    found = each.withColumn("_folder", apart).where("_folder IS NOT NULL AND _folder <> ''")
+    below = F.when(F.col("_folder").startswith("/"), F.col("_folder")).otherwise(F.concat(F.regexp_replace("directory", "/+$", ""), F.lit("/"), "_folder"))
+    return found.select("file", "pos", below.alias("folder"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.schema import EXTRACTION, REQUIRED
+from lattica.sources.lexical import lexical as lexical  # noqa: PLC0414  the extractor that needs no compiler
 
 #: An extractor maps (path, text) to a document with the fields of schema.EXTRACTION.
 Extractor = Callable[[str, str], dict]
@@ -77,45 +77,3 @@ def file_records(files: DataFrame, runs: DataFrame, results: DataFrame, now: int
         F.when(failed, "failed").otherwise("success").alias("parse_status"), F.col("error").alias("error_message"),
         F.coalesce("n", F.lit(0).cast("long")).alias("symbol_count"), F.col("millis").alias("parse_time_ms"),
     )
-
-
-_FUNCTION = re.compile(r"^[ \t]*((?:[\w:<>,*&~]+[ \t*&]+)+?)([\w:~]+)[ \t]*\(([^;{}()]*)\)[ \t]*(const[ \t]*)?(\{|;)", re.M)
-_INCLUDE = re.compile(r'^[ \t]*#[ \t]*include[ \t]*(?:"([^"]+)"|<([^>]+)>)', re.M)
-_MACRO = re.compile(r"^[ \t]*#[ \t]*define[ \t]+(\w+)", re.M)
-_RECORD = re.compile(r"\b(class|struct|union|enum)[ \t]+(\w+)[ \t]*(?::[ \t]*(?:(public|protected|private)[ \t]+)?(\w+))?[ \t\n]*\{")
-_CALL = re.compile(r"\b([A-Za-z_]\w*)[ \t]*\(")
-_WORDS = {"if", "for", "while", "switch", "return", "sizeof", "catch", "else", "do", "new", "delete"}
-
-
-def lexical(path: str, text: str) -> dict:
-    """A rough extractor for trees without a compiler: functions, types, macros, includes, calls within bodies."""
-    clean = re.sub(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"', lambda m: m[0] if m[0][0] == '"' else re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
-    line_of = lambda at: clean.count("\n", 0, at) + 1
-    column_of = lambda at: at - clean.rfind("\n", 0, at)
-    out: dict[str, list] = {"symbols": [], "calls": [], "includes": [], "inherits": [], "references": []}
-    for m in _INCLUDE.finditer(clean):
-        out["includes"].append({"source_file": path, "target_file": m[1] or m[2], "line": line_of(m.start()), "is_system": m[2] is not None})
-    for m in _MACRO.finditer(clean):
-        out["symbols"].append({"name": m[1], "qualified_name": m[1], "kind": "macro", "file_path": path, "line": line_of(m.start()), "column": column_of(m.start(1)), "is_definition": True})
-    for m in _RECORD.finditer(clean):
-        out["symbols"].append({"name": m[2], "qualified_name": m[2], "kind": "type", "sub_kind": m[1], "file_path": path, "line": line_of(m.start()), "column": column_of(m.start(2)), "is_definition": True})
-        if m[4]:
-            out["inherits"].append({"derived": m[2], "base": m[4], "access": m[3] or ("private" if m[1] == "class" else "public"), "is_virtual": False})
-    for m in _FUNCTION.finditer(clean):
-        name = m[2].rpartition("::")[2]
-        if name in _WORDS or m[1].strip() in _WORDS:
-            continue
-        body, end = m[5] == "{", m.end()
-        if body:
-            depth = 1
-            while end < len(clean) and depth:
-                depth += {"{": 1, "}": -1}.get(clean[end], 0)
-                end += 1
-        symbol = {"name": name, "qualified_name": m[2], "kind": "function", "file_path": path, "line": line_of(m.start(2)), "column": column_of(m.start(2)), "is_definition": body, "return_type": m[1].strip()}
-        if body:
-            symbol["end_line"] = line_of(end - 1)
-            for c in _CALL.finditer(clean, m.end(), end):
-                if c[1] not in _WORDS:
-                    out["calls"].append({"caller": m[2], "callee": c[1], "file": path, "line": line_of(c.start()), "column": column_of(c.start()), "is_virtual": False, "is_indirect": False})
-        out["symbols"].append(symbol)
-    return out

@@ -47,6 +47,16 @@ def source_paths(root: str, extensions: tuple[str, ...] = EXTENSIONS, excluded:
     return sorted(found, key=lambda p: p.split("/"))
 
 
+def sources_among(paths: DataFrame, extensions: tuple[str, ...] = EXTENSIONS, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of paths(path, ..) that are source files, by the rules of source_paths(), for stores that list paths (below
+    their root, without it): no folder among those that are skipped, an ending of a source file, not begun with `._`."""
+    parts = F.split("path", "/")
+    folders, name = F.slice(parts, 1, F.size(parts) - 1), F.element_at(parts, -1)
+    stem, ending = F.regexp_extract(name, r"^(.+)\.[^.]*$", 1), F.lower(F.substring_index(name, ".", -1))
+    skipped = F.arrays_overlap(folders, F.array(*map(F.lit, (*SKIPPED, *excluded))))
+    return paths.where(~skipped & (stem != "") & ending.isin(*extensions) & ~name.startswith("._"))
+
+
 def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS, excluded: tuple[str, ...] = ()) -> DataFrame:
     """position, path of the source files; listed by name, so files with leading dots or underscores count too."""
     return spark.createDataFrame(list(enumerate(source_paths(root, extensions, excluded))), "position int, path string")

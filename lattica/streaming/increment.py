@@ -11,17 +11,21 @@ from pyspark.sql.streaming import StreamingQuery
 from lattica.operators import incremental, store
 from lattica.sources.extraction import decoded
 
-ARRIVAL = "file string, content_hash string, json string, error string, deleted boolean"
+#: seq, where the sender gives it, tells the order of arrivals that come in one file.
+ARRIVAL = "file string, content_hash string, json string, error string, deleted boolean, seq long"
 
 
 def arrivals(spark: SparkSession, folder: str, files_a_batch: int = 1000) -> DataFrame:
-    """A stream of arrivals as JSON lines in a folder; `deleted` ones carry no document."""
-    return spark.readStream.schema(ARRIVAL).option("maxFilesPerTrigger", files_a_batch).json(folder)
+    """A stream of arrivals as JSON lines in a folder; `deleted` ones carry no document. arrived: time and name of the file."""
+    found = spark.readStream.schema(ARRIVAL).option("maxFilesPerTrigger", files_a_batch).json(folder)
+    return found.select("*", F.struct("_metadata.file_modification_time", "_metadata.file_name").alias("arrived"))
 
 
 def merge_batch(snapshots: store.Snapshots, batch: DataFrame, now: int, project_id: str = "default") -> None:
-    """One batch as a new snapshot; of several arrivals of one file in it, any one counts."""
-    last = batch.dropDuplicates(["file"])
+    """One batch as a new snapshot; of several arrivals of one file in it, the last one counts."""
+    order = [F.col(c) for c in ("arrived", "seq") if c in batch.columns]
+    columns = ("file", "content_hash", "json", "error", "deleted")
+    last = batch.groupBy("file").agg(F.max_by(F.struct(*columns), F.struct(*order, F.coalesce("content_hash", F.lit("")))).alias("x")).select("x.*")
     tables = snapshots.read()
     gone = F.coalesce("deleted", F.lit(False))
     disk = last.where(~gone).select(F.col("file").alias("path"), "content_hash")
@@ -30,12 +34,13 @@ def merge_batch(snapshots: store.Snapshots, batch: DataFrame, now: int, project_
     fresh = last.where(~gone).join(changed.select(F.col("path").alias("file")), "file", "left_semi")
     results = decoded(fresh.where("json IS NOT NULL").select("file", "json"))
     failed = F.col("json").isNull()
-    files = fresh.select(
+    sizes = results.select("file", F.size("symbols").cast("long").alias("n"))
+    files = fresh.join(sizes, "file", "left").select(
         F.col("file").alias("file_path"), F.lit(now).cast("long").alias("last_modified"), F.when(failed, "").otherwise(F.col("content_hash")).alias("content_hash"),
-        F.when(failed, "failed").otherwise("success").alias("parse_status"), F.col("error").alias("error_message"), F.lit(0).cast("long").alias("symbol_count"), F.lit(None).cast("long").alias("parse_time_ms"),
+        F.when(failed, "failed").otherwise("success").alias("parse_status"), F.col("error").alias("error_message"), F.coalesce("n", F.lit(0).cast("long")).alias("symbol_count"), F.lit(None).cast("long").alias("parse_time_ms"),
     )
     if not changed.isEmpty():
-        snapshots.write(incremental.refreshed(tables, changed, results, files, None, project_id)[0])
+        snapshots.write(incremental.refreshed(tables, changed, results, files, project_id=project_id)[0])
 
 
 def run(spark: SparkSession, folder: str, root: str, checkpoint: str, clock: Callable[[], int], project_id: str = "default") -> StreamingQuery:
