@@ -39,9 +39,13 @@ def refreshed(tables: dict[str, DataFrame], changed: DataFrame, results: DataFra
     out = dict(kept)
     columns = tables["symbols"].columns
     out["symbols"] = kept["symbols"].unionByName(fresh.select(columns))
-    # a call into a symbol that is gone goes too, unless its name is answered again
-    alive = out["symbols"].select("id")
-    old_calls = kept["call_relations"].join(alive.withColumnRenamed("id", "caller_id"), "caller_id", "left_semi").join(alive.withColumnRenamed("id", "callee_id"), "callee_id", "left_semi")
+    # a call of an unchanged file into a symbol that is gone is answered by its name again, or goes
+    alive, old = out["symbols"].select("id"), tables["symbols"].select(F.col("id").alias("callee_id"), F.col("qualified_name").alias("name"))
+    own_calls = kept["call_relations"].join(alive.withColumnRenamed("id", "caller_id"), "caller_id", "left_semi")
+    gone = own_calls.join(alive.withColumnRenamed("id", "callee_id"), "callee_id", "left_anti")
+    again = gone.join(old, "callee_id").drop("callee_id").join(names.withColumnRenamed("id", "callee_id"), "name")
+    old_calls = own_calls.join(alive.withColumnRenamed("id", "callee_id"), "callee_id", "left_semi")
+    old_calls = old_calls.unionByName(again.select(old_calls.columns))
     calls = resolve.call_rows(near.calls.unionByName(across))
     out["call_relations"] = store.upserted(old_calls.select(calls.columns), calls, ("id",))
     out["include_relations"] = kept["include_relations"].unionByName(resolve.include_rows(results))

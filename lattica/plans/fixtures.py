@@ -50,6 +50,8 @@ TABLES: dict[str, tuple[str, str, list[tuple[str, str]]]] = {
     "disk": ("documents", "doc_id % 10 <> 0", [
         ("path", "'src/' || source || '/d' || CAST(doc_id AS STRING) || '.c'"), ("content_hash", "CASE WHEN doc_id % 7 = 0 THEN {sha(text || 'x')} ELSE {sha(text)} END")]),
     "disk_new": ("documents", "doc_id % 50 = 0", [("path", "'src/new/d' || CAST(doc_id AS STRING) || '.c'"), ("content_hash", "{sha(text)}")]),
+    "parts": ("part", "true", [("p_partkey", "p_partkey"), ("p_size", "p_size"), ("p_name", "p_name")]),
+    "nations": ("nation", "true", [("n_nationkey", "n_nationkey"), ("n_name", "n_name")]),
     "texts": ("documents", "true", [("path", "'d' || CAST(doc_id AS STRING)"), ("text", "text")]),
     # extraction results, before any resolution: a file, the ordinal in it, and names
     "raw_symbols": ("part", "true", [
