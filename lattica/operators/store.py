@@ -11,8 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lattica.operators.traverse import node_edges
 from lattica.schema import KEYS, TABLES, struct_of
 
+#: The folder of the calls between logical nodes.
+EDGES = "call_edges"
+
 
 def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
     return {t: spark.createDataFrame([], struct_of(t)) for t in TABLES}
@@ -85,7 +89,8 @@ class Snapshots:
             self.write(empty_tables(self.spark))
 
     def write(self, tables: dict[str, DataFrame]) -> str:
-        """Writes every table in the columns of its schema; relations are laid out by their ends for pruned scans."""
+        """Writes every table in the columns of its schema, and the calls between logical nodes; relations are laid out by
+        their ends for pruned scans."""
         name = f"snapshot-{uuid.uuid4().hex}"
         order = {"call_relations": "callee_id", "reference_relations": "symbol_id", "symbols": "qualified_name", "include_relations": "source_file"}
         for t in TABLES:
@@ -94,6 +99,8 @@ class Snapshots:
             if t in order:
                 df = df.sortWithinPartitions(order[t])
             df.write.parquet(f"{self.root}/{name}/{t}")
+        symbols, calls = (self.spark.read.schema(struct_of(t)).parquet(f"{self.root}/{name}/{t}") for t in ("symbols", "call_relations"))
+        node_edges(calls, symbols).sortWithinPartitions("callee_name").write.parquet(f"{self.root}/{name}/{EDGES}")
         before = self._pointers()
         fs, part = self._fs(f"{self.root}/.{name}")
         fs.create(part, True).close()
@@ -108,6 +115,10 @@ class Snapshots:
             raise FileNotFoundError(f"no index under {self.root}")
         return {t: self.spark.read.schema(struct_of(t)).parquet(f"{self.root}/{name}/{t}") for t in TABLES}
 
+    def edges(self) -> DataFrame:
+        """The calls between logical nodes (traverse.node_edges) of the current snapshot."""
+        return self.spark.read.parquet(f"{self.root}/{self.current()}/{EDGES}")
+
 
 def packed(df: DataFrame, key: str) -> DataFrame:
     """key and the row's JSON as base64: rows that can travel in a text protocol."""

@@ -18,12 +18,6 @@ from lattica.session import checkpointed
 SMALL = 10_000
 
 
-def logical_nodes(symbols: DataFrame) -> DataFrame:
-    """id, qualified_name, node: symbols of one qualified name are one node, named by their least id."""
-    node = F.min("id").over(Window.partitionBy("qualified_name"))
-    return symbols.select("id", "qualified_name").withColumn("node", node)
-
-
 def same_name_ids(symbols: DataFrame, id_: int) -> DataFrame:
     """The ids of the symbol's qualified name; the id itself if it is unknown."""
     spark = symbols.sparkSession
@@ -33,11 +27,10 @@ def same_name_ids(symbols: DataFrame, id_: int) -> DataFrame:
 
 
 def node_edges(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """calls with caller_node, callee_node and both qualified names; compute once per snapshot, and keep."""
-    n = logical_nodes(symbols)
-    a = n.select(F.col("id").alias("caller_id"), F.col("node").alias("caller_node"), F.col("qualified_name").alias("caller_name"))
-    b = n.select(F.col("id").alias("callee_id"), F.col("node").alias("callee_node"), F.col("qualified_name").alias("callee_name"))
-    return calls.join(a, "caller_id").join(b, "callee_id")
+    """calls between logical nodes, with caller_name and callee_name: symbols of one qualified name are one node, and the name
+    is the node. Snapshots keep these rows, by callee, so a traversal of an index joins no symbols."""
+    name = lambda end: symbols.select(F.col("id").alias(f"{end}_id"), F.col("qualified_name").alias(f"{end}_name"))
+    return calls.join(name("caller"), "caller_id").join(name("callee"), "callee_id")
 
 
 class _Level:
@@ -72,17 +65,17 @@ def levels(edges: DataFrame, source: str, target: str, seeds: DataFrame, depth:
 
 
 def _seed(symbols: DataFrame, id_: int) -> DataFrame:
-    return logical_nodes(symbols).where(F.col("id") == id_).select("node")
+    """The node of a symbol: one look-up by id."""
+    return symbols.where(F.col("id") == id_).select(F.col("qualified_name").alias("node"))
 
 
 def _reached(edges: DataFrame, symbols: DataFrame, id_: int, depth: int, near: str, far: str) -> DataFrame:
     """Calls at the border of each level, one for each far name: that of the least (level, id)."""
-    found = levels(edges, f"{near}_node", f"{far}_node", _seed(symbols, id_), depth)
-    inner = found.where(F.col("level") < depth).select(F.col("node").alias(f"{near}_node"), (F.col("level") + 1).alias("level"))
-    hit = edges.join(inner, f"{near}_node")
-    first = Window.partitionBy(f"{far}_name").orderBy("level", "id")
-    kept = hit.withColumn("_rank", F.row_number().over(first)).where("_rank = 1")
-    return kept.select("id", "caller_id", "callee_id", "file_path", "line", "column", "is_virtual", "is_indirect", "level")
+    found = levels(edges, f"{near}_name", f"{far}_name", _seed(symbols, id_), depth)
+    inner = found.where(F.col("level") < depth).select(F.col("node").alias(f"{near}_name"), (F.col("level") + 1).alias("level"))
+    columns = ("id", "caller_id", "callee_id", "file_path", "line", "column", "is_virtual", "is_indirect", "level")
+    hit = edges.join(inner, f"{near}_name").groupBy(f"{far}_name").agg(F.min_by(F.struct(*columns), F.struct("level", "id")).alias("first"))
+    return hit.select("first.*")
 
 
 def callers(edges: DataFrame, symbols: DataFrame, id_: int, depth: int = 1) -> DataFrame:

@@ -9,16 +9,17 @@ from lattica.session import ship_package
 
 
 class CodeGraph:
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], project_id: str = "default"):
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], project_id: str = "default", edges: DataFrame | None = None):
         ship_package(spark)
         self.spark, self.tables, self.project_id = spark, tables, project_id
         self.symbols, self.calls, self.includes = tables["symbols"], tables["call_relations"], tables["include_relations"]
         self.references, self.inheritance, self.files = tables["reference_relations"], tables["inheritance_relations"], tables["file_info"]
-        self._edges: DataFrame | None = None
+        self._stored, self._edges = edges, None
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, project_id: str = "default") -> CodeGraph:
-        return cls(spark, store.Snapshots(spark, root).read(), project_id)
+        snapshots = store.Snapshots(spark, root)
+        return cls(spark, snapshots.read(), project_id, snapshots.edges())
 
     @classmethod
     def build(cls, spark: SparkSession, root: str, results: DataFrame, files: DataFrame, project_id: str = "default") -> CodeGraph:
@@ -27,7 +28,9 @@ class CodeGraph:
         return cls.open(spark, root, project_id)
 
     def edges(self) -> DataFrame:
-        """Calls between logical nodes, kept for the traversals of this engine."""
+        """Calls between logical nodes: those of the snapshot, else made once and kept for this engine's traversals."""
+        if self._stored is not None:
+            return self._stored
         if self._edges is None:
             self._edges = traverse.node_edges(self.calls, self.symbols).persist()
         return self._edges
