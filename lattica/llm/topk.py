@@ -1,29 +1,39 @@
 """Exact top-k inner-product search: a ball tree per shard, searched by branch and bound.
 
-Vectors are dealt to shards of bounded size by a hash of their id. Every shard meets the queries in blocks of bounded
-size; a task holds one shard and one block. It builds the ball tree and visits its nodes in the order of their upper
-bounds q.centre + |q| * radius, for all queries of the block whose bound reaches their current k-th score; leaves are
-scored by one matrix product. The current k-th scores are shared: each query is first searched in one shard, by its
-hash, and what it reached there bounds the search in all the others from the start.
+Vectors are dealt to shards of bounded size by a hash of their id. Each shard's ball tree is built once and written to a
+file in the shared folder. A search visits the tree's nodes in the order of their upper bounds q.centre + |q| * radius, for
+all queries of a block whose bound reaches their current k-th score; leaves are scored by one matrix product. The current
+k-th scores are shared: each query is first searched in one shard, by its hash, and what it reached there bounds the search
+in all the others from the start. For that, queries are written as files of blocks of bounded size; each tree's task reads
+one block after the other. So no vector is sent to another task but for building its shard.
 
 Scores are integers: components are floor(scale * x). Ties go to the smaller vec_id. Defined results: vectors that are
 null, or hold null or non-finite components, take no part; vectors of different length aren't compared; null ids take no
 part; rows of a repeated id are candidates of their own, but never of a query of the same id; rows of one query id are one
-query, that of the least vector; a query without candidates has no rows; an empty table gives an empty table; extra columns are ignored.
+query, that of the least vector; a query without candidates has no rows; an empty table gives an empty table; extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import io
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.shared import written
+from lattica.llm.files import open_file, write_file
+from lattica.llm.shared import new_folder, written
 
+#: Tasks that search at most; a task then has several trees.
+MOST_TASKS = 20_000
+#: Parts that a query's candidates are first cut down in, so that no list of them is long.
+PARTS = 32
 SHARD_ROWS, BLOCK_ROWS, LEAF = 16_384, 2_048, 128
 SCHEMA = "query_id long, rank int, vec_id long, score long"
 _PART = "query_id long, vec_id long, score long"
@@ -62,37 +72,57 @@ class Best:
 
 
 class BallTree:
-    """Nodes of points with centre and radius; split at the median along the axis of the widest spread."""
+    """Nodes of points with centre and radius; split at the median along the axis of the widest spread.
 
-    def __init__(self, points: np.ndarray, ids: np.ndarray, leaf: int = LEAF):
-        self.points, self.ids = points.astype(np.float64), ids
-        self.nodes: list[tuple[np.ndarray, float, np.ndarray | None, tuple[int, int]]] = []
-        self._build(np.arange(len(ids)), leaf)
+    points and ids are in the order of the leaves; a node has its span of them, and a leaf no children (-1).
+    """
 
-    def _build(self, rows: np.ndarray, leaf: int) -> int:
-        own = len(self.nodes)
-        p = self.points[rows]
+    def __init__(self, points: np.ndarray, ids: np.ndarray, leaf: int = LEAF):
+        self._rows: list[np.ndarray] = []
+        self._nodes: list[list] = []
+        own = points.astype(np.float64)
+        self._build(own, ids, np.arange(len(ids)), leaf)
+        order = np.concatenate(self._rows) if self._rows else np.zeros(0, np.int64)
+        self.points, self.ids = points[order].astype(np.int64), ids[order].astype(np.int64)
+        self.centre = np.stack([n[0] for n in self._nodes])
+        self.radius, self.child, self.span = (np.array([n[i] for n in self._nodes]) for i in (1, 2, 3))
+
+    def _build(self, points: np.ndarray, ids: np.ndarray, rows: np.ndarray, leaf: int) -> int:
+        own, first = len(self._nodes), sum(map(len, self._rows))
+        p = points[rows]
         centre = p.mean(axis=0)
         radius = math.sqrt(float(((p - centre) ** 2).sum(axis=1).max()))
-        self.nodes.append((centre, radius, None, (0, 0)))
+        self._nodes.append([centre, radius, (-1, -1), (first, first + len(rows))])
         if len(rows) <= leaf or radius == 0:  # equal points stay together, however many
-            self.nodes[own] = (centre, radius, rows[np.argsort(self.ids[rows], kind="stable")], (0, 0))
+            self._rows.append(rows[np.argsort(ids[rows], kind="stable")])
             return own
         axis = int(np.argmax(p.max(axis=0) - p.min(axis=0)))
         order = np.argsort(p[:, axis], kind="stable")
         half = len(rows) // 2
-        left, right = self._build(rows[order[:half]], leaf), self._build(rows[order[half:]], leaf)
-        self.nodes[own] = (centre, radius, None, (left, right))
+        self._nodes[own][2] = self._build(points, ids, rows[order[:half]], leaf), self._build(points, ids, rows[order[half:]], leaf)
         return own
 
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, **{k: getattr(self, k) for k in ("points", "ids", "centre", "radius", "child", "span")})
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, uri: str) -> BallTree:
+        tree = cls.__new__(cls)
+        with open_file(uri) as f:
+            for k, v in np.load(io.BytesIO(f.read())).items():
+                setattr(tree, k, v)
+        return tree
+
     def search(self, queries: np.ndarray, query_ids: np.ndarray, best: Best) -> None:
         """Branch and bound for a block of queries at once, the node of the highest bound first."""
-        q = queries.astype(np.float64)
+        q, points = queries.astype(np.float64), self.points.astype(np.float64)
         norm = np.sqrt((q * q).sum(axis=1))
-        exact = float(np.abs(q).max(initial=0)) * float(np.abs(self.points).max(initial=0)) * q.shape[1] < 2**52
+        exact = float(np.abs(q).max(initial=0)) * float(np.abs(points).max(initial=0)) * q.shape[1] < 2**52
 
         def bounds(node: int, rows: np.ndarray) -> np.ndarray:
-            centre, radius, *_ = self.nodes[node]
+            centre, radius = self.centre[node], float(self.radius[node])
             bound = q[rows] @ centre + norm[rows] * radius
             return bound + 1e-9 * (np.abs(bound) + norm[rows] * (radius + float(np.abs(centre).max(initial=0)))) + 1e-6
 
@@ -105,65 +135,115 @@ class BallTree:
             rows = rows[open_]
             if not len(rows):
                 continue
-            _, _, members, children = self.nodes[node]
-            if members is None:
-                for child in children:
+            if self.child[node][0] >= 0:
+                for child in self.child[node].tolist():
                     b = np.minimum(bounds(child, rows), bound[open_])
                     heapq.heappush(heap, (-float(b.max()), child, rows, b))
                 continue
-            for at in range(0, len(members), 4096):
-                some = members[at : at + 4096]
+            first, end = self.span[node].tolist()
+            for at in range(first, end, 4096):
+                some = slice(at, min(end, at + 4096))
                 if exact:
-                    score = q[rows] @ self.points[some].T
+                    score = q[rows] @ points[some].T
                 else:  # beyond 52 bits: integers
                     score = (queries[rows].astype(object) @ self.points[some].astype(object).T).astype(np.float64)
                 score[query_ids[rows][:, None] == self.ids[some][None, :]] = -np.inf
                 best.add(rows, score, self.ids[some])
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
+def _matrix(column) -> np.ndarray:
     return np.stack([np.asarray(v, np.int64) for v in column]) if len(column) else np.zeros((0, 0), np.int64)
 
 
+def _found(tree: BallTree, ids: np.ndarray, vectors: np.ndarray, floor: np.ndarray, k: int) -> dict[str, np.ndarray]:
+    """query_id, vec_id, score: what one tree has for the queries, from the floor of each on."""
+    best = Best(len(ids), k, floor)
+    tree.search(vectors, ids, best)
+    row, col = np.nonzero((best.score > -np.inf) & (best.score >= best.floor[:, None]))
+    return {"query_id": ids[row], "vec_id": best.id[row, col], "score": best.score[row, col].astype(np.int64)}
+
+
+def _trees(points: DataFrame, folder: str) -> DataFrame:
+    """dim, shard, path of a ball tree for each shard."""
+
+    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        path = f"{folder}/tree-{key[0]}-{key[1]}.npz"
+        write_file(path, BallTree(_matrix(rows["v"]), rows["vec_id"].to_numpy()).dump())
+        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "path": [path]})
+
+    return written(points.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, path string"), "topk-trees")
+
+
+def _blocks(queries: DataFrame, blocks: int, folder: str) -> None:
+    """Writes queries(vec_id, dim, v, home, floor, block) as a file for each block."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        parts, out = list(batches), {}
+        for dim, rows in pa.Table.from_batches(parts).to_pandas().groupby("dim") if parts else ():
+            out |= {f"ids-{dim}": rows["vec_id"].to_numpy(np.int64), f"v-{dim}": _matrix(rows["v"]), f"home-{dim}": rows["home"].to_numpy(np.int64), f"floor-{dim}": rows["floor"].to_numpy(np.float64)}
+        data = io.BytesIO()
+        np.savez(data, **out)
+        block = TaskContext.get().partitionId()
+        write_file(f"{folder}/block-{block}.npz", data.getvalue())
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32())], names=["block"])
+
+    written(queries.repartitionById(blocks, F.col("block")).mapInArrow(write, "block int"), "topk-blocks")
+
+
+def _searched(trees: DataFrame, blocks: int, folder: str, k: int) -> DataFrame:
+    """What every tree but the home one has for the queries of all blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, shard, path in zip(*(batch.column(c).to_pylist() for c in ("dim", "shard", "path"))):
+                tree = BallTree.load(path)
+                for block in range(blocks):
+                    with open_file(f"{folder}/block-{block}.npz") as f:
+                        q = np.load(io.BytesIO(f.read()))
+                    if f"ids-{dim}" not in q:
+                        continue
+                    away = np.flatnonzero(q[f"home-{dim}"] != shard)
+                    if len(away):
+                        found = _found(tree, q[f"ids-{dim}"][away], q[f"v-{dim}"][away], q[f"floor-{dim}"][away], k)
+                        yield pa.RecordBatch.from_pydict(found)
+
+    tasks = max(1, min(trees.count(), MOST_TASKS))
+    return trees.repartition(tasks, "dim", "shard").mapInArrow(run, _PART)
+
+
+def _best(found: DataFrame, k: int, *keys: str) -> DataFrame:
+    """The k best (s, vec_id) of each query within the keys."""
+    lists = found.groupBy("query_id", *keys).agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "vec_id"))), 1, k).alias("best"))
+    return lists.select("query_id", F.posexplode("best").alias("pos", "b")).select("query_id", "pos", "b.s", "b.vec_id")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k best of all vectors for each vector that satisfies is_query (a condition on vec_id)."""
     all_ = written(quantised(vectors, scale), "topk-vectors")
     total, asked = all_.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     shards, blocks = max(1, -(-total // shard_rows)), max(1, -(-asked // block_rows))
-    shard = F.pmod(F.xxhash64("vec_id", F.lit("shard")), F.lit(shards)).cast("int")
-    block = F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int")
-    points = all_.withColumn("shard", shard)
+    of = lambda what, n: F.pmod(F.xxhash64("vec_id", F.lit(what)), F.lit(n)).cast("int")
+    folder = new_folder(vectors.sparkSession, "topk")
+    trees = _trees(all_.withColumn("shard", of("shard", shards)), folder)
     # rows of one query id are one query
     queries = all_.where(is_query).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("q")).select("vec_id", "q.*")
-    queries = queries.withColumn("block", block).withColumn("home", F.pmod(F.xxhash64("vec_id", F.lit("home")), F.lit(shards)).cast("int"))
-
-    def searched(q: DataFrame) -> DataFrame:
-        """q: vec_id, dim, v, block, shard, floor."""
-
-        def work(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if not len(left) or not len(right):
-                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-            ids = left["vec_id"].to_numpy()
-            best = Best(len(left), k, left["floor"].to_numpy(np.float64))
-            BallTree(_matrix(right["v"]), right["vec_id"].to_numpy()).search(_matrix(left["v"]), ids, best)
-            row, col = np.nonzero((best.score > -np.inf) & (best.score >= best.floor[:, None]))
-            return pd.DataFrame({"query_id": ids[row], "vec_id": best.id[row, col], "score": best.score[row, col].astype(np.int64)})
-
-        dealt = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        keys = ["dim", "shard", "block"]
-        # both sides come from one table; new names of their columns keep them apart
-        q, dealt = (df.select(*(F.col(c).alias(c) for c in df.columns)) for df in (q, dealt))
-        return q.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(work, _PART)
-
-    first = written(searched(queries.withColumn("shard", F.col("home")).withColumn("floor", F.lit(float("-inf")))), "topk-home")
-    found = first
+    queries = written(queries.withColumn("block", of("block", blocks)).withColumn("home", of("home", shards)), "topk-queries")
+
+    def at_home(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+        return pd.DataFrame(_found(BallTree.load(right["path"][0]), left["vec_id"].to_numpy(), _matrix(left["v"]), np.full(len(left), -np.inf), k))
+
+    own = trees.select("dim", F.col("shard").alias("home"), "path")
+    found = written(queries.groupBy("dim", "home").cogroup(own.groupBy("dim", "home")).applyInPandas(at_home, _PART), "topk-home")
     if shards > 1:
-        reached = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
+        reached = found.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
         floor = F.coalesce(F.when(F.col("n") >= k, F.col("least").cast("double")), F.lit(float("-inf")))
         bounded = queries.join(reached.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("floor", floor)
-        away = bounded.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != F.col("home"))
-        found = first.unionByName(searched(away.select("vec_id", "dim", "v", "block", "shard", "floor")))
-    # k rows a shard at most for each query: sorted as one array of a query
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
-    ranked = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("pos", "b"))
-    return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+        _blocks(bounded.select("vec_id", "dim", "v", "home", "floor", "block"), blocks, folder)
+        found = found.unionByName(_searched(trees, blocks, folder, k))
+    ranked = found.select("query_id", (-F.col("score")).alias("s"), "vec_id", F.pmod(F.xxhash64("vec_id"), F.lit(PARTS)).alias("part"))
+    ranked = _best(_best(ranked, k, "part").select("query_id", "s", "vec_id"), k)
+    return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "vec_id", (-F.col("s")).alias("score"))

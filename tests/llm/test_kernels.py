@@ -442,6 +442,31 @@ def test_classifier_learns_and_copes_with_odd_input():
     assert nbsvm.fit(rows, np.ones(len(rows))) is None and nbsvm.fit([], np.zeros(0)) is None
 
 
+def test_scores_against_sets_of_n_grams():
+    """The score again with dictionaries: log-count ratios, unit rows, margins and the logistic curve."""
+    import math
+
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcd " if i % 2 else "cdef ") for _ in range(r.randrange(5, 40))) for i in range(80)]
+    y = np.array([i % 2 for i in range(80)])
+    feature, text = nbsvm.indicators(*arrays(texts))
+    rows = np.split(feature, np.cumsum(np.bincount(text, minlength=len(texts)))[:-1])
+    model = nbsvm.fit(rows, y)
+    aside = {i for k in (0, 1) for i in np.flatnonzero(y == k)[: (y == k).sum() // 5]}
+    count = [collections.Counter(), collections.Counter()]
+    for i, row in enumerate(rows):
+        if i not in aside:
+            count[y[i]].update(row.tolist())
+    total = [sum(c.values()) + (1 << nbsvm.BITS) for c in count]
+    ratio = lambda f: math.log((count[1][f] + 1) / total[1]) - math.log((count[0][f] + 1) / total[0])
+    for i in (0, 1, 17, 42):
+        found = [ratio(f) for f in rows[i].tolist()]
+        norm = math.sqrt(sum(x * x for x in found))
+        margin = sum(x / norm * model.weight[f] for x, f in zip(found, rows[i].tolist())) + model.bias
+        score = 1 / (1 + math.exp(-(model.slope * margin + model.offset)))
+        assert score == pytest.approx(model.scores(model.margins(rows[i], np.zeros(len(rows[i]), np.int64), 1))[0], rel=1e-6)
+
+
 def test_classifier_fits_on_12000_documents_without_a_second_copy():
     import inspect
     import tracemalloc
