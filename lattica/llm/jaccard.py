@@ -317,4 +317,4 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     part = joined(docs, k, percent)
     kept = written(part.where("doc_id = component_id").select("doc_id").distinct(), "jaccard-kept")
     own = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return own.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    return own.unionByName(docs.where("doc_id IS NULL")).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.kernels import U, column_bytes, mix, slices
-from lattica.llm.shared import drop_table, trimmed, written
+from lattica.llm.shared import drop_table, same_columns, trimmed, written
 
 #: Labelled documents that a fit takes at most, and their indicators (four bytes each on the driver).
 TRAIN_DOCS, TRAIN_FEATURES = 12_000, 80_000_000
@@ -218,10 +218,12 @@ def scored(docs: DataFrame, model: Model | None, keep: float | None = None, leas
             s = scores(*column_bytes(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= least).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
+    text = docs.columns.index("text")
+
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(scores(*column_bytes(batch.column("text"))) >= keep))
+            yield batch.filter(pa.array(scores(*column_bytes(batch.column(text))) >= keep))
 
     if keep is not None:
-        return docs.mapInArrow(trimmed(filtered), docs.schema)
+        return same_columns(docs, filtered)
     return docs.select("doc_id", "text", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")).mapInArrow(trimmed(score), SCHEMA)

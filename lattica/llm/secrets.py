@@ -20,10 +20,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
 from lattica.llm.kernels import column_bytes, runs
-from lattica.llm.shared import trimmed
+from lattica.llm.shared import same_columns, trimmed
 
 #: Kinds in their order, and the base patterns.
 KINDS = ("assign", "access", "hex", "entropy")
@@ -185,6 +184,6 @@ def redact(docs: DataFrame, mask: str = "[REDACTED]", length_column: str | None
                 k = names.index(length_column)
                 lengths = [len(t) if hit else old for t, hit, old in zip(texts, touched, arrays[k].to_pylist())]
                 arrays[k] = pa.array(lengths, arrays[k].type)
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
 
-    return docs.mapInArrow(trimmed(run), T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields]))
+    return same_columns(docs, run)

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattica.session import work_folder
 
@@ -50,6 +51,14 @@ def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
     return whole
 
 
+def same_columns(df: DataFrame, run: Callable[[Iterator], Iterator]) -> DataFrame:
+    """df through mapInArrow, for functions that keep all columns in their order. They get and give batches whose columns
+    have other names, since mapInArrow doesn't take every name."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    fields = [T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(df.schema.fields)]
+    return plain.mapInArrow(trimmed(run), T.StructType(fields)).toDF(*df.columns)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

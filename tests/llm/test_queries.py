@@ -73,6 +73,13 @@ def test_secrets(docs, nothing):
     assert secrets.scan(nothing).count() == 0 and secrets.redact(nothing).columns == nothing.columns
 
 
+def test_redaction_of_a_secret_behind_a_hex_id(spark):
+    token = "kX9vQ2mZ7LpR4tWc8NfYb3HsJd6GaUe1TiKoVx5M"
+    rows = [(i, f"see {before}{token}{after} twice {before}{token}{after}") for i, (before, after) in enumerate([("deadbeef" * 4 + "_", ""), ("0a1b2c3d" * 4 + "/", "=="), ("", "_example"), ("id=", "")])]
+    for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert "[REDACTED]" in r["text"] and token[8:32] not in r["text"] and r["text"].startswith("see ") and " twice " in r["text"]
+
+
 def brute_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
