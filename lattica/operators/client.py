@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lattica.functions.numbering import numbered
 from lattica.operators.traverse import callees, callers
 
 
 def grouped_by_file(rows: DataFrame) -> DataFrame:
-    """file_path, n and the rows' (line, column, id), by line."""
-    item = F.struct("line", "column", "id")
-    return rows.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(item)).alias("items"))
+    """file_path, n, pos, line, column, id: rows with the number of their file's rows and their place among them, by line."""
+    own = numbered(rows.select("file_path", "line", "column", "id"), ["file_path", "line", "column", "id"], "_at")
+    files = own.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_first"))
+    return own.join(files, "file_path").select("file_path", "n", (F.col("_at") - F.col("_first") + 1).alias("pos"), "line", "column", "id")
 
 
 def merged_by_name(symbols: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from lattica.functions.numbering import numbered
 from lattica.operators import lookup
 from lattica.operators.search import search, search_tool
 from lattica.operators.traverse import callees, callers
@@ -41,8 +41,9 @@ def _text(parts: list) -> Column:
 
 
 def _lines(rows: DataFrame, order: list, text: Column, first: int = 1) -> DataFrame:
-    """pos, text of rows in an order; reports are about one symbol or file, so their rows are few."""
-    return rows.select((F.row_number().over(Window.orderBy(*order)) + (first - 1)).alias("pos"), text.alias("text"))
+    """pos, text of rows in an order."""
+    keys = [(F.col(o) if isinstance(o, str) else o).alias(f"_key{i}") for i, o in enumerate(order)]
+    return numbered(rows.select(text.alias("text"), *keys), [f"_key{i}" for i in range(len(keys))], first=first).select("pos", "text")
 
 
 def _titled(lines: DataFrame, title: Column) -> DataFrame:

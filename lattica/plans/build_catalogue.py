@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators import incremental, reports, resolve, rules, store
+from lattica.operators import incremental, reports, resolve, rules, stats, store
 from lattica.plans.catalogue import _ALL, _CALLS, _DEDUP, _results, query
 from lattica.schema import TABLES
 from lattica.session import work_folder
@@ -153,6 +154,68 @@ def _(p):
     return p.sparkSession.createDataFrame([(i, valid(c)) for i, c in enumerate(_CANDIDATES)], "rule_ord int, valid boolean")
 
 
+@query("s13_include_folders", "nations", "SELECT '-I' || f AS argument FROM (SELECT unnest(['', '']) AS f UNION ALL SELECT '/n' || CAST(n_nationkey AS VARCHAR) FROM nation UNION ALL SELECT '/n' || CAST(n_nationkey AS VARCHAR) || '/in' FROM nation UNION ALL SELECT '/n' || CAST(n_nationkey AS VARCHAR) || '/.h/below' FROM nation)")
+def _(n):
+    """A small tree on the driver, where trees are walked: a folder for each nation, one below, and one within a hidden one.
+    The root comes twice: as such, and as the first folder of the walk."""
+    with tempfile.TemporaryDirectory() as root:
+        for r in n.select("n_nationkey").collect():
+            for below in ("in", ".h/below", "skipped"):
+                os.makedirs(f"{root}/n{r[0]}/{below}")
+        found = files.include_folders(root, ("skipped",))
+    return n.sparkSession.createDataFrame([(f.replace(root, ""),) for f in found], "argument string")
+
+
+@query("s14_compile_database_places", "parts", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(files.COMPILE_DATABASES)) + ") AS v(place, found)")
+def _(p):
+    """Compile databases in ever earlier places: the first place that has one is found."""
+    rows = []
+    with tempfile.TemporaryDirectory() as root:
+        for i, place in reversed([*enumerate(files.COMPILE_DATABASES)]):
+            os.makedirs(os.path.dirname(f"{root}/{place}"), exist_ok=True)
+            with open(f"{root}/{place}", "w") as f:
+                f.write("[]")
+            rows.append((i, os.path.relpath(files.find_compile_database(root), root)))
+    return p.sparkSession.createDataFrame(rows, "place int, found string")
+
+
+@query("s18_remote_listing", "nations", "SELECT 'n' || CAST(n_nationkey AS VARCHAR) || '.txt' AS name, false AS is_dir, CAST(length(n_name) AS BIGINT) AS size, n_name AS content FROM nation")
+def _(n):
+    """Files in a store that Hadoop knows: uploaded, listed and read."""
+    spark = n.sparkSession
+    folder = f"{work_folder(spark)}/remote-{uuid.uuid4().hex}"
+    with tempfile.TemporaryDirectory() as root:
+        for r in n.collect():
+            with open(f"{root}/n{r['n_nationkey']}.txt", "w") as f:
+                f.write(r["n_name"])
+            files.upload(spark, f"{root}/n{r['n_nationkey']}.txt", f"{folder}/n{r['n_nationkey']}.txt")
+    read = files.remote_contents(spark, folder).select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.decode("content", "UTF-8").alias("content"))
+    return files.remote_listing(spark, folder).where("NOT startswith(name, '.')").join(read, "name").select("name", "is_dir", "size", "content")
+
+
+@query("a0c_progress", "nations", "SELECT n_nationkey AS done, 100.0e0 * n_nationkey / 25 AS percentage, n_nationkey / 4.0e0 AS rate, (25 - n_nationkey) / greatest(n_nationkey / 4.0e0, 0.001) AS remaining FROM nation")
+def _(n):
+    rows = [(int(r[0]), stats.progress(r[0], 25, 4.0)) for r in n.select("n_nationkey").collect()]
+    return n.sparkSession.createDataFrame([(k, p["percentage"], p["rate"], p["remaining"]) for k, p in rows], "done long, percentage double, rate double, remaining double")
+
+
+@query("t2_skill_dispatch", "symbols include_relations", """SELECT 'explain_macro' AS skill, count(*) AS lines FROM (SELECT unnest(['a', 'a', 'a', 'a', 'a', return_type, parameters, access, 'a', CASE WHEN is_definition THEN 'a' END]) AS x FROM f_symbols WHERE id = 76) WHERE x IS NOT NULL UNION ALL
+SELECT 'analyze_dependencies', 2 + count(*) FROM f_include_relations WHERE source_file = (SELECT min(source_file) FROM f_include_relations) OR target_file = (SELECT min(source_file) FROM f_include_relations) UNION ALL SELECT 'unknown', -1 UNION ALL SELECT 'find_callers', -2""")
+def _(s, i):
+    """Skills by name: two with reports of their own, one that isn't known, one without what it needs."""
+    from lattica.plans.engine import CodeGraph
+
+    graph = CodeGraph(s.sparkSession, store.empty_tables(s.sparkSession) | {"symbols": s, "include_relations": i})
+    path = i.agg(F.min("source_file")).first()[0]
+    rows = [("explain_macro", graph.skill("explain_macro", symbol_id=76).count()), ("analyze_dependencies", graph.skill("analyze_dependencies", file_path=path).count())]
+    for name, error, n in (("unknown", KeyError, -1), ("find_callers", ValueError, -2)):
+        try:
+            graph.skill(name)
+        except error:
+            rows.append((name, n))
+    return s.sparkSession.createDataFrame(rows, "skill string, lines long")
+
+
 def _snapshots(df: DataFrame) -> store.Snapshots:
     return store.Snapshots(df.sparkSession, f"{work_folder(df.sparkSession)}/index-{uuid.uuid4().hex}")
 

@@ -308,10 +308,8 @@ _RULES = [
 def _(s): return rules.apply_rules(s, _RULES)
 
 
-@query("c1_grouped_by_file", "reference_relations", """SELECT file_path, count(*) AS n, string_agg(CAST(line AS VARCHAR) || ':' || CAST("column" AS VARCHAR) || ':' || CAST(id AS VARCHAR), ',' ORDER BY line, "column", id) AS items FROM f_reference_relations GROUP BY file_path""")
-def _(r):
-    text = F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["line"], x["column"], x["id"])), ",")
-    return client.grouped_by_file(r).withColumn("items", text)
+@query("c1_grouped_by_file", "reference_relations", """SELECT file_path, count(*) OVER (PARTITION BY file_path) AS n, CAST(row_number() OVER (PARTITION BY file_path ORDER BY line, "column", id) AS INTEGER) AS pos, line, "column", id FROM f_reference_relations""")
+def _(r): return client.grouped_by_file(r)
 
 
 @query("c2_merged_by_name", "symbols", f"SELECT {_SYMBOL} FROM rep", _REP)
@@ -458,19 +456,20 @@ def _(f):
     return store.upserted(own, new, ("file_path",))
 
 
-_GONE = "gone AS (SELECT DISTINCT file_path FROM f_symbols WHERE id % 17 = 0 UNION SELECT 'src/o3.cpp' UNION SELECT min(source_file) FROM f_include_relations)"
+_GONE = "gone AS (SELECT DISTINCT file_path FROM f_symbols WHERE id % 17 = 0 UNION SELECT 'src/o3.cpp' UNION SELECT min(source_file) FROM f_include_relations UNION SELECT min(file_path) FROM f_file_info)"
 
 
 @query("w5_clear_files", _ALL, """SELECT 'symbols' AS t, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM f_symbols WHERE file_path NOT IN (SELECT * FROM gone) UNION ALL
 SELECT 'call_relations', count(*), CAST(sum(id) AS BIGINT) FROM f_call_relations WHERE file_path NOT IN (SELECT * FROM gone) UNION ALL
 SELECT 'include_relations', count(*), CAST(sum(id) AS BIGINT) FROM f_include_relations WHERE source_file NOT IN (SELECT * FROM gone) UNION ALL
 SELECT 'reference_relations', count(*), CAST(sum(id) AS BIGINT) FROM f_reference_relations WHERE file_path NOT IN (SELECT * FROM gone) UNION ALL
-SELECT 'inheritance_relations', count(*), CAST(sum(id) AS BIGINT) FROM f_inheritance_relations WHERE derived_id NOT IN (SELECT id FROM f_symbols WHERE file_path IN (SELECT * FROM gone))""", _GONE)
+SELECT 'inheritance_relations', count(*), CAST(sum(id) AS BIGINT) FROM f_inheritance_relations WHERE derived_id NOT IN (SELECT id FROM f_symbols WHERE file_path IN (SELECT * FROM gone)) UNION ALL
+SELECT 'file_info', count(*), CAST(sum(last_modified) AS BIGINT) FROM f_file_info WHERE file_path NOT IN (SELECT * FROM gone)""", _GONE)
 def _(s, c, i, r, h, f):
-    gone = s.where("id % 17 = 0").select("file_path").union(s.sparkSession.createDataFrame([("src/o3.cpp",)], "f string")).union(i.agg(F.min("source_file")))
+    gone = s.where("id % 17 = 0").select("file_path").union(s.sparkSession.createDataFrame([("src/o3.cpp",)], "f string")).union(i.agg(F.min("source_file"))).union(f.agg(F.min("file_path")))
     tables = {"symbols": s, "call_relations": c, "include_relations": i, "reference_relations": r, "inheritance_relations": h, "file_info": f}
     left = store.without_files(tables, gone)
-    return store.union_all([left[t].agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids")).select(F.lit(t).alias("t"), "n", "ids") for t in tables if t != "file_info"])
+    return store.union_all([left[t].agg(F.count(F.lit(1)).alias("n"), F.sum("last_modified" if t == "file_info" else "id").alias("ids")).select(F.lit(t).alias("t"), "n", "ids") for t in tables])
 
 
 @query("w7_index_transfer", "include_relations", "SELECT * FROM f_include_relations")

@@ -122,7 +122,8 @@ def upload(spark: SparkSession, local: str, uri: str) -> None:
 
 
 def include_folders(root: str, excluded: tuple[str, ...] = (), depth: int = INCLUDE_DEPTH) -> list[str]:
-    """-I arguments for a tree without a compile database: root, and its folders to a depth but for hidden and excluded ones."""
+    """-I arguments for a tree without a compile database: root, and all folders from root (again) to a depth but for hidden
+    and excluded ones."""
     out = [f"-I{root}"]
     base = root.rstrip("/").count("/")
     for folder, names, _ in os.walk(root):
