@@ -114,12 +114,13 @@ def shortest_path(calls: DataFrame, from_id: int, to_id: int) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def call_trace(calls: DataFrame, symbols: DataFrame, name: str, max_depth: int = 5, fan_out: int = 50) -> DataFrame:
+def call_trace(calls: DataFrame, symbols: DataFrame, name: str, max_depth: int = 5, fan_out: int = 50, most_calls: int = 1_000_000) -> DataFrame:
     """pos, depth and symbol columns of the depth-first trace from a definition that is LIKE %name%, the least id of these.
 
     A caller's first fan_out calls by (callee's name, call id) are followed; a visited symbol isn't entered again, wherever
     it was met. That order decides what the depth limit cuts off, so the order is replayed on the driver: over the symbols
-    within max_depth and at most fan_out calls of each, which Spark selects level by level.
+    within max_depth and at most fan_out calls of each, which Spark selects level by level. A trace over more than most_calls
+    calls fails, rather than fill the driver or be cut.
     """
     spark = symbols.sparkSession
     entry = symbols.where("is_definition").where(contains_like(F.col("name"), name) | contains_like(F.col("qualified_name"), name))
@@ -136,7 +137,11 @@ def call_trace(calls: DataFrame, symbols: DataFrame, name: str, max_depth: int =
             break
         ids = spark.createDataFrame([(x,) for x in frontier], "caller_id long")
         near = named.where(F.col("caller_id").isin(frontier)) if len(frontier) <= 1000 else named.join(ids, "caller_id", "left_semi")
-        for r in near.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= fan_out).select("caller_id", "callee_id", "_n").orderBy("caller_id", "_n").collect():
+        rows = near.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= fan_out).select("caller_id", "callee_id", "_n").orderBy("caller_id", "_n").limit(most_calls + 1).collect()
+        most_calls -= len(rows)
+        if most_calls < 0:
+            raise ValueError("the trace is over too many calls for one driver; lower max_depth or fan_out")
+        for r in rows:
             children.setdefault(r[0], []).append(r[1])
         for x in frontier:
             children.setdefault(x, [])

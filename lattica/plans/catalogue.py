@@ -207,8 +207,16 @@ def _(c):
     return traverse.shortest_path(c, start, x[-1])
 
 
-@query("g5_call_trace", "call_relations symbols")
-def _(c, s): return traverse.call_trace(c, s, "ring", 5)
+# Depth first with a stack and the visited nodes as lists: one row a step.
+_TRACE = """kids AS (SELECT caller_id, list({'n': callee_id, 'd': 0} ORDER BY s.name, c.id)[:50] AS k FROM f_call_relations c JOIN f_symbols s ON s.id = c.callee_id GROUP BY caller_id),
+steps AS (SELECT 0 AS step, [{'n': (SELECT min(id) FROM f_symbols WHERE is_definition AND (lower(name) LIKE '%ring%' OR lower(qualified_name) LIKE '%ring%')), 'd': 0}] AS stack, CAST([] AS BIGINT[]) AS seen, CAST([] AS STRUCT(n BIGINT, d INTEGER)[]) AS done
+UNION ALL SELECT step + 1, CASE WHEN list_contains(seen, stack[1].n) OR stack[1].d >= 5 THEN stack[2:] ELSE list_concat(list_transform(coalesce(k, []), lambda x: {'n': x.n, 'd': stack[1].d + 1}), stack[2:]) END,
+CASE WHEN list_contains(seen, stack[1].n) THEN seen ELSE list_append(seen, stack[1].n) END, CASE WHEN list_contains(seen, stack[1].n) THEN done ELSE list_append(done, stack[1]) END
+FROM steps LEFT JOIN kids ON caller_id = stack[1].n WHERE len(stack) > 0)"""
+
+
+@query("g5_call_trace", "call_relations symbols", "SELECT CAST(pos AS INTEGER) AS pos, x.d AS depth, s.id, s.qualified_name FROM (SELECT unnest(range(len(done))) AS pos, unnest(done) AS x FROM steps WHERE len(stack) = 0) JOIN f_symbols s ON s.id = x.n", _TRACE)
+def _(c, s): return traverse.call_trace(c, s, "ring", 5).select("pos", "depth", "id", "qualified_name")
 
 
 @query("g6_call_graph_nodes", "call_relations symbols", f"""SELECT CAST(n.id AS VARCHAR) AS id, coalesce(s.qualified_name, 'symbol_' || CAST(n.id AS VARCHAR)) AS label, CASE WHEN s.kind = 'type' THEN 'Type' ELSE 'Function' END AS kind,
