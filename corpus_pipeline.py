@@ -3,6 +3,12 @@
 The quality classifier drops what it rejects, the n-gram Jaccard join leaves one document of each group, secrets are
 redacted, the sources are mixed to their target weights (documents may then repeat), and byte-level BPE encodes the mix.
 All stages but the last return the columns of documents.
+
+Defined results: null and empty texts have no quality indicators, so the score of the bias decides whether they stay; they
+are near duplicates of nothing, hold no secrets, count 0 words in the mix and have no ids. Repeated rows of one id and text
+become one row; rows of one id and different texts, and those of null id, all pass the near-duplicate stage. Null sources
+are one source. Ties go to the smaller doc_id. Extra columns, whatever their names, go with their rows to the mix; an empty
+table gives an empty table at every stage, and without labels of both classes every score is 0.5, so nothing is kept.
 """
 
 from __future__ import annotations
