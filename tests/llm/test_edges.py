@@ -77,6 +77,20 @@ def test_stages_keep_extra_columns(awkward, name):
     assert STAGES[name](wide.limit(0)).count() == 0
 
 
+def test_pipeline_on_nothing(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    paths()
+    for n in (0, 3):  # without documents, then without labels
+        folder = tmp_path / str(n)
+        spark.createDataFrame(documents(n=n)[:n], DOCS).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, str(folder))
+            assert docs.count() == 0, name
+        assert docs.columns == ["doc_id", "ids"]
+
+
 def test_pages_and_vectors(spark):
     pages = spark.createDataFrame([(1, "u", "<p>"), (2, None, "<p>"), (2, None, "<p>"), (None, "u", None), (3, "u", "")], "page_id long, url string, html string")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]

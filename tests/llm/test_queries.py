@@ -226,6 +226,23 @@ def test_jaccard(spark, docs, nothing):
     assert jaccard.joined(nothing).count() == 0
 
 
+def test_jaccard_in_many_waves(spark, monkeypatch):
+    """Keys of many classes, most of which don't link: pivots grow by two, so several waves are needed."""
+    monkeypatch.setattr(jaccard, "WIDER", 2)
+    r = random.Random(12)
+    common = [f"c{i}" for i in range(18)]
+    rows = []
+    for group in range(14):
+        own = [f"g{group}w{r.randrange(10**6)}" for _ in range(2)]
+        for copy in range(4):
+            text = [*common, *own, *([f"x{group}"] if copy % 2 else [])]
+            rows.append((group * 10 + copy, " ".join(text[copy // 2 :]), "en", "a", 0))
+    for k, percent in ((3, 90), (2, 70)):
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.joined(spark.createDataFrame(rows, DOCS), k, percent).collect()}
+        assert got == brute_components(rows, k, percent)
+    assert len({c for _, c in got.values()}) < 56
+
+
 def test_components(spark):
     r = random.Random(2)
     pairs = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)] + [(300, i) for i in range(200, 240)]
@@ -254,6 +271,7 @@ def brute_removal(rows, length):
 
 @pytest.mark.parametrize("most", [256, 1])
 def test_suffix_array_dedup(spark, nothing, most):
+    """With groups of one class at most, every group is split until its windows are alone."""
     rows = [x if x[0] != 64 else (64, "x" * 2_000, *x[2:]) for x in documents(n=40)] + [(900, "q" * 39, "en", "a", 39), (901, "ab" * 200, "en", "a", 400)]
     df = spark.createDataFrame(rows, DOCS)
     got = {r["doc_id"]: tuple(r)[1:] for r in sa_dedup.deduplicated(df, 40, most).collect()}
