@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,8 +17,8 @@ from lattica.session import work_folder
 
 #: Rows of a small table that a task writes.
 ROWS_A_TASK = 250_000
-#: 2**24 bits = 2 MB: the size of a membership bitmap, whatever the number of keys.
-BITMAP_BITS = 24
+#: A membership bitmap has 2**27 bits at most, 16 MB, whatever the number of keys.
+MOST_BITS = 27
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -71,31 +71,12 @@ def drop_table(*tables: DataFrame) -> None:
             drop_folder(df.sparkSession, path)
 
 
-def _bit(key: Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(1 << bits))
+def low_bits_bitmap(keys: DataFrame, column: str, most: int = MOST_BITS) -> tuple[int, np.ndarray]:
+    """(bits, words): a one-hash Bloom filter of a column that is a hash itself, by its low bits, as 64-bit words.
 
-
-def bitmap(keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
-    """A one-hash Bloom filter of the column as uint64 words; it takes 2**bits bits for any number of keys.
-
-    Only a pre-filter: it never loses a key, and an exact join follows it. Folded by Spark word by word, so the
-    driver receives 2**bits / 64 numbers at most.
-    """
-    words = (
-        keys.select(_bit(F.col(column), bits).alias("bit"))
-        .groupBy(F.shiftright("bit", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("mask"))
-        .toPandas()
-    )
-    out = np.zeros(max(1, (1 << bits) // 64), np.uint64)
-    out[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).view(np.uint64)
-    return out
-
-
-def low_bits_bitmap(keys: DataFrame, column: str, most: int = 27) -> tuple[int, np.ndarray]:
-    """(bits, words) like bitmap(), for a column that is a hash itself, read from its low bits.
-
-    About eight bits for each key as long as that is no more than 2**most bits (16 MB).
+    About eight bits for each key as long as that is no more than 2**most bits; beyond, it lets more through. Only a
+    pre-filter: it never loses a key, and an exact join follows it. Folded by Spark word by word, so the driver receives
+    2**bits / 64 numbers at most.
     """
     n = keys.count()
     bits = min(most, max(12, (8 * n).bit_length()))
@@ -108,11 +89,6 @@ def low_bits_bitmap(keys: DataFrame, column: str, most: int = 27) -> tuple[int,
     return bits, out
 
 
-def bit_column(key: Column, bits: int = BITMAP_BITS) -> Column:
-    """The bit of a key, for in_bitmap() in a Python operator."""
-    return _bit(key, bits)
-
-
 def in_bitmap(words: np.ndarray, bit: np.ndarray) -> np.ndarray:
     bit = bit.astype(np.uint64)
     return (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)

@@ -289,10 +289,13 @@ def test_hot_keys_are_looked_up(spark):
 
 
 def test_bitmap_loses_nothing(spark):
-    keys = spark.range(0, 5000, 7)
-    words = shared.bitmap(keys, "id", 16)
-    bits = keys.select(shared.bit_column(keys["id"], 16)).toPandas().iloc[:, 0].to_numpy()
-    assert shared.in_bitmap(words, bits).all()
+    from pyspark.sql import functions as F
+
+    keys = spark.range(0, 5000, 7).select(F.xxhash64("id").alias("h"))
+    found = keys.toPandas()["h"].to_numpy(np.int64).view(np.uint64)
+    for most in (27, 12, 6):
+        bits, words = shared.low_bits_bitmap(keys, "h", most)
+        assert bits <= most and shared.in_bitmap(words, found & np.uint64((1 << bits) - 1)).all()
 
 
 def test_pipeline(spark, tmp_path):
