@@ -9,7 +9,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lattica.operators.traverse import node_edges
 from lattica.schema import KEYS, TABLES, struct_of
@@ -23,10 +22,10 @@ def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """old and new with one row of each key: the new one, if both have it. Of new rows of one key, any one stays."""
-    both = old.withColumn("_age", F.lit(1)).unionByName(new.withColumn("_age", F.lit(0)))
-    first = Window.partitionBy(*keys).orderBy("_age")
-    return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_age")
+    """old and new with one row of each key (keys aren't null): the new one, if both have it. Of new rows of one key, any one
+    stays. The old table isn't moved where the new keys are few."""
+    kept = old.join(new.select(*keys), list(keys), "left_anti").select(old.columns)
+    return kept.unionByName(new.dropDuplicates(list(keys)))
 
 
 def upserted_symbols(old: DataFrame, new: DataFrame) -> DataFrame:

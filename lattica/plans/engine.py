@@ -22,9 +22,16 @@ class CodeGraph:
         return cls(spark, snapshots.read(), project_id, snapshots.edges())
 
     @classmethod
-    def build(cls, spark: SparkSession, root: str, results: DataFrame, files: DataFrame, project_id: str = "default") -> CodeGraph:
-        """Writes a snapshot of the extraction results and opens it."""
-        store.Snapshots(spark, root).write(resolve.resolved_tables(results, project_id) | {"file_info": files})
+    def build(
+        cls, spark: SparkSession, root: str, results: DataFrame, files: DataFrame, project_id: str = "default",
+        tree: DataFrame | None = None, folders: list[str] | None = None, flags: DataFrame | None = None,
+    ) -> CodeGraph:
+        """Writes a snapshot of the extraction results and opens it. With a tree(path), includes get the paths that they name
+        in it, by the folders of all files and the flags(file, pos, folder) of each (compile_db.include_folders)."""
+        tables = resolve.resolved_tables(results, project_id)
+        if tree is not None:
+            tables["include_relations"] = resolve.with_resolved_paths(tables["include_relations"], tree, folders, flags)
+        store.Snapshots(spark, root).write(tables | {"file_info": files})
         return cls.open(spark, root, project_id)
 
     def edges(self) -> DataFrame:

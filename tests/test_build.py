@@ -49,7 +49,9 @@ def built(spark, root, tree, paths=None):
 
 def test_build_and_increment(spark, tree, tmp_path):
     results, records = built(spark, None, tree)
-    graph = CodeGraph.build(spark, f"file://{tmp_path}/index", results, records)
+    graph = CodeGraph.build(spark, f"file://{tmp_path}/index", results, records, tree=files.scan(spark, str(tree)))
+    assert [(r["target_file"], r["resolved_path"]) for r in graph.includes.collect()] == [("b.h", f"{tree}/src/b.h")]
+    assert {r[0] for r in graph.impact(spark.createDataFrame([(f"{tree}/src/b.h",)], "path string")).collect()} == {f"{tree}/src/b.h", f"{tree}/src/a.cpp"}
     by_name = {r["qualified_name"]: r["id"] for r in graph.symbols.collect()}
     assert {"main", "helper", "remote", "LIMIT", "Base", "Derived"} <= by_name.keys()
     pairs = {(r["caller_id"], r["callee_id"]) for r in graph.calls.collect()}
