@@ -205,12 +205,10 @@ def _shares(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     def side(name: str) -> DataFrame:
         return classes.select(F.col("cls").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("n", "matches", "base", "prefix", "parity")))
 
-    # of one shingle in each set, no more than that one can be shared
-    matches = F.least("matches_a", "matches_b", "n_a", "n_b")
     total = F.col("n_a") + F.col("n_b")
-    least = F.ceil(total * percent / F.lit(100 + percent))
-    matches = F.least(matches.cast("long"), least)
-    cut = [F.slice(f"prefix_{x}", F.lit(1), F.col(f"base_{x}") + matches.cast("int") - 1) for x in ("a", "b")]
+    least = F.ceil(total * percent / F.lit(100 + percent))  # what sets of that similarity share
+    matches = F.least("matches_a", "matches_b", least.cast("int"))
+    cut = [F.slice(f"prefix_{x}", F.lit(1), F.col(f"base_{x}") + matches - 1) for x in ("a", "b")]
     differ = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     met = pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= total - 2 * least)
     return met.where(F.size(F.array_intersect(*cut)) >= matches).select("a", "b").distinct()
