@@ -185,6 +185,27 @@ FROM g
 """
 
 
+#: Digests of all windows of 400 bytes; the union of those that occur twice; what is left, by hexadecimal digits.
+OP10_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS i, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), w AS (
+  SELECT i, unnest(list_transform(range(0, len(x) // 2 - 399), lambda p: {'p': p, 'h': md5(substr(x, 2 * p + 1, 800))})) AS w FROM d WHERE len(x) >= 800
+), r AS (
+  SELECT i, w.p AS p FROM w QUALIFY count(*) OVER (PARTITION BY w.h) > 1
+), c AS (
+  SELECT i, p, sum(CASE WHEN p > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY i ORDER BY p) AS run FROM (SELECT i, p, lag(p, 1, -401) OVER (PARTITION BY i ORDER BY p) AS before FROM r)
+), s AS (
+  SELECT i, min(p) AS s, max(p) + 400 AS e FROM c GROUP BY i, run
+), k AS (
+  SELECT i, count(*) AS n_spans, sum(e - s) AS n_removed, list({'s': s, 'e': e} ORDER BY s) AS spans FROM s GROUP BY i
+)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN spans IS NULL THEN x ELSE array_to_string(list_transform(range(1, len(spans) + 2), lambda j:
+    substr(x, CASE WHEN j = 1 THEN 1 ELSE 2 * spans[j - 1].e + 1 END, CASE WHEN j > len(spans) THEN len(x) ELSE 2 * spans[j].s - CASE WHEN j = 1 THEN 0 ELSE 2 * spans[j - 1].e END END)), '') END)) AS kept_sha256
+FROM d LEFT JOIN k USING (i)
+"""
+
 #: All pairs of documents that share a shingle, and a closure over the links.
 OP8_SQL = r"""
 WITH RECURSIVE w AS (
@@ -206,4 +227,4 @@ FROM documents AS d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(m) AS m
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op4_mix_sources": OP4_SQL, "op8_ngram_jaccard": OP8_SQL, "op6_warc_normaliser": OP6_SQL, "op7_ball_tree_top_k": OP7_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op4_mix_sources": OP4_SQL, "op8_ngram_jaccard": OP8_SQL, "op6_warc_normaliser": OP6_SQL, "op7_ball_tree_top_k": OP7_SQL, "op10_suffix_array_dedup": OP10_SQL}
