@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lattica.llm.secrets_sql import OP2_SQL
+
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -227,4 +229,4 @@ FROM documents AS d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(m) AS m
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op4_mix_sources": OP4_SQL, "op8_ngram_jaccard": OP8_SQL, "op6_warc_normaliser": OP6_SQL, "op7_ball_tree_top_k": OP7_SQL, "op10_suffix_array_dedup": OP10_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op2_secret_scans": OP2_SQL, "op4_mix_sources": OP4_SQL, "op8_ngram_jaccard": OP8_SQL, "op6_warc_normaliser": OP6_SQL, "op7_ball_tree_top_k": OP7_SQL, "op10_suffix_array_dedup": OP10_SQL}

@@ -72,27 +72,24 @@ def entropy_windows(text: str, characters: frozenset[str], width: int, least: fl
     return out
 
 
-def _without_filler(candidate: str, s: int, e: int) -> list[tuple[int, int]]:
-    """The parts of candidate[s:e] that lie between filler."""
-    out = []
-    for m in FILLER.finditer(candidate, s, e):
-        if m.start() < s:
-            continue
+def _parts(candidate: str) -> list[tuple[int, int]]:
+    """What lies between filler and what is beside it."""
+    out, at = [], 0
+    for m in FILLER.finditer(candidate):
         a, b = m.span()
-        while a > max(s, m.start() - BESIDE) and candidate[a - 1].isalnum():
+        while a > max(0, m.start() - BESIDE) and candidate[a - 1].isalnum():
             a -= 1
-        while b < min(e, m.end() + BESIDE) and candidate[b].isalnum():
+        while b < min(len(candidate), m.end() + BESIDE) and candidate[b].isalnum():
             b += 1
-        out.append((s, a))
-        s = b
-    return out + [(s, e)]
+        if a > at:
+            out.append((at, a))
+        at = max(at, b)
+    return out + [(at, len(candidate))]
 
 
 def entropy_spans(candidate: str, classes=CLASSES, allow=ALLOW) -> list[tuple[int, int]]:
     """Entropy spans of one candidate string, unless the allow-list matches it or the span; overlapping ones are joined.
-
-    Of a span that holds filler, the windows beside the filler are left.
-    """
+    Windows that hold filler, or what is beside it, don't count."""
     if any(p.match(candidate) for p in allow):
         return []
     found: list[tuple[int, int]] = []
@@ -100,10 +97,7 @@ def entropy_spans(candidate: str, classes=CLASSES, allow=ALLOW) -> list[tuple[in
         if len(candidate) < width:
             least *= math.log2(len(candidate)) / math.log2(width)
             width = len(candidate)
-        spans = entropy_windows(candidate, characters, width, least)
-        if spans and FILLER.search(candidate):
-            parts = [x for s, e in spans for x in _without_filler(candidate, s, e)]
-            spans = [(a + s, a + e) for a, b in parts for s, e in entropy_windows(candidate[a:b], characters, width, least)]
+        spans = [(a + s, a + e) for a, b in _parts(candidate) for s, e in entropy_windows(candidate[a:b], characters, width, least)]
         found += [(s, e) for s, e in spans if not any(p.match(candidate[s:e]) for p in allow)]
     out: list[tuple[int, int]] = []
     for s, e in sorted(found):

@@ -197,6 +197,24 @@ def test_base_spans_against_trying_every_place():
     assert scanned == found
 
 
+def test_all_spans_against_sql():
+    duckdb = pytest.importorskip("duckdb")
+    from lattica.llm.secrets_sql import OP2_SQL
+
+    r = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
+    word = lambda: r.choice(["".join(r.choice(letters) for _ in range(r.randrange(30))), "example", "EXAMPLE", "0123456789", "abcdefgh", " ", "deadbeef01", "-", "é"])
+    texts = [None, "", *secret_texts(3, 400), *("".join(word() for _ in range(r.randrange(8))) for _ in range(800))]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": range(len(texts)), "text": pa.array(texts, pa.string())}))
+    want = {x[0]: x[1:] for x in con.sql(OP2_SQL).fetchall()}
+    for i, (_, spans) in enumerate(secrets._scanned(pa.array(texts, pa.string()))):
+        base = secrets._joined([x for x in spans if x[2] != "entropy"])
+        n = [sum(x[2] == k for x in spans) for k in secrets.KINDS]
+        assert want[i] == (*n[:3], hashlib.sha256(base.encode()).hexdigest(), secrets._joined(spans), n[3])
+    assert sum(w[5] for w in want.values()) > 100
+
+
 def test_entropy_windows_against_recount():
     import math
 
