@@ -158,7 +158,7 @@ def _with_links(links: DataFrame, pairs: DataFrame, docs: DataFrame, k: int, per
     """links, and the pairs (a, b) whose whole sets reach the similarity. Rows of one doc_id are one node: any text of it
     counts."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = written(_texts_of(docs, ids), "jaccard-texts")
+    texts = _texts_of(docs, ids)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int, pa.Scalar | None, np.ndarray] = 0, None, np.zeros(0, U)
@@ -184,9 +184,7 @@ def _with_links(links: DataFrame, pairs: DataFrame, docs: DataFrame, k: int, per
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
     found = met.mapInArrow(trimmed(compare), "a long, b long").distinct()
-    found = written(links.unionByName(found), "jaccard-links", links.count() + pairs.count())
-    drop_table(texts)
-    return found
+    return written(links.unionByName(found), "jaccard-links", links.count() + pairs.count())
 
 
 def _may_link(x: dict[str, Column], y: dict[str, Column], percent: int) -> Column:
@@ -217,12 +215,13 @@ def _shares(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def _index(classes: DataFrame, percent: int) -> DataFrame:
     """key, size, cls, n, pos: the indexed prefixes of the classes under (shingle, size band), where a key has two or more."""
     each = classes.where("base > 0").select("cls", "n", F.posexplode(F.slice("prefix", F.lit(1), F.col("base"))).alias("pos", "token"))
-    often = written(each.groupBy("token").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1").select("token"), "jaccard-tokens")
+    n = classes.agg(F.coalesce(F.sum("base"), F.lit(0))).first()[0]
+    often = written(each.groupBy("token").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1").select("token"), "jaccard-tokens", n)
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent) * 1.0001)).cast("int")
     shared = each.join(often, "token", "left_semi").withColumn("band", F.explode(F.array(band, band + 1)))
-    shared = written(shared.select(F.xxhash64("token", "band").alias("key"), "cls", "n", "pos"), "jaccard-shared")
+    shared = written(shared.select(F.xxhash64("token", "band").alias("key"), "cls", "n", "pos"), "jaccard-shared", 2 * n)
     keys = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    index = written(shared.join(keys, "key"), "jaccard-index")
+    index = written(shared.join(keys, "key"), "jaccard-index", shared.count())
     drop_table(often, shared)
     return index
 
@@ -273,7 +272,7 @@ def _waves(docs: DataFrame, classes: DataFrame, links: DataFrame, k: int, percen
         if not n:
             drop_table(rows, links)
             return root
-        likely = written(_shares(_wave_pairs(rows, wave, percent), classes, percent), "jaccard-pairs", n * WIDER**wave)
+        likely = written(_shares(_wave_pairs(rows, wave, percent), classes, percent), "jaccard-pairs", n)
         if not likely.isEmpty():
             links, old = _with_links(links, likely, docs, k, percent), links
             root, old_root = components(links).withColumnRenamed("node", "cls"), root
@@ -290,12 +289,14 @@ def links_and_components(docs: DataFrame, k: int = 3, percent: int = 90) -> tupl
     full = rows.where("n > 0").groupBy("h1", "h2", "n").agg(
         F.min("doc_id").alias("cls"), F.count(F.lit(1)).alias("n_rows"), *(F.first(c).alias(c) for c in ("matches", "base", "prefix", "parity"))
     )
-    classes = written(full, "jaccard-classes")
-    slim = written(rows.select("doc_id", "n", "h1", "h2"), "jaccard-slim")
+    n = rows.count()
+    classes = written(full, "jaccard-classes", 8 * n)  # eight times as long rows as others
+    slim = written(rows.select("doc_id", "n", "h1", "h2"), "jaccard-slim", n)
     drop_table(rows)
     known = classes.where("cls IS NOT NULL")
-    root = _waves(docs, known, written(_one_node(slim, known), "jaccard-all"), k, percent)
-    table = written(classes.select("h1", "h2", "n", "n_rows", "cls").join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "jaccard-roots")
+    root = _waves(docs, known, written(_one_node(slim, known), "jaccard-all", n), k, percent)
+    table = classes.select("h1", "h2", "n", "n_rows", "cls").join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    table = written(table, "jaccard-roots", n)
     drop_table(classes, root)
     return slim, table
 
@@ -313,6 +314,6 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document, that of the smallest doc_id, of each component; documents of null doc_id all stay, and of
     rows of one doc_id each different text."""
     part = joined(docs, k, percent)
-    kept = written(part.where("doc_id = component_id").select("doc_id").distinct(), "jaccard-kept")
+    kept = written(part.where("doc_id = component_id").select("doc_id").distinct(), "jaccard-kept", part.count())
     own = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return own.unionByName(docs.where("doc_id IS NULL")).select(*(F.col(f"`{c}`") for c in docs.columns))

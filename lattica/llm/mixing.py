@@ -49,7 +49,7 @@ def _hash(doc_id: Column) -> Column:
 def _ranked(sizes: DataFrame) -> DataFrame:
     """sizes with `rank`, from 0, by code point with the null source last: ranks within ranges, and the ranges' starts."""
     last = F.col("key") == ""
-    ranged = written(sizes.repartitionByRange(last, "key").withColumn("part", F.spark_partition_id()), "mix-ranges")
+    ranged = written(sizes.repartitionByRange(last, "key").withColumn("part", F.spark_partition_id()), "mix-ranges", sizes.count())
     starts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
     starts = starts.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("start"))  # a row for each task
     within = F.row_number().over(Window.partitionBy("part").orderBy(last, "key"))
@@ -64,7 +64,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     """
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
     capped = _ranked(sizes).select("key", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("cap"))
-    capped = written(capped, "mix-caps")
+    capped = written(capped, "mix-caps", sizes.count())
     budget, total = (capped.agg(F.sum("source_size") * F.lit(share), F.sum("weight")).first()) or (None, None)
     level, before = F.lit(0.0), -1
     while total:
@@ -82,6 +82,7 @@ def thresholds(docs: DataFrame, plan: DataFrame, levels: int = LEVELS, bits: int
 
     docs: key, size, hash. Each level sums the documents of one bucket of the level before (at first of all).
     """
+    sources = plan.count()
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     state = plan.withColumn("copies", whole).select(
         "*", (F.col("target") - F.col("copies") * F.col("source_size")).alias("left"), F.lit(0).cast("long").alias("cut")
@@ -104,14 +105,14 @@ def thresholds(docs: DataFrame, plan: DataFrame, levels: int = LEVELS, bits: int
         if level == levels - 1:  # the last bucket counts if that comes nearer to the target
             over = over + F.when(F.col("over.end") - F.col("left") < left, 1).otherwise(0)
         cut = F.coalesce(F.shiftleft(over, shift), F.col("cut"))
-        state = written(state.join(found, "key", "left").select("key", "source_size", "target", "copies", left.alias("left"), cut.alias("cut")), "mix-cut")
+        state = written(state.join(found, "key", "left").select("key", "source_size", "target", "copies", left.alias("left"), cut.alias("cut")), "mix-cut", sources)
     return state
 
 
 def _cut(docs: DataFrame, weights, share: float) -> tuple[DataFrame, DataFrame]:
     slim = written(docs.select("doc_id", _key(F.col("source")).alias("key"), words(F.col("text")).alias("size"), _hash(F.col("doc_id")).alias("hash")), "mix-sizes")
-    sizes = written(slim.groupBy("key").agg(F.sum("size").alias("source_size")), "mix-sources")
-    return slim, thresholds(slim, written(targets(sizes, weights, share), "mix-targets"))
+    sizes = written(slim.groupBy("key").agg(F.sum("size").alias("source_size")), "mix-sources", slim.count())
+    return slim, thresholds(slim, written(targets(sizes, weights, share), "mix-targets", sizes.count()))
 
 
 def _times() -> Column:

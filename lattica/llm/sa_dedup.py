@@ -274,12 +274,13 @@ def _several(classes: DataFrame, cut: Callable[[DataFrame], DataFrame], length:
 
     classes: anchor, region, low, high and what cut needs to give anchor, region, shift and data of classes.
     """
+    total = classes.count()
     groups = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_rows"), F.first("low").alias("low"), F.first("high").alias("high")).where("n_rows > 1")
-    groups = written(groups.withColumn("large", (F.col("n_rows") > most) & (F.col("low") < F.col("high"))), "sa-groups")
-    wanted = written(lookup(classes.drop("low", "high"), ["anchor"], groups.select("anchor", "n_rows"), classes.count(), "inner"), "sa-wanted")
+    groups = written(groups.withColumn("large", (F.col("n_rows") > most) & (F.col("low") < F.col("high"))), "sa-groups", total)
+    wanted = written(lookup(classes.drop("low", "high"), ["anchor"], groups.select("anchor", "n_rows"), total, "inner"), "sa-wanted", total)
     pieces = written(cut(wanted), "sa-cut")
-    n, total = pieces.agg(F.count(F.lit(1)), F.sum(F.octet_length("data"))).first()
-    tasks = min(50_000, 1 + (total or 0) // TASK_BYTES)
+    n, size = pieces.agg(F.count(F.lit(1)), F.sum(F.octet_length("data"))).first()
+    tasks = min(50_000, 1 + (size or 0) // TASK_BYTES)
     if groups.where("large").isEmpty():
         return written(_sorted_groups(pieces, length, tasks), "sa-spans")
     pieces = lookup(pieces, ["anchor"], groups, n, "inner")
@@ -314,7 +315,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = GROUP_CLAS
         "anchor", "region", F.array(F.col("r.first") - F.col("r.place")).alias("starts"), F.array(F.col("r.last") - F.col("r.place") + length).alias("ends"), "n_rows"
     )
     single = _joined_spans(several).join(classes.where("n_rows = 1").select("anchor", "region", "n_rows"), ["anchor", "region"])
-    table = written(whole.unionByName(single), "sa-table")
+    table = written(whole.unionByName(single), "sa-table", classes.count())
     hit = lookup(found.select("anchor", "region", "own", "th", "place"), ["anchor", "region"], table, found.count(), "inner")
     return hit.select("own", "th", "place", F.explode(F.arrays_zip("starts", "ends")).alias("x")).select(
         "own", "th", (F.col("place") + F.col("x.starts")).alias("s"), (F.col("place") + F.col("x.ends")).alias("e")

@@ -28,7 +28,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """df written as a Parquet table in the shared folder and read back: short lineage, and true sizes for the planner.
 
-    rows: how many it has at most, if that is known; a small table is then written by few tasks.
+    rows: how many it has at most, if that is known; a small table is then written by few tasks, as few files.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
