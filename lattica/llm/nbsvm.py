@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.kernels import U, column_bytes, mix, slices
-from lattica.llm.shared import drop_table, same_columns, trimmed, written
+from lattica.llm.shared import drop_table, give_back, same_columns, trimmed, written
 
 #: Labelled documents that a fit takes at most, and their indicators (four bytes each on the driver).
 TRAIN_DOCS, TRAIN_FEATURES = 12_000, 80_000_000
@@ -195,7 +195,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_featu
         flat, at = chunk.flatten().to_numpy(), np.concatenate([[0], np.cumsum(chunk.value_lengths().to_numpy())])
         rows += [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
     order = np.lexsort((doc, mix(doc.astype(U))))
-    return fit([rows[i] for i in order], (quality[order] == 1).astype(np.int64))
+    rows = [rows[i] for i in order]
+    model = fit(rows, (quality[order] == 1).astype(np.int64))
+    del rows, table, chunk, flat
+    give_back()
+    return model
 
 
 def scored(docs: DataFrame, model: Model | None, keep: float | None = None, least: float = LEAST) -> DataFrame:

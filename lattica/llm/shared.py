@@ -39,14 +39,19 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return out
 
 
+def give_back() -> None:
+    """Returns to the system what Python and Arrow have freed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # of the GNU C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A function for mapInArrow that returns to the system what it has freed: Spark keeps its workers for later tasks."""
 
     def whole(batches: Iterator) -> Iterator:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # of the GNU C library
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return whole
 
