@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.components import components
 from lattica.llm.kernels import U, Words, column_bytes, distinct_by_text, mix, slices
-from lattica.llm.shared import drop_table, in_bitmap, lookup, low_bits_bitmap, trimmed, written
+from lattica.llm.shared import ROWS_A_TASK, drop_table, in_bitmap, lookup, low_bits_bitmap, trimmed, written
 
 #: The count table has 2**18 counters, whatever the number of shingles.
 COUNT_BITS, MOST_MATCHES = 18, 4
@@ -272,7 +272,9 @@ def _waves(docs: DataFrame, classes: DataFrame, links: DataFrame, k: int, percen
         if not n:
             drop_table(rows, links)
             return root
-        likely = written(_shares(_wave_pairs(rows, wave, percent), classes, percent), "jaccard-pairs", n)
+        # the last join reads all classes, so it keeps its tasks; only the pairs go to few
+        likely = _shares(_wave_pairs(rows, wave, percent), classes, percent).repartition(1 + n // ROWS_A_TASK)
+        likely = written(likely, "jaccard-pairs")
         if not likely.isEmpty():
             links, old = _with_links(links, likely, docs, k, percent), links
             root, old_root = components(links).withColumnRenamed("node", "cls"), root
