@@ -80,6 +80,24 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(_docs(spark, sf_dir), length=400)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.divergence import audit
+
+    return audit(_docs(spark, sf_dir))
+
+
+def op12_elkan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.elkan import clustered
+
+    return clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=8, rounds=10)
+
+
+def op13_cover_tree_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.cover_tree import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.9)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}
 
@@ -227,6 +245,83 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.m AS component_id
 FROM documents AS d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(m) AS m FROM r GROUP BY doc_id) AS m USING (doc_id)
 """
 
+#: All terms by group, with 0 where a group lacks one; every two groups of a language.
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), t AS (SELECT i, lang, source, unnest(terms) AS term FROM d
+), k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT i) >= 10
+), c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY lang, source, term
+), g AS (SELECT DISTINCT lang, source FROM d
+), x AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS count, k.n AS all_count FROM g JOIN k ON k.lang = g.lang
+    LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), s AS (
+  SELECT *, CAST(sum(count) OVER w AS HUGEINT) AS n, count(*) OVER w AS v, CAST(sum(all_count) OVER w AS HUGEINT) AS all_n FROM x WINDOW w AS (PARTITION BY lang, source)
+), p AS (
+  SELECT lang, source, term, count, 1 + (1000000000::HUGEINT * (count + 2)) // (n + 2 * v) AS p, 1 + (1000000000::HUGEINT * (all_count + 2)) // (all_n + 2 * v) AS q FROM s
+), m AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(m.value, 0) AS BIGINT) AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN m ON m.lang = a.lang AND m.source = a.source AND m.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM p WHERE count > 0 AND p > q
+), o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def _op12_sql(k: int = 8, rounds: int = 10) -> str:
+    """Lloyd's rounds spelt out, with every distance; i: vectors, j: centroids, d: components."""
+    distances = lambda r: f"SELECT i, j, CAST(sum((x.x - c.x) * (x.x - c.x)) AS BIGINT) AS d FROM x JOIN c{r} AS c ON x.d = c.d GROUP BY i, j"
+    nearest = lambda r: f"SELECT i, j, d FROM ({distances(r)}) QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) = 1"
+    steps = "".join(
+        f""", a{r} AS MATERIALIZED ({nearest(r)}), m{r} AS MATERIALIZED (
+  SELECT j, x.d, CAST(sum(x.x) AS BIGINT) AS s, count(*) AS n FROM a{r} AS a JOIN x USING (i) GROUP BY j, x.d
+), c{r + 1} AS MATERIALIZED (
+  SELECT c.j, c.d, coalesce((s - ((s % n) + n) % n) // n, c.x) AS x FROM c{r} AS c LEFT JOIN m{r} AS m ON m.j = c.j AND m.d = c.d
+)"""
+        for r in range(rounds)
+    )
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), x AS MATERIALIZED (
+  SELECT i, unnest(range(1, 65)) AS d, unnest(v) AS x FROM v
+), o AS (
+  SELECT i, row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)) NULLS LAST, v) - 1 AS j FROM v
+), c0 AS MATERIALIZED (
+  SELECT j, d, x FROM o JOIN x USING (i) WHERE j < {k}
+){steps}, a AS MATERIALIZED ({nearest(rounds)}), h AS (
+  SELECT j, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY j
+)
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a JOIN v USING (i) JOIN h USING (j)
+"""
+
+
+#: All pairs by cosine, and a closure over the links.
+OP13_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, vec_id, CAST(embedding AS DOUBLE[]) AS v, len(embedding) AS n,
+    coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AND vec_id IS NOT NULL, false) AS fine
+  FROM embeddings
+), l AS MATERIALIZED (
+  SELECT a.i AS x, b.i AS y, a.vec_id AS from_id, b.vec_id AS to_id FROM v AS a JOIN v AS b ON a.n = b.n AND a.i <> b.i
+  WHERE a.fine AND b.fine AND list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 0.9
+), r(i, m) AS (
+  SELECT i, vec_id FROM v UNION SELECT l.y, r.m FROM r JOIN l ON l.x = r.i
+), c AS (SELECT i, min(m) AS m FROM r GROUP BY i
+), n AS (SELECT x AS i, count(*) AS n FROM l GROUP BY x)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.m AS component_id, coalesce(v.vec_id = c.m, false) AS kept
+FROM v JOIN c USING (i) LEFT JOIN n USING (i)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op2_secret_scans": OP2_SQL, "op4_mix_sources": OP4_SQL, "op8_ngram_jaccard": OP8_SQL, "op6_warc_normaliser": OP6_SQL, "op7_ball_tree_top_k": OP7_SQL, "op10_suffix_array_dedup": OP10_SQL}
+    return {"op11_source_divergence": OP11_SQL, "op12_elkan_clusters": _op12_sql(), "op13_cover_tree_duplicates": OP13_SQL, "op1_quality_rules": OP1_SQL, "op2_secret_scans": OP2_SQL, "op4_mix_sources": OP4_SQL, "op8_ngram_jaccard": OP8_SQL, "op6_warc_normaliser": OP6_SQL, "op7_ball_tree_top_k": OP7_SQL, "op10_suffix_array_dedup": OP10_SQL}
