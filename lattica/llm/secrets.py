@@ -1,10 +1,11 @@
 """Secret scans: base patterns, and sliding-window Shannon entropy per character class.
 
 Candidates are the maximal runs of [A-Za-z0-9+/=_-] with 20 characters or more, found by numpy over the UTF-8 bytes.
-A window slides over each candidate; the counts of its characters change by one in and one out, and the entropy follows
-from a running sum of c*log2(c). A candidate shorter than the window is one window of its own length, whose threshold is
-scaled by the logarithms of the lengths. Windows at or over the class threshold are joined into spans of kind `entropy`. The
-allow-list suppresses entropy spans only, never base ones.
+Windows of 20 to 24 characters slide over each candidate; the counts of a window's characters change by one in and one out,
+and the entropy follows from a running sum of c*log2(c). The threshold of a class is in bits for 24 characters and scaled by
+the logarithms of the lengths for shorter windows, so a secret of 20 characters is found as well alone as within a longer
+candidate. Windows at or over the threshold are joined into spans of kind `entropy`. The allow-list suppresses entropy spans
+only, never base ones; filler such as `example` cuts a candidate, and what stands beside it is scored like any other part.
 
 Defined results: null text counts as empty and has no spans; spans are in code points, end exclusive; ties and repeated
 rows are scanned alike; an empty table gives an empty table; extra columns are ignored by scan() and kept by redact().
@@ -31,14 +32,15 @@ ASSIGN = re.compile(rf"({'|'.join(_KEY)})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{20,}")
-#: (class, its characters, window, bits per character): a window counts if it reaches the bits of any class that holds it.
-CLASSES = (("hex", frozenset("0123456789abcdefABCDEF"), 24, 3.0), ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"), 24, 4.0))
+#: (class, its characters, bits per character of 24): a window counts if it reaches the bits of any class that holds it.
+CLASSES = (("hex", frozenset("0123456789abcdefABCDEF"), 3.0), ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"), 3.8))
+#: Characters of the windows; the bits are those of the last.
+WIDTHS = (20, 21, 22, 23, 24)
 #: Never an entropy finding, as a candidate or a span: UUIDs, plain words or paths without digits, digits only, and words and
 #: numbers in a row, none of which mixes letters and digits (but for v1, v2, ..).
 ALLOW = tuple(map(re.compile, (r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z", r"[A-Za-z/_=+-]+\Z", r"[0-9_-]+\Z", r"(?:(?:[a-z]{1,12}|v?[0-9]{1,8})[-_/])+(?:[a-z]{1,12}|v?[0-9]{1,8})\Z")))
-#: Ascending filler and documented examples, with up to BESIDE letters and digits on either side: no finding, but the rest is.
-BESIDE = 16
-FILLER = re.compile(r"EXAMPLE|example|0123456789|abcdefgh|ABCDEFGH")
+#: Documented examples, and ascending or telling filler: no window holds any of them.
+FILLER = re.compile(r"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY|je7MtGbClwBF/2Zp9Utk/h3yCo8nvbEXAMPLEKEY|EXAMPLE|example|0123456789|abcdefgh|ABCDEFGH")
 
 _CANDIDATE_BYTE = np.zeros(256, bool)
 _CANDIDATE_BYTE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-")] = True
@@ -73,41 +75,35 @@ def entropy_windows(text: str, characters: frozenset[str], width: int, least: fl
 
 
 def _parts(candidate: str) -> list[tuple[int, int]]:
-    """What lies between filler and what is beside it."""
-    out, at = [], 0
-    for m in FILLER.finditer(candidate):
-        a, b = m.span()
-        while a > max(0, m.start() - BESIDE) and candidate[a - 1].isalnum():
-            a -= 1
-        while b < min(len(candidate), m.end() + BESIDE) and candidate[b].isalnum():
-            b += 1
-        if a > at:
-            out.append((at, a))
-        at = max(at, b)
-    return out + [(at, len(candidate))]
-
-
-def entropy_spans(candidate: str, classes=CLASSES, allow=ALLOW) -> list[tuple[int, int]]:
-    """Entropy spans of one candidate string, unless the allow-list matches it or the span; overlapping ones are joined.
-    Windows that hold filler, or what is beside it, don't count."""
-    if any(p.match(candidate) for p in allow):
-        return []
-    found: list[tuple[int, int]] = []
-    for _, characters, width, least in classes:
-        if len(candidate) < width:
-            least *= math.log2(len(candidate)) / math.log2(width)
-            width = len(candidate)
-        spans = [(a + s, a + e) for a, b in _parts(candidate) for s, e in entropy_windows(candidate[a:b], characters, width, least)]
-        found += [(s, e) for s, e in spans if not any(p.match(candidate[s:e]) for p in allow)]
+    """What lies between filler."""
+    ends = [(m.start(), m.end()) for m in FILLER.finditer(candidate)]
+    return list(zip([0, *(e for _, e in ends)], [*(s for s, _ in ends), len(candidate)]))
+
+
+def _joined_spans(spans: list[tuple[int, int]], touching: bool) -> list[tuple[int, int]]:
+    """The union of spans that overlap, or also of those that touch."""
     out: list[tuple[int, int]] = []
-    for s, e in sorted(found):
-        if out and s < out[-1][1]:
+    for s, e in sorted(spans):
+        if out and s < out[-1][1] + touching:
             out[-1] = (out[-1][0], max(e, out[-1][1]))
         else:
             out.append((s, e))
     return out
 
 
+def entropy_spans(candidate: str, classes=CLASSES, allow=ALLOW, widths=WIDTHS) -> list[tuple[int, int]]:
+    """Entropy spans of one candidate string, unless the allow-list matches it or the span; overlapping ones are joined."""
+    if any(p.match(candidate) for p in allow):
+        return []
+    parts = [(a, candidate[a:b]) for a, b in _parts(candidate) if b - a >= widths[0]]
+    found: list[tuple[int, int]] = []
+    for _, characters, least in classes:
+        scaled = [(w, least * math.log2(w) / math.log2(widths[-1])) for w in widths]
+        spans = _joined_spans([(a + s, a + e) for a, part in parts for w, bits in scaled for s, e in entropy_windows(part, characters, w, bits)], True)
+        found += [(s, e) for s, e in spans if not any(p.match(candidate[s:e]) for p in allow)]
+    return _joined_spans(found, False)
+
+
 def find(text: str, long_run: bool = True, classes=CLASSES, allow=ALLOW) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all spans, by start and kind. long_run: the text has a run of 20 candidate characters."""
     out = []

@@ -10,7 +10,7 @@ _ASSIGN = (
 _PATTERNS = {"assign": _ASSIGN, "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]{24,}", "run": "[A-Za-z0-9+/=_-]{20,}"}
 _LONG_ENOUGH = {"assign": f"length(regexp_extract(m[j], '{_ASSIGN}', 1)) >= 6", "access": "length(m[j]) >= 20", "hex": "true", "run": "true"}
 _ALLOW = r"^([0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|[A-Za-z/_=+-]+|[0-9_-]+|(([a-z]{1,12}|v?[0-9]{1,8})[-_/])+([a-z]{1,12}|v?[0-9]{1,8}))$"
-_FILLER = "EXAMPLE|example|0123456789|abcdefgh|ABCDEFGH"
+_FILLER = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY|je7MtGbClwBF/2Zp9Utk/h3yCo8nvbEXAMPLEKEY|EXAMPLE|example|0123456789|abcdefgh|ABCDEFGH"
 
 
 def _start(m: str, g: str) -> str:
@@ -25,7 +25,7 @@ def _found(kind: str) -> str:
   FROM (SELECT i, regexp_extract_all(text, '{p}') AS m, regexp_split_to_array(text, '{p}') AS g FROM d)"""
 
 
-#: h, o: filler and what is beside it; w, q: windows, and those that count; j, u: spans of a class; g, x: joined ones.
+#: f, h: what lies between filler, and its stretches of each class; w, q: windows, and those that count; j, u: spans of a class; g, x: joined ones.
 OP2_SQL = f"""
 WITH d AS (
   SELECT row_number() OVER () AS i, doc_id, coalesce(text, '') AS text FROM documents
@@ -36,23 +36,25 @@ WITH d AS (
 ), r AS (
   SELECT row_number() OVER () AS k, i, x.s AS s, x.text AS c FROM ({_found("run")}) WHERE NOT regexp_matches(x.text, '{_ALLOW}')
 ), f AS (
-  SELECT k, s, c, {{'m': regexp_extract_all(c, '{_FILLER}'), 'g': regexp_split_to_array(c, '{_FILLER}')}} AS f FROM r
+  SELECT k, c, unnest(list_transform(range(1, len(g) + 1), lambda j: {{'a': {_start("m", "g")} - length(g[j]), 't': g[j]}})) AS x
+  FROM (SELECT k, c, regexp_extract_all(c, '{_FILLER}') AS m, regexp_split_to_array(c, '{_FILLER}') AS g FROM r)
 ), h AS (
-  SELECT k, unnest(list_transform(range(1, len(f.m) + 1), lambda j: {{'a': {_start("f.m", "f.g")}, 'n': length(f.m[j])}})) AS x, c FROM f
-), o AS (
-  SELECT k, x.a - length(regexp_extract(c[greatest(x.a - 15, 1):x.a], '[A-Za-z0-9]*$')) AS a, x.a + x.n + length(regexp_extract(c[x.a + x.n + 1:x.a + x.n + 16], '^[A-Za-z0-9]*')) AS e FROM h
+  SELECT k, c, 'base64' AS class, 3.8e0 AS bits, x.a AS a, x.t AS t FROM f
+  UNION ALL
+  SELECT k, c, 'hex', 3.0e0, a + y.a, y.t FROM (
+    SELECT k, c, x.a AS a, unnest(list_transform(range(1, len(m) + 1), lambda j: {{'a': {_start("m", "g")}, 't': m[j]}})) AS y
+    FROM (SELECT k, c, x, regexp_extract_all(x.t, '[0-9a-fA-F]+') AS m, regexp_split_to_array(x.t, '[0-9a-fA-F]+') AS g FROM f))
 ), w AS (
-  SELECT k, c, class, width, p, c[p + 1:p + width] AS t, least FROM (
-    SELECT k, c, class, least(24, length(c)) AS width, bits * CASE WHEN length(c) < 24 THEN log2(length(c)) / log2(24) ELSE 1 END AS least, unnest(range(0, length(c) - least(24, length(c)) + 1)) AS p
-    FROM r, (VALUES ('hex', 3.0e0), ('base64', 4.0e0)) AS v(class, bits))
+  SELECT k, c, class, bits, width, a + p AS p, t[p + 1:p + width] AS t FROM (
+    SELECT *, unnest(range(0, length(t) - width + 1)) AS p FROM h, (SELECT unnest(range(20, 25)) AS width) WHERE length(t) >= width)
 ), q AS (
-  SELECT k, c, class, width, p FROM w WHERE (class = 'base64' OR regexp_full_match(t, '[0-9a-fA-F]*'))
-    AND log2(width) - list_sum(list_transform(list_distinct(string_split(t, '')), lambda x: (length(t) - length(replace(t, x, ''))) * log2(length(t) - length(replace(t, x, ''))))) / width >= least - 1e-9
-    AND NOT EXISTS (SELECT 1 FROM o WHERE o.k = w.k AND o.a < w.p + w.width AND o.e > w.p)
+  SELECT k, c, class, width, p FROM w
+  WHERE log2(width) - list_sum(list_transform(list_distinct(string_split(t, '')), lambda x: (length(t) - length(replace(t, x, ''))) * log2(length(t) - length(replace(t, x, ''))))) / width >= bits * log2(width) / log2(24) - 1e-9
 ), j AS (
-  SELECT *, sum(CASE WHEN p > before + width THEN 1 ELSE 0 END) OVER (PARTITION BY k, class ORDER BY p) AS run FROM (SELECT *, lag(p, 1, -1000) OVER (PARTITION BY k, class ORDER BY p) AS before FROM q)
+  SELECT *, sum(CASE WHEN p > far THEN 1 ELSE 0 END) OVER (PARTITION BY k, class ORDER BY p, width ROWS UNBOUNDED PRECEDING) AS run
+  FROM (SELECT *, coalesce(max(p + width) OVER (PARTITION BY k, class ORDER BY p, width ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS far FROM q)
 ), u AS (
-  SELECT k, s, e FROM (SELECT k, any_value(c) AS c, min(p) AS s, max(p) + any_value(width) AS e FROM j GROUP BY k, class, run) WHERE NOT regexp_matches(c[s + 1:e], '{_ALLOW}')
+  SELECT k, s, e FROM (SELECT k, any_value(c) AS c, min(p) AS s, max(p + width) AS e FROM j GROUP BY k, class, run) WHERE NOT regexp_matches(c[s + 1:e], '{_ALLOW}')
 ), g AS (
   SELECT *, sum(CASE WHEN s >= far THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run
   FROM (SELECT *, coalesce(max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS far FROM u)

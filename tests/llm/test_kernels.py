@@ -268,6 +268,25 @@ def test_entropy_beside_example_and_filler_words():
         assert secrets.entropy_spans(allowed) == []
 
 
+ALPHABETS = {"letters and digits": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "hex": "0123456789abcdef", "upper hex": "0123456789ABCDEF", "lower": "abcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+
+
+@pytest.mark.parametrize("name", ALPHABETS)
+def test_no_secret_is_lost_in_a_longer_candidate(name):
+    """Whatever stands before or behind a random string: it is found, whole, if it is found alone; and most are."""
+    r, alone, n = random.Random(name), 0, 0
+    for length in range(20, 41):
+        for _ in range(12):
+            token = "".join(r.choice(ALPHABETS[name]) for _ in range(length))
+            own, n = secrets.entropy_spans(token), n + 1
+            alone += bool(own)
+            for before in ("example/", "example", "abcdefgh", "my-example_", "id_", "aaaa_", "EXAMPLE-", "0123456789/"):
+                for run, at in ((before + token, len(before)), (token + before, 0), (before + token + "_example", len(before))):
+                    spans = secrets.entropy_spans(run)
+                    assert all(any(a <= s + at and e + at <= b for a, b in spans) for s, e in own), (run, own, spans)
+    assert alone >= 0.93 * n
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=3000), st.integers(1, 2**20), st.integers(1, 100))
 def test_pfor_round_trip(values, most, percentile):
