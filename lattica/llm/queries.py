@@ -132,38 +132,55 @@ SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distin
 FROM b
 """
 
-#: Water-filling in closed form; the documents of a source below the hash that ends its budget.
-OP4_SQL = r"""
-WITH d AS (
-  SELECT doc_id, coalesce('=' || source, '') AS key,
+def _op4_sql(fills: int = 8) -> str:
+    """Water-filling in closed form; then first fit in the order of the hash, in steps of what ends at a document that is too large."""
+    steps = "".join(
+        f""", b{n} AS MATERIALIZED (
+  SELECT d.key, hash >> 30 AS bucket, sum(sum(size)) OVER (PARTITION BY d.key ORDER BY hash >> 30) AS total
+  FROM d JOIN s{n} USING (key) WHERE left_ > slack AND hash >= begin_ AND size <= most GROUP BY d.key, hash >> 30
+), f{n} AS MATERIALIZED (
+  SELECT key, left_, begin_, most, coalesce(max(total) FILTER (total <= left_), 0) AS used, min(bucket) FILTER (total > left_) AS over_
+  FROM s{n} LEFT JOIN b{n} USING (key) WHERE left_ > slack GROUP BY ALL
+), s{n + 1} AS MATERIALIZED (
+  SELECT key, (SELECT CASE WHEN copies < 2 THEN target * 0.01e0 ELSE 1e18 END FROM c WHERE c.key = s.key) AS slack, CASE WHEN used IS NULL THEN s.left_ ELSE s.left_ - used END AS left_, CASE WHEN over_ IS NULL THEN 1::BIGINT << 60 ELSE (over_ + 1) << 30 END AS begin_,
+    CASE WHEN used IS NULL THEN s.left_ ELSE s.left_ - used END AS most
+  FROM s{n} AS s LEFT JOIN f{n} AS f USING (key)
+)"""
+        for n in range(fills + 1)
+    )
+    taken = " UNION ALL ".join(f"SELECT key, begin_, coalesce(over_ << 30, 1::BIGINT << 60) AS cut, most FROM f{n}" for n in range(fills + 1))
+    return rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, doc_id, coalesce('=' || source, '') AS key,
     CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
     CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix'), 1, 15) AS BIGINT) AS hash
   FROM documents
-), s AS (
+), g AS (
   SELECT key, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY key
 ), w AS (
-  SELECT *, CASE (row_number() OVER (ORDER BY key = '', encode(key)) - 1) % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS weight, source_size * 2e0 AS cap FROM s
+  SELECT *, CASE (row_number() OVER (ORDER BY key = '', encode(key)) - 1) % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS weight, source_size * 2e0 AS cap FROM g
 ), l AS (
   SELECT *, (sum(source_size) OVER () * 1.5e0 - coalesce(sum(cap) OVER before, 0e0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0e0)) AS level
   FROM w WINDOW before AS (ORDER BY cap / weight, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
   SELECT key, source_size, least(cap, coalesce((SELECT min_by(level, cap / weight) FROM l WHERE cap >= level * weight) * weight, cap)) AS target FROM l
-), c AS (
+), c AS MATERIALIZED (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS copies FROM t
-), b AS (
-  SELECT key, hash >> 30 AS bucket, sum(sum(size)) OVER (PARTITION BY key ORDER BY hash >> 30) AS total FROM d GROUP BY key, hash >> 30
-), o AS (
-  SELECT key, c.target - c.copies * c.source_size AS rest, min(bucket) FILTER (total > rest) AS bucket, min(total) FILTER (total > rest) AS total,
-    coalesce(max(total) FILTER (total <= rest), 0) AS used
-  FROM b JOIN c USING (key) GROUP BY key, rest
-), k AS (
-  SELECT key, coalesce((bucket + CASE WHEN total - rest < rest - used THEN 1 ELSE 0 END) << 30, 0) AS cut FROM o
+), s0 AS MATERIALIZED (
+  SELECT key, CASE WHEN copies < 2 THEN -1 ELSE 1e18 END AS slack, target - copies * source_size AS left_, 0::BIGINT AS begin_, 'inf'::DOUBLE AS most FROM c
+){steps}, k AS MATERIALIZED ({taken}
+), n AS MATERIALIZED (
+  SELECT d.*, EXISTS (SELECT 1 FROM k WHERE k.key = d.key AND d.hash >= k.begin_ AND d.hash < k.cut AND d.size <= k.most) AS inside FROM d
+), u AS (
+  SELECT n.key, hash, sum(size) AS words FROM n JOIN s{fills + 1} AS s USING (key) WHERE NOT inside AND size > 0 AND left_ > slack GROUP BY n.key, hash, left_ HAVING sum(size) < 2 * left_
+), e AS (
+  SELECT key, min({{'w': words, 'h': hash}}).h AS extra FROM u GROUP BY key
 )
-SELECT doc_id, size, source_size, target,
-  CAST(size * least(copies + CASE WHEN hash < cut THEN 1 ELSE 0 END, 2) AS BIGINT) AS taken
-FROM d JOIN c USING (key) JOIN k USING (key)
+SELECT doc_id, size, source_size, target, CAST(size * least(copies + CASE WHEN inside OR hash = extra THEN 1 ELSE 0 END, 2) AS BIGINT) AS taken
+FROM n JOIN c USING (key) LEFT JOIN e USING (key)
 """
 
+
 #: Scores by brute force, for the exact search.
 OP7_SQL = """
 WITH v AS (
@@ -324,4 +341,4 @@ FROM v JOIN c USING (i) LEFT JOIN n USING (i)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_source_divergence": OP11_SQL, "op12_elkan_clusters": _op12_sql(), "op13_cover_tree_duplicates": OP13_SQL, "op1_quality_rules": OP1_SQL, "op2_secret_scans": OP2_SQL, "op4_mix_sources": OP4_SQL, "op8_ngram_jaccard": OP8_SQL, "op6_warc_normaliser": OP6_SQL, "op7_ball_tree_top_k": OP7_SQL, "op10_suffix_array_dedup": OP10_SQL}
+    return {"op11_source_divergence": OP11_SQL, "op12_elkan_clusters": _op12_sql(), "op13_cover_tree_duplicates": OP13_SQL, "op1_quality_rules": OP1_SQL, "op2_secret_scans": OP2_SQL, "op4_mix_sources": _op4_sql(), "op8_ngram_jaccard": OP8_SQL, "op6_warc_normaliser": OP6_SQL, "op7_ball_tree_top_k": OP7_SQL, "op10_suffix_array_dedup": OP10_SQL}
