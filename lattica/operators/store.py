@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.operators.traverse import node_edges
-from lattica.schema import KEYS, TABLES, struct_of
+from lattica.schema import CALLS, KEYS, TABLES, struct_of
 
 #: The folder of the calls between logical nodes.
 EDGES = "call_edges"
+EDGE_SCHEMA = f"{CALLS}, caller_name string, callee_name string"
 
 
 def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
@@ -59,15 +61,36 @@ def without_files(tables: dict[str, DataFrame], files: DataFrame) -> dict[str, D
     return out
 
 
+#: The column with the file that a row belongs to, by which tables are dealt into buckets; inheritance goes by the file of the
+#: derived symbol.
+OWNER = {
+    "symbols": "file_path", "call_relations": "file_path", "include_relations": "source_file", "reference_relations": "file_path",
+    "inheritance_relations": None, "file_info": "file_path", "unresolved_calls": "file", EDGES: "file_path",
+}
+#: How rows are laid out within a bucket, for scans that skip row groups.
+ORDER = {"call_relations": "callee_id", "reference_relations": "symbol_id", "symbols": "qualified_name", "include_relations": "source_file", EDGES: "callee_name"}
+#: Symbols of a bucket, about, unless the number of buckets is given; and the most buckets that are chosen so.
+BUCKET_ROWS, MOST_BUCKETS = 50_000, 65_536
+
+
+def bucket_of(path: Column, buckets: int) -> Column:
+    """The bucket of a file: the first 32 bits of its path's MD5."""
+    return F.pmod(F.conv(F.substring(F.md5(F.coalesce(path, F.lit(""))), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
+
+
 class Snapshots:
     """Immutable snapshots under one folder, and a pointer for each: an empty file CURRENT-number-name. The highest counts.
 
-    A pointer appears by one rename once its snapshot is whole, and no file is ever replaced, so a reader always finds one
-    whole snapshot; a build never changes what a reader has open, and one that fails leaves no pointer.
+    Tables lie in buckets by the hash of a row's file. A snapshot is a manifest that lists each table's bucket folders, so one that
+    follows a change of some files writes only the buckets that hold them and shares the others with the one before.
+
+    A pointer appears by one rename once its manifest is whole, and no file is ever replaced, so a reader always finds one
+    whole snapshot; a build never changes what a reader has open, and one that fails leaves no pointer. Of two builds upon the
+    same snapshot, the later one fails.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -87,20 +110,47 @@ class Snapshots:
         if self.current() is None:
             self.write(empty_tables(self.spark))
 
-    def write(self, tables: dict[str, DataFrame]) -> str:
-        """Writes every table in the columns of its schema, and the calls between logical nodes; relations are laid out by
-        their ends for pruned scans."""
+    def manifest(self, name: str | None = None) -> dict:
+        """buckets, and by table and bucket the folder with its bytes, of the current snapshot or the one named."""
+        name = name or self.current()
+        if name is None:
+            raise FileNotFoundError(f"no index under {self.root}")
+        fs, p = self._fs(f"{self.root}/manifests/{name}.json")
+        stream = fs.open(p)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _stored(self, table: str, df: DataFrame, symbols: DataFrame, buckets: int) -> dict[str, dict]:
+        """Writes rows into new bucket folders: {bucket: {path, bytes}}. Buckets with much are written by several tasks."""
+        if OWNER[table]:
+            placed = df.withColumn("bucket", bucket_of(F.col(OWNER[table]), buckets))
+        else:
+            of = symbols.select(F.col("id").alias("derived_id"), bucket_of(F.col("file_path"), buckets).alias("bucket"))
+            placed = df.join(of, "derived_id", "left").withColumn("bucket", F.coalesce("bucket", bucket_of(F.lit(""), buckets)))
+        where = f"data/{table}-{uuid.uuid4().hex}"
+        order = ["bucket", *([ORDER[table]] if table in ORDER else [])]
+        placed.hint("rebalance", F.col("bucket")).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{self.root}/{where}")
+        fs, p = self._fs(f"{self.root}/{where}")
+        found: dict[str, dict] = {}
+        files = fs.listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            if (m := re.search(r"/bucket=(\d+)/[^/]*$", f.getPath().toString())) and not f.getPath().getName().startswith(("_", ".")):
+                entry = found.setdefault(m[1], {"path": f"{where}/bucket={m[1]}", "bytes": 0})
+                entry["bytes"] += f.getLen()
+        return found
+
+    def _published(self, manifest: dict, base: str | None) -> str:
         name = f"snapshot-{uuid.uuid4().hex}"
-        order = {"call_relations": "callee_id", "reference_relations": "symbol_id", "symbols": "qualified_name", "include_relations": "source_file"}
-        for t in TABLES:
-            wanted = struct_of(t)
-            df = tables[t].select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted))
-            if t in order:
-                df = df.sortWithinPartitions(order[t])
-            df.write.parquet(f"{self.root}/{name}/{t}")
-        symbols, calls = (self.spark.read.schema(struct_of(t)).parquet(f"{self.root}/{name}/{t}") for t in ("symbols", "call_relations"))
-        node_edges(calls, symbols).sortWithinPartitions("callee_name").write.parquet(f"{self.root}/{name}/{EDGES}")
+        fs, p = self._fs(f"{self.root}/manifests/{name}.json")
+        out = fs.create(p, False)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
         before = self._pointers()
+        if (before[-1][1] if before else None) != base:
+            raise RuntimeError(f"another build has changed {self.root} meanwhile")
         fs, part = self._fs(f"{self.root}/.{name}")
         fs.create(part, True).close()
         fs.rename(part, self._fs(f"{self.root}/CURRENT-{before[-1][0] + 1 if before else 0:012d}-{name}")[1])
@@ -108,15 +158,86 @@ class Snapshots:
             fs.delete(self._fs(f"{self.root}/CURRENT-{number:012d}-{old}")[1], False)
         return name
 
-    def read(self) -> dict[str, DataFrame]:
-        name = self.current()
-        if name is None:
-            raise FileNotFoundError(f"no index under {self.root}")
-        return {t: self.spark.read.schema(struct_of(t)).parquet(f"{self.root}/{name}/{t}") for t in TABLES}
+    def write(self, tables: dict[str, DataFrame]) -> str:
+        """A snapshot of whole tables, in the columns of their schema, and of the calls between logical nodes."""
+        base = self.current()
+        typed = {t: tables[t].select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in struct_of(t))) for t in TABLES}
+        buckets = self.buckets or max(1, min(MOST_BUCKETS, typed["symbols"].count() // BUCKET_ROWS))
+        folders = {"symbols": self._stored("symbols", typed["symbols"], None, buckets)}
+        symbols = self._read("symbols", folders["symbols"])
+        for t in TABLES:
+            if t != "symbols":
+                folders[t] = self._stored(t, typed[t], symbols, buckets)
+        folders[EDGES] = self._stored(EDGES, node_edges(self._read("call_relations", folders["call_relations"]), symbols), symbols, buckets)
+        return self._published({"buckets": buckets, "tables": folders}, base)
+
+    def buckets_of(self, files: dict[str, DataFrame]) -> dict[str, set[str]]:
+        """The buckets of some files, path, by table."""
+        buckets = self.manifest()["buckets"]
+        each = [df.select(F.lit(t).alias("t"), bucket_of(F.col("path"), buckets).alias("bucket")) for t, df in files.items()]
+        out: dict[str, set[str]] = {t: set() for t in files}
+        for r in union_all(each).distinct().collect():  # a row for each table and bucket
+            out[r["t"]].add(str(r["bucket"]))
+        return out
+
+    def rewrite(self, tables: dict[str, DataFrame], touched: dict[str, set[str]]) -> str:
+        """A snapshot in which some buckets of each table have new rows, those in `tables`; all others are the current one's."""
+        base = self.current()
+        before = self.manifest(base)
+        buckets, folders = before["buckets"], {t: dict(x) for t, x in before["tables"].items()}
+
+        def replaced(t: str, df: DataFrame, symbols: DataFrame | None, own: set[str]) -> None:
+            if own:
+                new = self._stored(t, df, symbols, buckets)
+                if stray := new.keys() - own:
+                    raise ValueError(f"rows of {t} in buckets that aren't rewritten: {sorted(stray)}")
+                folders[t] = {k: x for k, x in folders[t].items() if k not in own} | new
+
+        typed = {t: tables[t].select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in struct_of(t))) for t in touched}
+        replaced("symbols", typed["symbols"], None, touched["symbols"])
+        symbols = self._read("symbols", folders["symbols"])
+        for t in TABLES:
+            if t != "symbols":
+                replaced(t, typed[t], symbols, touched[t])
+        own = touched["call_relations"]
+        calls = self._read("call_relations", {k: x for k, x in folders["call_relations"].items() if k in own})
+        replaced(EDGES, node_edges(calls, symbols), symbols, own)
+        return self._published({"buckets": buckets, "tables": folders}, base)
+
+    def _read(self, table: str, folders: dict[str, dict]) -> DataFrame:
+        schema = struct_of(table) if table in TABLES else EDGE_SCHEMA
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{x['path']}" for _, x in sorted(folders.items())))
+
+    def read(self, only: dict[str, set[str]] | None = None) -> dict[str, DataFrame]:
+        """All tables, or those buckets of each."""
+        tables = self.manifest()["tables"]
+        return {t: self._read(t, tables[t] if only is None else {k: x for k, x in tables[t].items() if k in only[t]}) for t in TABLES}
 
     def edges(self) -> DataFrame:
         """The calls between logical nodes (traverse.node_edges) of the current snapshot."""
-        return self.spark.read.parquet(f"{self.root}/{self.current()}/{EDGES}")
+        return self._read(EDGES, self.manifest()["tables"][EDGES])
+
+    def vacuum(self) -> int:
+        """Deletes bucket folders and manifests that no pointer leads to any more; returns how many. Not to be run beside a build."""
+        names = [n for _, n in self._pointers()]
+        used = {x["path"] for n in names for folders in self.manifest(n)["tables"].values() for x in folders.values()}
+        deleted = 0
+        for folder, kept in (("data", lambda p: any(u.startswith(p + "/") for u in used)), ("manifests", lambda p: p.removesuffix(".json").rpartition("/")[2] in names)):
+            fs, p = self._fs(f"{self.root}/{folder}")
+            for status in fs.listStatus(p):
+                path = f"{folder}/{status.getPath().getName()}"
+                if not kept(path):
+                    fs.delete(status.getPath(), True)
+                    deleted += 1
+                elif folder == "data":
+                    for below in fs.listStatus(status.getPath()):
+                        name = below.getPath().getName()
+                        if name.startswith("bucket=") and f"{path}/{name}" not in used:
+                            fs.delete(below.getPath(), True)
+                            deleted += 1
+        return deleted
 
 
 def packed(df: DataFrame, key: str) -> DataFrame:

@@ -40,11 +40,11 @@ def merge_batch(snapshots: store.Snapshots, batch: DataFrame, now: int, project_
         F.when(failed, "failed").otherwise("success").alias("parse_status"), F.col("error").alias("error_message"), F.coalesce("n", F.lit(0).cast("long")).alias("symbol_count"), F.lit(None).cast("long").alias("parse_time_ms"),
     )
     if not changed.isEmpty():
-        snapshots.write(incremental.refreshed(tables, changed, results, files, project_id=project_id)[0])
+        incremental.merged(snapshots, changed, results, files, project_id)
 
 
 def run(spark: SparkSession, folder: str, root: str, checkpoint: str, clock: Callable[[], int], project_id: str = "default") -> StreamingQuery:
-    """Starts the stream; each batch is one snapshot, and a batch that is run again meets unchanged hashes and writes none."""
+    """Starts the stream; each batch is one snapshot that writes the buckets it changes, and a batch that is run again meets unchanged hashes and writes none."""
     snapshots = store.Snapshots(spark, root)
     snapshots.initialize()
     return (

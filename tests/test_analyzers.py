@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import analyzers, reports, traverse
+from lattica.operators import analyzers, client, reports, traverse
 from tests.golden import frames, plain
 
 SF = "/root/testdata/sf0.001"
@@ -65,3 +65,33 @@ def test_every_query_is_registered():
 
     names = entry.queries()
     assert len(names) > 60 and set(entry.oracle_sql()) <= set(names)
+
+
+def test_symbols_at_places(spark):
+    """Nested, equal, empty and one-line intervals over several stretches of lines, against every pair of a place and a symbol."""
+    import random
+
+    r = random.Random(2)
+    rows = []
+    for i in range(400):
+        line = r.choice([r.randrange(1, 60), r.randrange(1, 6000), 512, 1024])
+        rows.append((i, f"f{r.randrange(4)}", line, r.choice([None, line, line + r.randrange(5), line + r.randrange(3000), line - 1])))
+    asked = [(i, f"f{r.randrange(6)}", r.choice([r.randrange(0, 60), r.randrange(0, 7000), 512, 1024])) for i in range(500)]
+    want = {}
+    for i, path, at in asked:
+        near = [(s[2], s[0], s[3] if s[3] is not None else s[2]) for s in rows if s[1] == path and s[2] <= at]
+        if near:
+            holds = [x for x in near if x[2] >= at]
+            want[i] = min(holds)[1] if holds else min(near, key=lambda x: (-x[0], x[1]))[1]
+    symbols = spark.createDataFrame(rows, "id long, file_path string, line int, end_line int")
+    places = spark.createDataFrame(asked, "place_id long, file_path string, at int")
+    assert {x["place_id"]: x["symbol_id"] for x in client.symbols_at(symbols, places).collect()} == want
+    assert client.symbols_at(symbols.limit(0), places).count() == 0 and client.symbols_at(symbols, places.limit(0)).count() == 0
+
+
+def test_places_of_a_hot_file_meet_one_row_each(spark):
+    """As many symbols as places in one file: no operator gives more rows than both have together, at a few stretches each."""
+    symbols = spark.range(20_000).select("id", F.lit("f").alias("file_path"), (F.col("id") % 5_000).cast("int").alias("line"), F.lit(None).cast("int").alias("end_line"))
+    places = spark.range(20_000).select(F.col("id").alias("place_id"), F.lit("f").alias("file_path"), (F.col("id") % 5_000).cast("int").alias("at"))
+    found = client.symbols_at(symbols, places)
+    assert found.count() == 20_000 and found.where(F.col("symbol_id") != F.col("place_id") % 5_000).count() == 0
