@@ -47,8 +47,8 @@ LEAF = 32
 MARGIN = 1e-7
 #: Cosines so near to the threshold are summed anew, exactly.
 NEAR = 1e-12
-#: Products of a block of one node's children with another's.
-BLOCK = 1_024
+#: Nodes, or points, of one tree that are compared with another's at once.
+BLOCK = 256
 
 
 def reach(least: float) -> float:
@@ -218,58 +218,77 @@ class Linked:
         self._together(b0, b1)
         self._join(a0, b0)
 
-    def _compare(self, a: int, b: int) -> None:
-        (a0, a1), (b0, b1) = self.left.span[a].tolist(), self.right.span[b].tolist()
-        x, y, own = self.left, self.right, self.same and a == b
-        for at in range(a0, a1, BLOCK):
-            to = min(a1, at + BLOCK)
-            self.compared += (to - at) * (b1 - b0)
-            cosine = x.points[at:to] @ y.points[b0:b1].T
-            linked = cosine >= self.least
-            for i, j in np.argwhere(np.abs(cosine - self.least) <= NEAR).tolist():
-                linked[i, j] = exact_cosine(x.raw[at + i], y.raw[b0 + j]) >= self.least
-            if own:
-                linked[np.arange(to - at), np.arange(at, to) - b0] = False
-            if not linked.any():
-                continue
-            self.count[at:to] += linked @ y.weight[b0:b1]
-            if not own:
-                self.count[b0 + self.offset : b1 + self.offset] += x.weight[at:to] @ linked
-            for i, j in np.argwhere(linked).tolist():
-                self._join(at + i, b0 + j + self.offset)
+    def _decided(self, x: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        """Which of the cosines x of left points rows and right points cols reach the threshold."""
+        linked = x >= self.least
+        for i, j in np.argwhere(np.abs(x - self.least) <= NEAR).tolist():
+            linked[i, j] = exact_cosine(self.left.raw[rows[i]], self.right.raw[cols[j]]) >= self.least
+        return linked
+
+    def _compare(self, a: int, leaves: np.ndarray) -> None:
+        """A leaf of the left tree with leaves of the right one, itself among them or not."""
+        x, y = self.left, self.right
+        own = self.same and bool((leaves == a).any())
+        spans = y.span[leaves[leaves != a] if own else leaves]
+        sizes = spans[:, 1] - spans[:, 0]
+        cols = np.repeat(spans[:, 0] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        first, end = x.span[a].tolist()
+        for at in range(first, end, BLOCK):
+            rows = np.arange(at, min(end, at + BLOCK))
+            if own:  # a link within the leaf is counted from both ends
+                inside = np.arange(first, end)
+                linked = self._decided(x.points[rows] @ x.points[inside].T, rows, inside)
+                linked[rows - at, rows - first] = False
+                self._add(rows, inside, linked, False)
+            for k in range(0, len(cols), 16 * BLOCK):
+                some = cols[k : k + 16 * BLOCK]
+                self._add(rows, some, self._decided(x.points[rows] @ y.points[some].T, rows, some), True)
+
+    def _add(self, rows: np.ndarray, cols: np.ndarray, linked: np.ndarray, both: bool) -> None:
+        self.compared += linked.size
+        if not linked.any():
+            return
+        self.count[rows] += linked @ self.right.weight[cols]
+        if both:
+            self.count[cols + self.offset] += self.left.weight[rows] @ linked
+        for i, j in np.argwhere(linked).tolist():
+            self._join(int(rows[i]), int(cols[j]) + self.offset)
 
     def _run(self) -> None:
         x, y = self.left, self.right
+        left_leaf, right_leaf = x.child[:, 1] == 0, y.child[:, 1] == 0
         stack = [(0, 0)]
         while stack:
             a, b = stack.pop()
-            if x.child[a][1] == 0 and y.child[b][1] == 0:
-                self._compare(a, b)
+            if left_leaf[a] and right_leaf[b]:
+                self._compare(a, np.array([b]))
                 continue
-            # the wider node is opened, both if they are one
+            # both are opened, but for a leaf, or a node less than half as wide as the other
             self_pair = self.same and a == b
-            opens = self_pair or not y.child[b][1] or bool(x.child[a][1]) and x.radius[a] >= y.radius[b]
-            left = np.arange(*x.child[a]) if opens else np.array([a])
-            right = left if self_pair else np.array([b]) if opens else np.arange(*y.child[b])
+            open_a = not left_leaf[a] and (right_leaf[b] or x.radius[a] >= y.radius[b] / 2)
+            open_b = not right_leaf[b] and (left_leaf[a] or y.radius[b] >= x.radius[a] / 2)
+            left = np.arange(*x.child[a]) if open_a else np.array([a])
+            right = np.arange(*y.child[b]) if open_b else np.array([b])
+            far = y.points[y.centre[right]]
             for i in range(0, len(left), BLOCK):
-                l_ = left[i : i + BLOCK]
-                for j in range(i if self_pair else 0, len(right), BLOCK):
-                    r = right[j : j + BLOCK]
-                    d = apart(x.points[x.centre[l_]], y.points[y.centre[r]])
-                    radii = x.radius[l_][:, None] + y.radius[r][None, :]
-                    live = d - radii <= self.reach + MARGIN
-                    whole = d + radii < self.reach - MARGIN
-                    if self_pair:
-                        order = l_[:, None] <= r[None, :]
-                        live &= order
-                        # a node with itself: no two of its points are further than twice its radius
-                        own = l_[:, None] == r[None, :]
-                        whole = np.where(own, radii < self.reach - MARGIN, whole)
-                    for p, q in np.argwhere(live).tolist():
-                        if whole[p, q]:
-                            self._take(int(l_[p]), int(r[q]))
-                        else:
-                            stack.append((int(l_[p]), int(r[q])))
+                l_, r = left[i : i + BLOCK], right[i:] if self_pair else right
+                d = apart(x.points[x.centre[l_]], far[i:] if self_pair else far)
+                radii = x.radius[l_][:, None] + y.radius[r][None, :]
+                live = d - radii <= self.reach + MARGIN
+                whole = d + radii < self.reach - MARGIN
+                if self_pair:
+                    live &= l_[:, None] <= r[None, :]
+                    # a node with itself: no two of its points are further than twice its radius
+                    own = np.arange(len(l_))
+                    whole[own, own] = radii[own, own] < self.reach - MARGIN
+                whole &= live
+                for p, q in np.argwhere(whole).tolist():
+                    self._take(int(l_[p]), int(r[q]))
+                live &= ~whole
+                leaves = live & left_leaf[l_][:, None] & right_leaf[r][None, :]
+                for p in np.flatnonzero(leaves.any(axis=1)).tolist():
+                    self._compare(int(l_[p]), r[leaves[p]])
+                stack += [(int(l_[p]), int(r[q])) for p, q in np.argwhere(live & ~leaves).tolist()]
 
     def rows(self) -> dict[str, np.ndarray]:
         """id, links, root of each class that has links here."""
