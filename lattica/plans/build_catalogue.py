@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lattica.operators import incremental, reports, resolve, rules, stats, store
 from lattica.plans.catalogue import _ALL, _CALLS, _DEDUP, _results, query
 from lattica.schema import TABLES
-from lattica.session import work_folder
+from lattica.session import checkpointed, work_folder
 from lattica.sources import extraction, files, rules_file
 
 # Paths of a store below their root, some in folders that are skipped, some no sources.
@@ -268,16 +268,54 @@ def _(r, c):
     none = F.array()
     whole = F.struct(*(F.coalesce(n, none).alias(n) for n in ("symbols", "calls")), none.alias("includes"), none.alias("inherits"))
     results = extraction.decoded(_results(r, c).select("file", F.to_json(whole).alias("json")))
-    own = _snapshots(r)
+    own = store.Snapshots(spark, f"{work_folder(spark)}/index-{uuid.uuid4().hex}", buckets=8)
     own.write(store.empty_tables(spark) | resolve.resolved_tables(results))
     changed = spark.createDataFrame([("src/m3/x.cpp", incremental.DELETED)], "path string, change_type string")
-    after, _ = incremental.refreshed(own.read(), changed, results.limit(0), store.empty_tables(spark)["file_info"])
+    incremental.merged(own, changed, results.limit(0), store.empty_tables(spark)["file_info"])
+    after = own.read()
     s = resolve.deduplicated_symbols(r).select("id", "place", "qualified_name")
     a, b = s.select(F.col("id").alias("caller_id"), F.col("qualified_name").alias("caller")), s.select(F.col("id").alias("callee_id"), F.col("qualified_name").alias("callee"), F.col("place").alias("callee_place"))
     found = after["call_relations"].join(a, "caller_id").join(b, "callee_id")
     return found.select(F.col("file_path").alias("file"), "line", "caller", "callee", "callee_place")
 
 
+@query("i2_stateful_calls", "raw_symbols raw_calls", """SELECT c.file, c.line, c.caller, c.callee, CASE WHEN caller_place IS NOT NULL AND callee_place IS NOT NULL THEN callee_place ELSE b.k.p END AS callee_place
+FROM near c LEFT JOIN np a ON a.name = c.caller LEFT JOIN np b ON b.name = c.callee WHERE caller_place IS NOT NULL AND callee_place IS NOT NULL OR a.k IS NOT NULL AND b.k IS NOT NULL""", f"{_DEDUP}, {_CALLS}")
+def _(r, c):
+    """Files arrive one after the other in no order of theirs, in two runs of the streams; the calls are those over all files."""
+    from lattica.streaming import calls
+
+    spark = r.sparkSession
+    none = F.array()
+    whole = F.struct(*(F.coalesce(n, none).alias(n) for n in ("symbols", "calls")), none.alias("includes"), none.alias("inherits"))
+    arriving = _results(r, c).select("file", F.lit("h").alias("content_hash"), F.to_json(whole).alias("json"), F.pmod(F.xxhash64("file"), F.lit(6)).cast("int").alias("turn"))
+    root = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
+    arriving = checkpointed(arriving)
+    for first in (0, 3):
+        some = arriving.where(F.col("turn").between(first, first + 2))
+        some.repartition(3, "turn").drop("turn").write.mode("append").json(f"{root}/in")
+        calls.run(spark, f"{root}/in", root, files_a_batch=1, batches=1)
+    s = resolve.deduplicated_symbols(r).select(F.col("id").alias("callee_id"), F.col("place").alias("callee_place"))
+    return calls.call_table(spark, root).join(s, "callee_id").select("file", "line", "caller", "callee", "callee_place")
+
+
+@query("w6_copy_on_write", "raw_symbols", f"""SELECT bucket, count(*) AS n, CAST(sum(place) AS BIGINT) AS places, bool_or(moved) AS rewritten
+FROM (SELECT CAST('0x' || substr(md5(file_path), 1, 8) AS BIGINT) % 32 AS bucket, place, CAST('0x' || substr(md5(file_path), 1, 8) AS BIGINT) % 32 IN (SELECT CAST('0x' || substr(md5(f), 1, 8) AS BIGINT) % 32 FROM (VALUES ('src/m3/x.cpp'), ('src/m7/x.cpp')) AS v(f)) AS moved FROM ds WHERE file <> 'src/m7/x.cpp') GROUP BY bucket""", _DEDUP)
+def _(r):
+    """A file that is extracted anew and one that goes: symbols by bucket, and whether the last snapshot wrote the bucket."""
+    spark = r.sparkSession
+    own = store.Snapshots(spark, f"{work_folder(spark)}/index-{uuid.uuid4().hex}", buckets=32)
+    results = extraction.decoded(_documents(r.drop("ordinal")))
+    own.write(store.empty_tables(spark) | resolve.resolved_tables(results))
+    before = own.manifest()["tables"]["symbols"]
+    changed = spark.createDataFrame([("src/m3/x.cpp", incremental.MODIFIED), ("src/m7/x.cpp", incremental.DELETED)], "path string, change_type string")
+    incremental.merged(own, changed, results.where("file = 'src/m3/x.cpp'"), store.empty_tables(spark)["file_info"])
+    moved = [int(k) for k, x in own.manifest()["tables"]["symbols"].items() if before.get(k) != x]
+    places = resolve.deduplicated_symbols(r).select("id", "place")
+    found = own.read()["symbols"].join(places, "id").withColumn("bucket", store.bucket_of(F.col("file_path"), 32))
+    return found.groupBy(F.col("bucket").cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum("place").alias("places")).withColumn("rewritten", F.col("bucket").isin(moved))
+
+
 @query("t1_skills", "parts", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', CAST({len(p)} AS INTEGER), '{p[0][0]}', {str(p[0][2]).lower()})" for n, p in reports.SKILLS.items()) + ") AS v(name, n_parameters, first_parameter, first_required)")
 def _(p):
     first = F.col("parameters")[0]
