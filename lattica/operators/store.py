@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.operators import name_index
 from lattica.operators.traverse import node_edges
 from lattica.schema import CALLS, KEYS, TABLES, struct_of
 
@@ -68,7 +69,7 @@ OWNER = {
     "inheritance_relations": None, "file_info": "file_path", "unresolved_calls": "file", EDGES: "file_path",
 }
 #: How rows are laid out within a bucket, for scans that skip row groups.
-ORDER = {"call_relations": "callee_id", "reference_relations": "symbol_id", "symbols": "qualified_name", "include_relations": "source_file", EDGES: "callee_name"}
+ORDER = {"call_relations": "callee_id", "reference_relations": "symbol_id", "symbols": "qualified_name", "include_relations": "source_file", EDGES: "callee_name", name_index.HEADS: "at", name_index.GRAMS: "gram"}
 #: Symbols of a bucket, about, unless the number of buckets is given; and the most buckets that are chosen so.
 BUCKET_ROWS, MOST_BUCKETS = 50_000, 65_536
 
@@ -124,14 +125,16 @@ class Snapshots:
 
     def _stored(self, table: str, df: DataFrame, symbols: DataFrame, buckets: int) -> dict[str, dict]:
         """Writes rows into new bucket folders: {bucket: {path, bytes}}. Buckets with much are written by several tasks."""
-        if OWNER[table]:
+        if "bucket" in df.columns:
+            placed = df
+        elif OWNER[table]:
             placed = df.withColumn("bucket", bucket_of(F.col(OWNER[table]), buckets))
         else:
             of = symbols.select(F.col("id").alias("derived_id"), bucket_of(F.col("file_path"), buckets).alias("bucket"))
             placed = df.join(of, "derived_id", "left").withColumn("bucket", F.coalesce("bucket", bucket_of(F.lit(""), buckets)))
         where = f"data/{table}-{uuid.uuid4().hex}"
         order = ["bucket", *([ORDER[table]] if table in ORDER else [])]
-        placed.hint("rebalance", F.col("bucket")).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{self.root}/{where}")
+        placed.hint("rebalance", F.col("bucket")).sortWithinPartitions(*order).write.option("parquet.page.row.count.limit", name_index.PAGE_ROWS if table == name_index.HEADS else 20_000).partitionBy("bucket").parquet(f"{self.root}/{where}")
         fs, p = self._fs(f"{self.root}/{where}")
         found: dict[str, dict] = {}
         files = fs.listFiles(p, True)
@@ -169,8 +172,15 @@ class Snapshots:
             if t != "symbols":
                 folders[t] = self._stored(t, typed[t], symbols, buckets)
         folders[EDGES] = self._stored(EDGES, node_edges(self._read("call_relations", folders["call_relations"]), symbols), symbols, buckets)
+        folders |= self._indexed(symbols, buckets)
         return self._published({"buckets": buckets, "tables": folders}, base)
 
+    def _indexed(self, symbols: DataFrame, buckets: int) -> dict[str, dict]:
+        """The name index of some buckets' symbols."""
+        heads = self._stored(name_index.HEADS, name_index.heads(symbols, bucket_of(F.col("file_path"), buckets)), symbols, buckets)
+        bucket = F.shiftright("at", name_index.BUCKET_BITS).cast("int")
+        return {name_index.HEADS: heads, name_index.GRAMS: self._stored(name_index.GRAMS, name_index.postings(self._read(name_index.HEADS, heads).withColumn("bucket", bucket)), symbols, buckets)}
+
     def buckets_of(self, files: dict[str, DataFrame]) -> dict[str, set[str]]:
         """The buckets of some files, path, by table."""
         buckets = self.manifest()["buckets"]
@@ -202,10 +212,13 @@ class Snapshots:
         own = touched["call_relations"]
         calls = self._read("call_relations", {k: x for k, x in folders["call_relations"].items() if k in own})
         replaced(EDGES, node_edges(calls, symbols), symbols, own)
+        own = touched["symbols"]
+        new = self._indexed(self._read("symbols", {k: x for k, x in folders["symbols"].items() if k in own}), buckets)
+        folders |= {t: {k: x for k, x in folders[t].items() if k not in own} | new[t] for t in new}
         return self._published({"buckets": buckets, "tables": folders}, base)
 
     def _read(self, table: str, folders: dict[str, dict]) -> DataFrame:
-        schema = struct_of(table) if table in TABLES else EDGE_SCHEMA
+        schema = struct_of(table) if table in TABLES else EDGE_SCHEMA if table == EDGES else name_index.schema_of(table)
         if not folders:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f"{self.root}/{x['path']}" for _, x in sorted(folders.items())))
@@ -219,6 +232,12 @@ class Snapshots:
         """The calls between logical nodes (traverse.node_edges) of the current snapshot."""
         return self._read(EDGES, self.manifest()["tables"][EDGES])
 
+    def search(self, query: str, kind: str | None = None, limit: int = 50) -> DataFrame:
+        """Ranked symbol search by the index of the current snapshot."""
+        tables = self.manifest()["tables"]
+        symbols, heads, lists = (self._read(t, tables[t]) for t in ("symbols", name_index.HEADS, name_index.GRAMS))
+        return name_index.indexed_search(symbols, heads, lists, query, kind, limit)
+
     def vacuum(self) -> int:
         """Deletes bucket folders and manifests that no pointer leads to any more; returns how many. Not to be run beside a build."""
         names = [n for _, n in self._pointers()]

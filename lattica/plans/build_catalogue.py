@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators import incremental, reports, resolve, rules, stats, store
-from lattica.plans.catalogue import _ALL, _CALLS, _DEDUP, _results, query
+from lattica.plans.catalogue import _ALL, _CALLS, _DEDUP, _REP, _results, _search_sql, query
 from lattica.schema import TABLES
 from lattica.session import checkpointed, work_folder
 from lattica.sources import extraction, files, rules_file
@@ -299,6 +299,22 @@ def _(r, c):
     return calls.call_table(spark, root).join(s, "callee_id").select("file", "line", "caller", "callee", "callee_place")
 
 
+def _indexed(s: DataFrame) -> store.Snapshots:
+    own = store.Snapshots(s.sparkSession, f"{work_folder(s.sparkSession)}/index-{uuid.uuid4().hex}", buckets=4)
+    own.write(store.empty_tables(s.sparkSession) | {"symbols": s})
+    return own
+
+
+@query("q12_indexed_search", "symbols", _search_sql("d17::red", None, 50), _REP)
+def _(s):
+    """By posting lists of a snapshot."""
+    return _indexed(s).search("d17::red")
+
+
+@query("q13_indexed_search_by_kind", "symbols", _search_sql("d11::", "function", 40), _REP)
+def _(s): return _indexed(s).search("d11::", "function", 40)
+
+
 @query("w6_copy_on_write", "raw_symbols", f"""SELECT bucket, count(*) AS n, CAST(sum(place) AS BIGINT) AS places, bool_or(moved) AS rewritten
 FROM (SELECT CAST('0x' || substr(md5(file_path), 1, 8) AS BIGINT) % 32 AS bucket, place, CAST('0x' || substr(md5(file_path), 1, 8) AS BIGINT) % 32 IN (SELECT CAST('0x' || substr(md5(f), 1, 8) AS BIGINT) % 32 FROM (VALUES ('src/m3/x.cpp'), ('src/m7/x.cpp')) AS v(f)) AS moved FROM ds WHERE file <> 'src/m7/x.cpp') GROUP BY bucket""", _DEDUP)
 def _(r):

@@ -9,17 +9,17 @@ from lattica.session import ship_package
 
 
 class CodeGraph:
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], project_id: str = "default", edges: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], project_id: str = "default", edges: DataFrame | None = None, snapshots: store.Snapshots | None = None):
         ship_package(spark)
         self.spark, self.tables, self.project_id = spark, tables, project_id
         self.symbols, self.calls, self.includes = tables["symbols"], tables["call_relations"], tables["include_relations"]
         self.references, self.inheritance, self.files = tables["reference_relations"], tables["inheritance_relations"], tables["file_info"]
-        self._stored, self._edges = edges, None
+        self._stored, self._edges, self._snapshots = edges, None, snapshots
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, project_id: str = "default") -> CodeGraph:
         snapshots = store.Snapshots(spark, root)
-        return cls(spark, snapshots.read(), project_id, snapshots.edges())
+        return cls(spark, snapshots.read(), project_id, snapshots.edges(), snapshots)
 
     @classmethod
     def build(
@@ -63,7 +63,11 @@ class CodeGraph:
     def includers_of(self, path): return lookup.includers_of(self.includes, path)  # noqa: E704
 
     # search
-    def search(self, query, kind=None, limit=50): return search.search_api(self.symbols, query, kind, limit)  # noqa: E704
+    def search(self, query, kind=None, limit=50):
+        """By the name index, where the engine has a snapshot."""
+        if self._snapshots is not None:
+            return self._snapshots.search(query, kind, limit)
+        return search.search_api(self.symbols, query, kind, limit)
 
     # traversal
     def same_name_ids(self, id_): return traverse.same_name_ids(self.symbols, id_)  # noqa: E704
