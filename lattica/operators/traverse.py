@@ -1,12 +1,14 @@
 """Traversals of the call graph and the include graph: breadth-first levels as DataFrame jobs over pruned edges.
 
-A frontier of up to SMALL rows is carried between levels as a local relation (its lineage ends there, and its ids prune the
-edge scan); a larger one is checkpointed and joined. Loops stop at the depth or at an empty frontier.
+A frontier is a table of nodes, checkpointed where its lineage would grow, whatever its size; nothing of it goes through the driver
+but its number of rows. Loops stop at the depth or at an empty frontier.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,9 +16,6 @@ from lattica.functions.text import base_name, contains_like
 from lattica.operators.lookup import include_edges
 from lattica.session import checkpointed
 
-#: Rows of a frontier that are handed through the driver at most.
-SMALL = 10_000
-
 
 def same_name_ids(symbols: DataFrame, id_: int) -> DataFrame:
     """The ids of the symbol's qualified name; the id itself if it is unknown."""
@@ -33,34 +32,20 @@ def node_edges(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return calls.join(name("caller"), "caller_id").join(name("callee"), "callee_id")
 
 
-class _Level:
-    """One frontier: rows of a node column and payload, local while they are few."""
-
-    def __init__(self, spark: SparkSession, df: DataFrame, key: str):
-        rows = df.limit(SMALL + 1).collect()
-        self.small = len(rows) <= SMALL
-        self.empty = not rows
-        self.df = spark.createDataFrame(rows, df.schema) if self.small else checkpointed(df)
-        self.keys = [r[key] for r in rows] if self.small else []
-
-    def prune(self, edges: DataFrame, column: str) -> DataFrame:
-        """edges that leave the frontier; ids of a small one reach the scan as a filter."""
-        return edges.where(F.col(column).isin(self.keys)) if self.small and len(self.keys) <= 1000 else edges
+def _reachable(edges: DataFrame, frontier: DataFrame, source: str, target: str) -> DataFrame:
+    """node: the targets of the edges that leave the frontier. A hub among the sources is split by the skew join."""
+    return edges.select(F.col(source).alias("_from"), F.col(target).alias("node")).join(frontier.select(F.col("node").alias("_from")), "_from", "left_semi").select("node").distinct()
 
 
 def levels(edges: DataFrame, source: str, target: str, seeds: DataFrame, depth: int | None) -> DataFrame:
     """node, level of all nodes within depth of the seeds (a table with a column node) along edges source -> target."""
-    spark = edges.sparkSession
-    frontier = _Level(spark, seeds.select("node", F.lit(0).alias("level")).distinct(), "node")
-    seen, level = frontier.df, 0
-    while not frontier.empty and (depth is None or level < depth):
+    frontier = checkpointed(seeds.select("node", F.lit(0).alias("level")).distinct())
+    seen, level = frontier, 0
+    while (depth is None or level < depth) and not frontier.isEmpty():
         level += 1
-        out = frontier.prune(edges.select(source, target), source).join(frontier.df.select(F.col("node").alias(source)), source)
-        new = out.select(F.col(target).alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(level))
-        frontier = _Level(spark, new, "node")
-        seen = seen.unionByName(frontier.df)
-        if not frontier.small:
-            seen = checkpointed(seen)
+        new = _reachable(edges, frontier, source, target).join(seen.select("node"), "node", "left_anti")
+        frontier = checkpointed(new.withColumn("level", F.lit(level)))
+        seen = seen.unionByName(frontier)
     return seen
 
 
@@ -88,30 +73,49 @@ def callees(edges: DataFrame, symbols: DataFrame, id_: int, depth: int = 1) -> D
     return _reached(edges, symbols, id_, depth, "caller", "callee")
 
 
+def _side(calls: DataFrame, frontier: DataFrame, seen: DataFrame, near: str, far: str) -> DataFrame:
+    """node, call, to: the nodes next to a frontier that its side hasn't seen, each with the least call between them."""
+    met = calls.select(F.col(near).alias("to"), F.col(far).alias("node"), F.col("id").alias("call")).join(frontier.select(F.col("node").alias("to")), "to", "left_semi")
+    new = met.join(seen.select("node"), "node", "left_anti")
+    return checkpointed(new.groupBy("node").agg(F.min(F.struct("call", "to")).alias("x")).select("node", "x.call", "x.to"))
+
+
 def shortest_path(calls: DataFrame, from_id: int, to_id: int) -> DataFrame:
     """pos, symbol_id of a shortest path over raw ids, of unbounded depth; empty if there is none.
 
-    Of equally short ones it is the path whose sequence of first call ids is least.
+    Two searches, from either end, of which the smaller frontier goes on until they meet. Rows hold a node and the least call that
+    leads on from it towards the end, never a path: for the nodes around the end their own search finds that call, for those
+    around the start it is found from the meeting back, over nodes that lead there only. Of equally short paths, this is
+    the one whose sequence of first call ids is least. It is then read node by node.
     """
     spark = calls.sparkSession
     schema = "pos int, symbol_id long"
     if from_id == to_id:
         return spark.createDataFrame([(0, from_id)], schema)
-    steps = calls.groupBy("caller_id", "callee_id").agg(F.min("id").alias("call"))
-    start = spark.createDataFrame([(from_id, [], [from_id])], "node long, calls array<long>, path array<long>")
-    frontier, seen = _Level(spark, start, "node"), start.select("node")
-    while not frontier.empty:
-        out = frontier.prune(steps, "caller_id").join(frontier.df.withColumnRenamed("node", "caller_id"), "caller_id")
-        step = F.struct(F.array_append("calls", F.col("call")).alias("calls"), F.array_append("path", F.col("callee_id")).alias("path"))
-        new = out.select(F.col("callee_id").alias("node"), step.alias("way")).join(seen, "node", "left_anti").groupBy("node").agg(F.min("way").alias("way"))
-        frontier = _Level(spark, new.select("node", "way.calls", "way.path"), "node")
-        done = frontier.df.where(F.col("node") == to_id)
-        if (to_id in frontier.keys) if frontier.small else not done.isEmpty():
-            return done.select(F.posexplode("path").alias("pos", "symbol_id"))
-        seen = seen.unionByName(frontier.df.select("node"))
-        if not frontier.small:
-            seen = checkpointed(seen)
-    return spark.createDataFrame([], schema)
+    end = lambda x: spark.range(1).select(F.lit(x).cast("long").alias("node"), F.lit(None).cast("long").alias("call"), F.lit(None).cast("long").alias("to"))
+    down, up = [end(from_id)], [end(to_id)]  # levels from the start, and from the end
+    sizes = [1, 1]
+    union = lambda frames: reduce(DataFrame.unionByName, frames)
+    while True:
+        forward = sizes[0] <= sizes[1]
+        own, near, far = (down, "caller_id", "callee_id") if forward else (up, "callee_id", "caller_id")
+        own.append(_side(calls, own[-1], union(own), near, far))
+        sizes[not forward] = own[-1].count()
+        if not sizes[not forward]:
+            return spark.createDataFrame([], schema)
+        met = down[-1].select("node").join(up[-1].select("node"), "node", "left_semi")
+        if not met.isEmpty():
+            break
+    # from the meeting back to the start: who leads to it, by the least call
+    towards, leads = [], checkpointed(met)
+    for level in reversed(down[:-1]):
+        on = calls.select(F.col("caller_id").alias("node"), F.col("id").alias("call"), F.col("callee_id").alias("to")).join(level.select("node"), "node", "left_semi").join(leads.select(F.col("node").alias("to")), "to", "left_semi")
+        leads = checkpointed(on.groupBy("node").agg(F.min(F.struct("call", "to")).alias("x")).select("node", "x.call", "x.to"))
+        towards.append(leads)
+    path = [from_id]
+    for level in [*reversed(towards), *reversed(up[1:])]:
+        path.append(level.where(F.col("node") == path[-1]).first()["to"])
+    return spark.createDataFrame(list(enumerate(path)), schema)
 
 
 def call_trace(calls: DataFrame, symbols: DataFrame, name: str, max_depth: int = 5, fan_out: int = 50, most_calls: int = 1_000_000) -> DataFrame:

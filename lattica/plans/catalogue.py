@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lattica.functions.text import short_name
 from lattica.operators import analyzers, client, incremental, lookup, reports, resolve, rules, search, stats, store, traverse
 from lattica.plans.fixtures import ctes, frame
+from lattica.session import checkpointed
 from lattica.sources import compile_db, files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +31,11 @@ def query(name: str, tables: str, sql: str | None = None, more: str = ""):
     return add
 
 
+def _edges(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The calls between logical nodes, made once for all levels of a traversal, as a snapshot keeps them."""
+    return checkpointed(traverse.node_edges(calls, symbols))
+
+
 def _first(df: DataFrame):
     return df.first()[0]
 
@@ -181,11 +187,11 @@ _DOWN = _walk(_CALLER, 3, "cn", "en", "callee_name")
 
 
 @query("g2_callers", "call_relations symbols", f"SELECT {_CALL}, level FROM got", _UP)
-def _(c, s): return traverse.callers(traverse.node_edges(c, s), s, busy(c), 3)
+def _(c, s): return traverse.callers(_edges(c, s), s, busy(c), 3)
 
 
 @query("g3_callees", "call_relations symbols", f"SELECT {_CALL}, level FROM got", _DOWN)
-def _(c, s): return traverse.callees(traverse.node_edges(c, s), s, busy(c, "caller_id"), 3)
+def _(c, s): return traverse.callees(_edges(c, s), s, busy(c, "caller_id"), 3)
 
 
 _HOP = f"""st AS (SELECT {_CALLER} AS f), h1 AS (SELECT min(callee_id) AS x FROM f_call_relations, st WHERE caller_id = f), h2 AS (SELECT min(callee_id) AS x FROM f_call_relations, h1 WHERE caller_id = h1.x),
@@ -221,11 +227,11 @@ def _(c, s): return traverse.call_trace(c, s, "ring", 5).select("pos", "depth",
 
 @query("g6_call_graph_nodes", "call_relations symbols", f"""SELECT CAST(n.id AS VARCHAR) AS id, coalesce(s.qualified_name, 'symbol_' || CAST(n.id AS VARCHAR)) AS label, CASE WHEN s.kind = 'type' THEN 'Type' ELSE 'Function' END AS kind,
 s.file_path, s.line, n.id AS symbol_id, CAST(NULL AS VARCHAR) AS metadata FROM (SELECT caller_id AS id FROM got UNION SELECT callee_id FROM got UNION SELECT {_CALLER}) n LEFT JOIN f_symbols s ON s.id = n.id""", _DOWN)
-def _(c, s): return traverse.call_graph(traverse.node_edges(c, s), s, busy(c, "caller_id"), 3)[0]
+def _(c, s): return traverse.call_graph(_edges(c, s), s, busy(c, "caller_id"), 3)[0]
 
 
 @query("g6_call_graph_edges", "call_relations symbols", "SELECT CAST(caller_id AS VARCHAR) AS source, CAST(callee_id AS VARCHAR) AS target, 'Call' AS edge_type, CAST(1.0 AS DOUBLE) AS weight, CAST(NULL AS VARCHAR) AS metadata FROM got", _DOWN)
-def _(c, s): return traverse.call_graph(traverse.node_edges(c, s), s, busy(c, "caller_id"), 3)[1]
+def _(c, s): return traverse.call_graph(_edges(c, s), s, busy(c, "caller_id"), 3)[1]
 
 
 @query("g7_file_graph_nodes", "include_relations", "SELECT id, regexp_extract(id, '[^/]*$') AS label, 'File' AS kind, id AS file_path, CAST(NULL AS INTEGER) AS line, CAST(NULL AS BIGINT) AS symbol_id, CAST(NULL AS VARCHAR) AS metadata FROM (SELECT source_file AS id FROM f_include_relations UNION SELECT target_file FROM f_include_relations)")
@@ -252,7 +258,7 @@ UNION ALL SELECT 'callees', CAST(row_number() OVER (ORDER BY level, id) AS INTEG
        f"""{_EDGES}, me AS (SELECT node FROM cls WHERE id = {_BUSY}),
 up AS (SELECT * FROM (SELECT *, 1 AS level, row_number() OVER (PARTITION BY caller_name ORDER BY id) AS rn FROM e WHERE en = (SELECT node FROM me)) WHERE rn = 1),
 down AS (SELECT * FROM (SELECT *, 1 AS level, row_number() OVER (PARTITION BY callee_name ORDER BY id) AS rn FROM e WHERE cn = (SELECT node FROM me)) WHERE rn = 1)""")
-def _(c, s): return reports.collect_context(traverse.node_edges(c, s), s, most(s, "file_path"), busy(c))
+def _(c, s): return reports.collect_context(_edges(c, s), s, most(s, "file_path"), busy(c))
 
 
 _ALL = "symbols call_relations include_relations reference_relations inheritance_relations file_info"
@@ -339,7 +345,7 @@ def _(s, p):
        f"""{_EDGES}, me AS (SELECT node FROM cls WHERE id = {_BUSY}),
 up AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY caller_name ORDER BY id) AS rn FROM e WHERE en = (SELECT node FROM me)) WHERE rn = 1),
 down AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY callee_name ORDER BY id) AS rn FROM e WHERE cn = (SELECT node FROM me)) WHERE rn = 1)""")
-def _(c, s): return client.neighbourhood(traverse.node_edges(c, s), s, busy(c))
+def _(c, s): return client.neighbourhood(_edges(c, s), s, busy(c))
 
 
 @query("c5_short_names", "kernel_symbols", "SELECT id, CASE WHEN len(p) > 2 THEN p[len(p) - 1] || '::' || p[len(p)] ELSE q END AS short FROM (SELECT id, q, string_split(q, '::') AS p FROM (SELECT id, 'ns::' || qualified_name AS q FROM f_kernel_symbols))")
@@ -486,12 +492,12 @@ def _(i): return store.unpacked(store.packed(i, "id"), "include_relations")
 
 @query("t3_callers_report", "call_relations symbols", f"""SELECT 0 AS pos, '## callers of `' || (SELECT qualified_name FROM f_symbols WHERE id = {_BUSY}) || '`: ' || CAST((SELECT count(*) FROM got) AS VARCHAR) AS text UNION ALL
 SELECT CAST(row_number() OVER (ORDER BY level, id) AS INTEGER), '- `' || caller_name || '` -> `' || (SELECT qualified_name FROM f_symbols WHERE id = {_BUSY}) || '` @ ' || file_path || ':' || CAST(line AS VARCHAR) || CASE WHEN is_virtual THEN ' (virtual)' ELSE '' END FROM got""", _UP)
-def _(c, s): return reports.find_callers(traverse.node_edges(c, s), s, busy(c), 3)
+def _(c, s): return reports.find_callers(_edges(c, s), s, busy(c), 3)
 
 
 @query("t3_callees_report", "call_relations symbols", f"""SELECT 0 AS pos, '## callees of `' || (SELECT qualified_name FROM f_symbols WHERE id = {_CALLER}) || '`: ' || CAST((SELECT count(*) FROM got) AS VARCHAR) AS text UNION ALL
 SELECT CAST(row_number() OVER (ORDER BY level, id) AS INTEGER), '- `' || (SELECT qualified_name FROM f_symbols WHERE id = {_CALLER}) || '` -> `' || callee_name || '` @ ' || file_path || ':' || CAST(line AS VARCHAR) FROM got""", _DOWN)
-def _(c, s): return reports.find_callees(traverse.node_edges(c, s), s, busy(c, "caller_id"), 3)
+def _(c, s): return reports.find_callees(_edges(c, s), s, busy(c, "caller_id"), 3)
 
 
 _REF = "(SELECT symbol_id FROM f_reference_relations WHERE symbol_id IN (SELECT id FROM f_symbols) GROUP BY symbol_id ORDER BY count(*) DESC, symbol_id LIMIT 1)"
