@@ -13,7 +13,7 @@ from lattica.operators import incremental, reports, resolve, rules, stats, store
 from lattica.plans.catalogue import _ALL, _CALLS, _DEDUP, _REP, _results, _search_sql, query
 from lattica.schema import TABLES
 from lattica.session import checkpointed, work_folder
-from lattica.sources import extraction, files, rules_file
+from lattica.sources import extraction, files, rules_file, tree_source
 
 # Paths of a store below their root, some in folders that are skipped, some no sources.
 _TREE = """tree AS (SELECT CASE p_partkey % 7 WHEN 0 THEN 'src/tests/' WHEN 1 THEN 'examples/' WHEN 2 THEN 'src/test_data/' WHEN 3 THEN '' ELSE 'src/a' || CAST(p_size % 5 AS VARCHAR) || '/' END ||
@@ -21,12 +21,42 @@ CASE WHEN p_partkey % 13 = 0 THEN '._' ELSE '' END || replace(p_name, ' ', '_')
 
 
 @query("s1_sources_of_a_store", "parts", r"""SELECT path FROM tree WHERE NOT regexp_matches('/' || path, '/(tests|examples)/') AND NOT regexp_matches(path, '(^|/)\._[^/]*$') AND regexp_matches(lower(path), '\.(c|cpp|hxx|h)$')""", _TREE)
-def _(p):
+def _(p): return files.sources_among(_tree_paths(p).select("path"))
+
+
+def _tree_paths(p: DataFrame) -> DataFrame:
+    """path of each part's file below the root, and the part's name."""
     key = F.col("p_partkey")
     folder = F.when(key % 7 == 0, "src/tests/").when(key % 7 == 1, "examples/").when(key % 7 == 2, "src/test_data/").when(key % 7 == 3, "").otherwise(F.concat(F.lit("src/a"), (F.col("p_size") % 5).cast("string"), F.lit("/")))
     ending = F.element_at(F.array(*map(F.lit, (".c", ".CPP", ".hxx", ".txt", "", ".h"))), (F.col("p_size") % 6 + 1).cast("int"))
     name = F.concat(F.when(key % 13 == 0, "._").otherwise(""), F.replace("p_name", F.lit(" "), F.lit("_")), key.cast("string"))
-    return files.sources_among(p.select(F.concat(folder, name, ending).alias("path")))
+    return p.select(F.concat(folder, name, ending).alias("path"), "p_name")
+
+
+def _planted(root: str):
+    """Writes a file for each row, on the executors: path below the root, and its content."""
+
+    def write(batches):
+        for batch in batches:
+            for path, text in zip(batch["path"], batch["p_name"]):
+                whole = os.path.join(root, path)
+                os.makedirs(os.path.dirname(whole), exist_ok=True)
+                with open(whole, "w") as f:
+                    f.write(text)
+            yield batch[["path"]]
+
+    return write
+
+
+@query("s1_source_tree", "parts", r"""SELECT path, CAST(octet_length(encode(p_name)) AS BIGINT) AS size, sha256(p_name) AS content_hash FROM named
+WHERE NOT regexp_matches('/' || path, '/(tests|examples)/') AND NOT regexp_matches(path, '(^|/)\._[^/]*$') AND regexp_matches(lower(path), '\.(c|cpp|hxx|h)$')""", _TREE + ", named AS (" + _TREE[len("tree AS (SELECT "):].replace(" AS path FROM part)", " AS path, p_name FROM part)").join(["SELECT ", ""]))
+def _(p):
+    """A tree with a file for each part, written, walked and hashed by the executors."""
+    spark = p.sparkSession
+    root = f"{work_folder(spark)}/tree-{uuid.uuid4().hex}".removeprefix("file://")
+    checkpointed(_tree_paths(p).mapInPandas(_planted(root), "path string"))
+    found = tree_source.tree(spark, root, partitions=16)
+    return found.select(F.substring("path", len(root) + 2, 10_000).alias("path"), "size", "content_hash")
 
 
 #: One small source file of each part, by its key k and size z, and what is in it: (what, name, more, line).
