@@ -168,6 +168,13 @@ def _(s):
     return rules.apply_rules(s, found)
 
 
+@query("a7_many_rules", "symbols", """SELECT 'r' || CAST(i AS VARCHAR) AS rule_name, name AS symbol_name, file_path, line, 'm' AS message, CAST(i AS INTEGER) AS rule_ord FROM f_symbols, range(400) AS r(i) WHERE is_definition AND (i % 3 <> 0 OR kind = 'function')
+AND (regexp_matches(name, '^brand' || CAST(i % 25 + 1 AS VARCHAR) || '::.*' || chr(CAST(97 + i % 26 AS INTEGER)) || '[a-m]') OR regexp_matches(qualified_name, '^brand' || CAST(i % 25 + 1 AS VARCHAR) || '::.*' || chr(CAST(97 + i % 26 AS INTEGER)) || '[a-m]'))""")
+def _(s):
+    found = [rules.Rule(f"r{i}", "m", f"^brand{i % 25 + 1}::.*{chr(97 + i % 26)}[a-m]", None if i % 3 else "function") for i in range(400)]
+    return rules.apply_rules(s, found)
+
+
 #: (name, name_regex, symbol_kind, file_pattern) of rules, and whether they are valid.
 _CANDIDATES = [("a", "x", None, None, True), ("", "x", None, None, False), ("b", "", None, None, False), ("c", "[", None, None, False), ("d", "x", "gadget", None, False), ("e", "x", "macro", "[", False), ("f", r"^\w+$", "type", r"\.h$", True)]
 

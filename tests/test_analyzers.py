@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.operators import analyzers, client, reports, traverse
+from lattica.operators.rules import Rule, _conditions, apply_rules, required_text
 from tests.golden import frames, plain
 
 SF = "/root/testdata/sf0.001"
@@ -95,3 +96,26 @@ def test_places_of_a_hot_file_meet_one_row_each(spark):
     places = spark.range(20_000).select(F.col("id").alias("place_id"), F.lit("f").alias("file_path"), (F.col("id") % 5_000).cast("int").alias("at"))
     found = client.symbols_at(symbols, places)
     assert found.count() == 20_000 and found.where(F.col("symbol_id") != F.col("place_id") % 5_000).count() == 0
+
+
+def test_required_texts():
+    texts = {"_ioctl$": "_ioctl", "^[a-z_]+$": "", "a(?:bcd)+e": "bcd", "abc|abd": "ab", "(?i)abc": "", "ab?cde": "cde", r"^\w+::run\b": "::run", "x(?:abc){0,3}": "x", "a.bcde[fg]hi": "bcde", "(net|disk)_read": "_read", "(?i:abc)d": "d"}
+    for pattern, text in texts.items():
+        found = required_text(pattern)
+        assert found == text or pattern == "abc|abd" and found in ("", "ab"), (pattern, found)
+
+
+def test_many_rules_give_what_conditions_give(spark):
+    import random
+
+    r = random.Random(1)
+    words = ["read", "write", "open", "Été", "ioctl", "a", "x_y"]
+    rows = [plain(i, r.choice(words) + r.choice(["", "_", "Été"]) + r.choice(words), r.choice([None, "net::", "q::"]) and "net::" + r.choice(words), definition=r.random() < 0.8, attributes=r.choice([None, '{"is_virtual":true}'])) for i in range(300)]
+    s, _ = frames(spark, rows)
+    kinds = ["", "^", "(?i)"]
+    found = [Rule(f"r{i}", f"m{i}", r.choice(kinds) + r.choice(words) + r.choice(["", "$", ".*d", r"\w", "[a-e]?"]), r.choice([None, "function", "type"]), r.choice([None, "cpp$", "nothing"]), r.choice([None, None, "is_virtual"])) for i in range(400)]
+    want = _conditions(s.where("is_definition"), list(enumerate(found)))
+    got = apply_rules(s, found)
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect()) and got.count() > 500
+    few, many = (apply_rules(s, [Rule(f"r{i}", "m", f"name{i}") for i in range(n)])._jdf.queryExecution().optimizedPlan().toString() for n in (2, 2_000))
+    assert len(many) < 2 * len(few) + 2_000 or "LocalRelation" in many
