@@ -44,6 +44,25 @@ def validate(rule: Rule) -> None:
         check_regex(rule.file_pattern, f"{rule.name}: file_pattern")
 
 
+def validated(rules: DataFrame) -> DataFrame:
+    """rules(name, name_regex, symbol_kind, file_pattern, ..) with `valid` and, for those that aren't, `problem`."""
+    own = [c for c in rules.columns if c not in ("valid", "problem")]
+
+    def check(batches):
+        for batch in batches:
+            problems = []
+            for r in batch[["name", "name_regex", "symbol_kind", "file_pattern"]].astype(object).where(batch.notna(), None).itertuples(index=False):
+                try:
+                    validate(Rule(r.name, "", r.name_regex, r.symbol_kind, r.file_pattern))
+                    problems.append(None)
+                except ValueError as e:
+                    problems.append(str(e))
+            yield batch[own].assign(valid=[p is None for p in problems], problem=problems)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rules.select(own).schema.fields)
+    return rules.mapInPandas(check, f"{fields}, valid boolean, problem string")
+
+
 def required_text(pattern: str) -> str:
     """The longest text that stands in every match of a pattern, as far as plain characters in a row tell; empty if none does."""
     parsed = parser.parse(pattern)

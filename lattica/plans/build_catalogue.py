@@ -175,20 +175,20 @@ def _(s):
     return rules.apply_rules(s, found)
 
 
-#: (name, name_regex, symbol_kind, file_pattern) of rules, and whether they are valid.
-_CANDIDATES = [("a", "x", None, None, True), ("", "x", None, None, False), ("b", "", None, None, False), ("c", "[", None, None, False), ("d", "x", "gadget", None, False), ("e", "x", "macro", "[", False), ("f", r"^\w+$", "type", r"\.h$", True)]
+#: Rules of the parts: name, pattern, kind and file pattern by a part's key and size; some of each kind are no rules.
+_CANDIDATE = {
+    "name": ("CASE WHEN p_size % 6 = 0 THEN '' ELSE p_name END", "name <> ''"),
+    "name_regex": ("CASE p_partkey % 9 WHEN 0 THEN '' WHEN 1 THEN '[' WHEN 2 THEN '(?=x)' WHEN 3 THEN '(a)\\1' WHEN 4 THEN '^\\w+$' ELSE replace(p_name, ' ', '.*') END", "name_regex NOT IN ('', '[', '(?=x)', '(a)\\1')"),
+    "symbol_kind": ("CASE p_partkey % 5 WHEN 0 THEN 'gadget' WHEN 1 THEN 'macro' WHEN 2 THEN 'type' END", "coalesce(symbol_kind, 'type') <> 'gadget'"),
+    "file_pattern": ("CASE p_partkey % 7 WHEN 0 THEN '[' WHEN 1 THEN '\\.h$' END", "coalesce(file_pattern, '') <> '['"),
+}
 
 
-@query("a6_rule_validation", "parts", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(c[4]).lower()})" for i, c in enumerate(_CANDIDATES)) + ") AS v(rule_ord, valid)")
+@query("a6_rule_validation", "parts", f"SELECT p_partkey, {' AND '.join(v for _, v in _CANDIDATE.values())} AS valid FROM r", f"r AS (SELECT p_partkey, {', '.join(f'{e} AS {c}' for c, (e, _) in _CANDIDATE.items())} FROM f_parts)")
 def _(p):
-    def valid(c) -> bool:
-        try:
-            rules.validate(rules.Rule(c[0], "d", *c[1:4]))
-        except ValueError:
-            return False
-        return True
-
-    return p.sparkSession.createDataFrame([(i, valid(c)) for i, c in enumerate(_CANDIDATES)], "rule_ord int, valid boolean")
+    """A rule for each part, validated where the rows are."""
+    spark_sql = {c: e.replace("\\", "\\\\") for c, (e, _) in _CANDIDATE.items()}
+    return rules.validated(p.selectExpr("p_partkey", *(f"{e} AS {c}" for c, e in spark_sql.items()))).select("p_partkey", "valid")
 
 
 @query("s13_include_folders", "nations", "SELECT '-I' || f AS argument FROM (SELECT unnest(['', '']) AS f UNION ALL SELECT '/n' || CAST(n_nationkey AS VARCHAR) FROM nation UNION ALL SELECT '/n' || CAST(n_nationkey AS VARCHAR) || '/in' FROM nation UNION ALL SELECT '/n' || CAST(n_nationkey AS VARCHAR) || '/.h/below' FROM nation)")
@@ -261,10 +261,12 @@ def _counts(tables: dict[str, DataFrame]) -> DataFrame:
     return store.union_all([tables[t].agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("t"), "n") for t in TABLES])
 
 
-@query("w1_initialize", "symbols", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', CAST(0 AS BIGINT))" for t in TABLES) + ") AS v(t, n)")
+@query("w1_initialize", "symbols", " UNION ALL ".join(f"SELECT '{t}' AS t, {'count(*)' if t == 'symbols' else 'CAST(0 AS BIGINT)'} AS n{' FROM f_symbols' if t == 'symbols' else ''}" for t in TABLES))
 def _(s):
+    """An index is created once: what it holds by then stays."""
     own = _snapshots(s)
     own.initialize()
+    own.write(own.read() | {"symbols": s})
     own.initialize()
     return _counts(own.read())
 
