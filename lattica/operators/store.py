@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lattica.operators import name_index
 from lattica.operators.traverse import node_edges
-from lattica.schema import CALLS, KEYS, TABLES, struct_of
+from lattica.schema import CALLS, KEYS, KINDS, TABLES, struct_of
 
 #: The folder of the calls between logical nodes.
 EDGES = "call_edges"
@@ -74,6 +74,10 @@ ORDER = {"call_relations": "callee_id", "reference_relations": "symbol_id", "sym
 BUCKET_ROWS, MOST_BUCKETS = 50_000, 65_536
 
 
+#: The column whose values a bucket's rows are counted by; the others are counted as a whole.
+COUNTED = {"symbols": "kind", "file_info": "parse_status"}
+
+
 def bucket_of(path: Column, buckets: int) -> Column:
     """The bucket of a file: the first 32 bits of its path's MD5."""
     return F.pmod(F.conv(F.substring(F.md5(F.coalesce(path, F.lit(""))), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
@@ -173,6 +177,7 @@ class Snapshots:
                 folders[t] = self._stored(t, typed[t], symbols, buckets)
         folders[EDGES] = self._stored(EDGES, node_edges(self._read("call_relations", folders["call_relations"]), symbols), symbols, buckets)
         folders |= self._indexed(symbols, buckets)
+        self._counted(folders)
         return self._published({"buckets": buckets, "tables": folders}, base)
 
     def _indexed(self, symbols: DataFrame, buckets: int) -> dict[str, dict]:
@@ -181,6 +186,31 @@ class Snapshots:
         bucket = F.shiftright("at", name_index.BUCKET_BITS).cast("int")
         return {name_index.HEADS: heads, name_index.GRAMS: self._stored(name_index.GRAMS, name_index.postings(self._read(name_index.HEADS, heads).withColumn("bucket", bucket)), symbols, buckets)}
 
+    def _counted(self, new: dict[str, dict[str, dict]]) -> None:
+        """Adds to bucket folders that have just been written what they hold: rows by kind, by status, or all. One pass over a
+        column of each."""
+        each = []
+        for t, found in new.items():
+            if t in TABLES and found:
+                tag = F.coalesce(F.col(COUNTED[t]), F.lit("")) if t in COUNTED else F.lit("")
+                number = F.regexp_extract(F.input_file_name(), r"/bucket=(\d+)/", 1)
+                each.append(self._read(t, found).select(F.lit(t).alias("t"), number.alias("bucket"), tag.alias("tag")).groupBy("t", "bucket", "tag").agg(F.count(F.lit(1)).alias("n")))
+        for r in union_all(each).collect() if each else ():  # a row for each table, bucket and kind
+            new[r["t"]][r["bucket"]].setdefault("counts", {})[r["tag"]] = r["n"]
+
+    def counters(self) -> DataFrame:
+        """The statistics of the index (stats.statistics) as sums of its buckets' counters: no table is read, and a change counts
+        anew only the buckets that it writes."""
+        tables = self.manifest()["tables"]
+        rows = lambda t, tag=None: sum(n for x in tables[t].values() for k, n in x.get("counts", {}).items() if tag is None or k == tag)
+        by_kind = {f"total_{k}s": rows("symbols", k) for k in KINDS}
+        found = {
+            "total_files": rows("file_info"), "parsed_files": rows("file_info", "success"), "failed_files": rows("file_info", "failed"), "total_symbols": rows("symbols"), **by_kind,
+            "total_call_relations": rows("call_relations"), "total_include_relations": rows("include_relations"), "total_reference_relations": rows("reference_relations"),
+            "total_inheritance_relations": rows("inheritance_relations"), "elapsed_seconds": 0.0,
+        }
+        return self.spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} {'double' if k == 'elapsed_seconds' else 'long'}" for k in found))
+
     def buckets_of(self, files: dict[str, DataFrame]) -> dict[str, set[str]]:
         """The buckets of some files, path, by table."""
         buckets = self.manifest()["buckets"]
@@ -195,6 +225,7 @@ class Snapshots:
         base = self.current()
         before = self.manifest(base)
         buckets, folders = before["buckets"], {t: dict(x) for t, x in before["tables"].items()}
+        written: dict[str, dict[str, dict]] = {}
 
         def replaced(t: str, df: DataFrame, symbols: DataFrame | None, own: set[str]) -> None:
             if own:
@@ -202,6 +233,7 @@ class Snapshots:
                 if stray := new.keys() - own:
                     raise ValueError(f"rows of {t} in buckets that aren't rewritten: {sorted(stray)}")
                 folders[t] = {k: x for k, x in folders[t].items() if k not in own} | new
+                written[t] = new
 
         typed = {t: tables[t].select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in struct_of(t))) for t in touched}
         replaced("symbols", typed["symbols"], None, touched["symbols"])
@@ -215,6 +247,7 @@ class Snapshots:
         own = touched["symbols"]
         new = self._indexed(self._read("symbols", {k: x for k, x in folders["symbols"].items() if k in own}), buckets)
         folders |= {t: {k: x for k, x in folders[t].items() if k not in own} | new[t] for t in new}
+        self._counted(written)
         return self._published({"buckets": buckets, "tables": folders}, base)
 
     def _read(self, table: str, folders: dict[str, dict]) -> DataFrame:

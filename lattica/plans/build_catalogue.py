@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators import incremental, reports, resolve, rules, stats, store
-from lattica.plans.catalogue import _ALL, _CALLS, _DEDUP, _REP, _results, _search_sql, query
+from lattica.plans.catalogue import _ALL, _CALLS, _COUNT, _DEDUP, _REP, _results, _search_sql, query
 from lattica.schema import TABLES
 from lattica.session import checkpointed, work_folder
 from lattica.sources import extraction, files, rules_file, tree_source
@@ -354,6 +354,22 @@ def _(s):
 def _(s): return _indexed(s).search("d11::", "function", 40)
 
 
+_INCLUDER = "(SELECT min(source_file) FROM f_include_relations)"
+
+
+@query("a0_counters_after_a_change", _ALL, "SELECT " + ", ".join(f"{v} AS {k}" for k, v in _COUNT.items() if k != "total_include_relations") + f", (SELECT count(*) FROM f_include_relations WHERE source_file <> {_INCLUDER}) AS total_include_relations, CAST(0.0 AS DOUBLE) AS elapsed_seconds")
+def _(*tables):
+    """The counters of an index from which a file's includes are deleted, by its manifest alone."""
+    spark = tables[0].sparkSession
+    own = store.Snapshots(spark, f"{work_folder(spark)}/index-{uuid.uuid4().hex}", buckets=4)
+    none = store.empty_tables(spark)
+    own.write(none | dict(zip([t for t in TABLES if t != "unresolved_calls"], tables)))
+    gone = tables[2].agg(F.min("source_file").alias("path")).withColumn("change_type", F.lit(incremental.DELETED))
+    results = extraction.decoded(spark.createDataFrame([], "file string, json string"))
+    incremental.merged(own, gone, results, none["file_info"])
+    return own.counters()
+
+
 @query("w6_copy_on_write", "raw_symbols", f"""SELECT bucket, count(*) AS n, CAST(sum(place) AS BIGINT) AS places, bool_or(moved) AS rewritten
 FROM (SELECT CAST('0x' || substr(md5(file_path), 1, 8) AS BIGINT) % 32 AS bucket, place, CAST('0x' || substr(md5(file_path), 1, 8) AS BIGINT) % 32 IN (SELECT CAST('0x' || substr(md5(f), 1, 8) AS BIGINT) % 32 FROM (VALUES ('src/m3/x.cpp'), ('src/m7/x.cpp')) AS v(f)) AS moved FROM ds WHERE file <> 'src/m7/x.cpp') GROUP BY bucket""", _DEDUP)
 def _(r):

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import incremental, resolve, store
+from lattica.operators import incremental, resolve, stats, store
 from lattica.schema import TABLES
 from lattica.sources import extraction
 
@@ -66,6 +66,9 @@ def test_a_small_change_writes_little(spark, tmp_path):
     assert all(sum(x != before["tables"][t].get(k) for k, x in of.items()) <= 4 for t, of in after["tables"].items())
     assert rows(snaps.read()) == rows(whole(spark, docs | edited))
     assert snaps.edges().count() == snaps.read()["call_relations"].count()
+    own = snaps.read()
+    want = stats.statistics(*(own[t] for t in ("symbols", "call_relations", "include_relations", "reference_relations", "inheritance_relations", "file_info")))
+    assert snaps.counters().first().asDict() == want.first().asDict()
     # the snapshot before is whole still, until what no pointer leads to is deleted
     assert len(before["tables"]["symbols"]) == len(snaps.manifest(first)["tables"]["symbols"])
     incremental.merged(snaps, changed.limit(0), results.limit(0), records.limit(0))
