@@ -3,6 +3,9 @@
 Every round is three joins and an aggregation over links between roots. Roots are the local minima of what is left, so
 each round at least halves the nodes that still have links; a star is done in one. Only hooks and links are written;
 rows are pairs of ids, and frequent keys (the middle of a star) are left to Spark's skew join.
+
+Defined results: links hold no nulls; a link of a node with itself adds nothing, so a node with no other link isn't in the
+result; repeated and reversed links count once; no links give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -328,21 +328,75 @@ def test_bitmap_loses_nothing(spark):
         assert bits <= most and shared.in_bitmap(words, found & np.uint64((1 << bits) - 1)).all()
 
 
+def brute_mix(rows):
+    """How often the mix takes each document of unique ids: first fit in the order of the hash, in fills, then the nearest."""
+    by = collections.defaultdict(list)
+    for i, text, _, source, _ in rows:
+        by[source].append((int(hashlib.md5(f"{i}:mix".encode()).hexdigest()[:15], 16), len(WORD.findall(text or "")), i))
+    sizes = {s: sum(n for _, n, _ in own) for s, own in by.items()}
+    target, times = brute_targets(sizes), {}
+    for s, own in by.items():
+        copies = int(target[s] // sizes[s]) if sizes[s] else 0
+        left, slack, most, fills, inside, full = target[s] - copies * sizes[s], mixing.SLACK * target[s], float("inf"), 0, set(), copies >= 2
+        for _, n, i in sorted(own):
+            if n <= most and fills <= mixing.FILLS and not full:
+                if n <= left:
+                    left -= n
+                    inside.add(i)
+                else:  # a fill ends behind what is too large
+                    most, fills, full = left, fills + 1, left <= slack
+        rest = sorted((n, h, i) for h, n, i in own if i not in inside and 0 < n < 2 * left)
+        if rest and left > slack and copies < 2:
+            inside.add(rest[0][2])
+        times |= {i: min(2, copies + (i in inside)) for _, _, i in own}
+    return times
+
+
 def test_pipeline(spark, tmp_path):
-    pytest.importorskip("public_tokenizers")
+    """Every stage of the chain against brute force over what its predecessor left."""
+    P = pytest.importorskip("public_tokenizers")
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    rows = documents()
+    import tiktoken
+
+    r = random.Random(8)
+    key = lambda: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32))
+    rows = [(i, f"{text} id_{key()} password = {key()[:9]}" if text and i % 4 == 0 else text, lang, source, n) for i, text, lang, source, n in documents(n=200)]
+    rows = [(i, text, lang, source, len(text) if text is not None else None) for i, text, lang, source, _ in rows]
     spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs, checked = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         before, docs = docs, shared.written(stage(spark, docs, str(tmp_path)), name)
+        old, new = ([tuple(x) for x in df.collect()] for df in (before, docs))
         if k < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == before.columns
-        if name == "near_duplicates":
-            part = brute_components([tuple(r) for r in before.collect()], 5, 80)
-            assert {r["doc_id"] for r in docs.collect()} == {i for i, (_, c) in part.items() if i == c}
-    assert docs.count() > 0
+        if name == "quality_classifier":
+            scores = {x["doc_id"]: x["score"] for x in nbsvm.scored(before, nbsvm.train(before, labels)).collect()}
+            want = [x for x in old if scores[x[0]] >= 0.7]
+            assert 0 < len(want) < len(old)
+        elif name == "near_duplicates":
+            part = brute_components(old, 5, 80)
+            want = [x for x in old if part[x[0]][1] == x[0]]
+        elif name == "secret_scans":
+            want = []
+            for i, text, lang, source, n in old:
+                hidden = set()
+                for a, b, _ in secrets.find(text or ""):
+                    hidden |= set(range(a, b))
+                clean = None if text is None else "".join("[REDACTED]" if j in hidden and j - 1 not in hidden else "" if j in hidden else c for j, c in enumerate(text))
+                want.append((i, clean, lang, source, len(clean) if hidden else n))
+            assert any("[REDACTED]" in (x[1] or "") for x in want)
+        elif name == "mix_sources":
+            times = brute_mix(old)
+            want = [x for x in old for _ in range(times[x[0]])]
+        else:
+            want = [(i, library.encode_ordinary(text or "")) for i, text, *_ in old]
+        assert sorted(map(str, new)) == sorted(map(str, want)), name
+        checked.append(len(new))
+    assert min(checked) > 20
 
 
 def test_jaccard_of_one_id_with_two_texts(spark):
