@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.text import short_name
-from lattica.operators import analyzers, client, incremental, lookup, reports, resolve, rules, search, stats, store, traverse
+from lattica.operators import analyzers, client, digest_tree, incremental, lookup, reports, resolve, rules, search, stats, store, traverse
 from lattica.plans.fixtures import ctes, frame
 from lattica.session import checkpointed
 from lattica.sources import compile_db, files
@@ -360,6 +360,10 @@ FROM f_file_info f FULL OUTER JOIN (SELECT * FROM f_disk UNION ALL SELECT * FROM
 def _(f, d, n): return incremental.changes(d.unionByName(n), f)
 
 
+@query("i1_digest_tree", "file_info disk disk_new", _CHANGES)
+def _(f, d, n): return digest_tree.changes(d.unionByName(n), f)
+
+
 @query("s2_file_hash", "texts", "SELECT path, sha256(text) AS content_hash FROM f_texts")
 def _(t): return files.hashes(t.select("path", F.encode("text", "UTF-8").alias("content"), F.lit(None).cast("string").alias("error")))
 
