@@ -3,9 +3,10 @@
 Vectors are dealt to shards of bounded size by a hash of their id. Each shard's ball tree is built once and written to a
 file in the shared folder. A search visits the tree's nodes in the order of their upper bounds q.centre + |q| * radius, for
 all queries of a block whose bound reaches their current k-th score; leaves are scored by one matrix product. The current
-k-th scores are shared: each query is first searched in one shard, by its hash, and what it reached there bounds the search
-in all the others from the start. For that, queries are written as files of blocks of bounded size; each tree's task reads
-one block after the other. So no vector is sent to another task but for building its shard.
+k-th scores are shared: each query is first searched in one shard, by its hash, then in waves of ever more shards behind
+that one, so that all trees work in each wave, for other queries each. The k best of all shards so far bound the search of a wave
+from its start. For that, queries are written as files of blocks of bounded size; each tree's task reads one block after the
+other. So no vector is sent to another task but for building its shard, and no more than k candidates of a query and a tree.
 
 Scores are integers: components are floor(scale * x). Ties go to the smaller vec_id. Defined results: vectors that are
 null, or hold null or non-finite components, take no part; vectors of different length aren't compared; null ids take no
@@ -24,16 +25,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.files import open_file, write_file
-from lattica.llm.shared import new_folder, written
+from lattica.llm.shared import drop_folder, drop_table, new_folder, written
 
 #: Tasks that search at most; a task then has several trees.
 MOST_TASKS = 20_000
-#: Parts that a query's candidates are first cut down in, so that no list of them is long.
-PARTS = 32
+#: How many times more shards a query has met after a wave than before it.
+WIDER = 4
 SHARD_ROWS, BLOCK_ROWS, LEAF = 16_384, 2_048, 128
 SCHEMA = "query_id long, rank int, vec_id long, score long"
 _PART = "query_id long, vec_id long, score long"
@@ -192,8 +193,8 @@ def _blocks(queries: DataFrame, blocks: int, folder: str) -> None:
     written(queries.repartitionById(blocks, F.col("block")).mapInArrow(write, "block int"), "topk-blocks")
 
 
-def _searched(trees: DataFrame, blocks: int, folder: str, k: int) -> DataFrame:
-    """What every tree but the home one has for the queries of all blocks."""
+def _searched(trees: DataFrame, shards: int, met: tuple[int, int], blocks: int, folder: str, k: int) -> DataFrame:
+    """What the trees have for the queries whose home is as many shards before them as a wave says, from met[0] to below met[1]."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,19 +205,26 @@ def _searched(trees: DataFrame, blocks: int, folder: str, k: int) -> DataFrame:
                         q = np.load(io.BytesIO(f.read()))
                     if f"ids-{dim}" not in q:
                         continue
-                    away = np.flatnonzero(q[f"home-{dim}"] != shard)
-                    if len(away):
-                        found = _found(tree, q[f"ids-{dim}"][away], q[f"v-{dim}"][away], q[f"floor-{dim}"][away], k)
+                    behind = (shard - q[f"home-{dim}"]) % shards
+                    now = np.flatnonzero((behind >= met[0]) & (behind < met[1]))
+                    if len(now):
+                        found = _found(tree, q[f"ids-{dim}"][now], q[f"v-{dim}"][now], q[f"floor-{dim}"][now], k)
                         yield pa.RecordBatch.from_pydict(found)
 
     tasks = max(1, min(trees.count(), MOST_TASKS))
     return trees.repartition(tasks, "dim", "shard").mapInArrow(run, _PART)
 
 
-def _best(found: DataFrame, k: int, *keys: str) -> DataFrame:
-    """The k best (s, vec_id) of each query within the keys."""
-    lists = found.groupBy("query_id", *keys).agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "vec_id"))), 1, k).alias("best"))
-    return lists.select("query_id", F.posexplode("best").alias("pos", "b")).select("query_id", "pos", "b.s", "b.vec_id")
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score of the k best of each query; Spark cuts each partition down to k before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+
+
+def _with_floor(queries: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """queries with floor: the k-th score so far."""
+    reached = best.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
+    return queries.join(reached, "vec_id", "left").select("vec_id", "dim", "v", "home", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), "block")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -237,13 +245,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, sh
         return pd.DataFrame(_found(BallTree.load(right["path"][0]), left["vec_id"].to_numpy(), _matrix(left["v"]), np.full(len(left), -np.inf), k))
 
     own = trees.select("dim", F.col("shard").alias("home"), "path")
-    found = written(queries.groupBy("dim", "home").cogroup(own.groupBy("dim", "home")).applyInPandas(at_home, _PART), "topk-home")
-    if shards > 1:
-        reached = found.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
-        floor = F.coalesce(F.when(F.col("n") >= k, F.col("least").cast("double")), F.lit(float("-inf")))
-        bounded = queries.join(reached.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("floor", floor)
-        _blocks(bounded.select("vec_id", "dim", "v", "home", "floor", "block"), blocks, folder)
-        found = found.unionByName(_searched(trees, blocks, folder, k))
-    ranked = found.select("query_id", (-F.col("score")).alias("s"), "vec_id", F.pmod(F.xxhash64("vec_id"), F.lit(PARTS)).alias("part"))
-    ranked = _best(_best(ranked, k, "part").select("query_id", "s", "vec_id"), k)
-    return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "vec_id", (-F.col("s")).alias("score"))
+    at_first = queries.groupBy("dim", "home").cogroup(own.groupBy("dim", "home")).applyInPandas(at_home, _PART)
+    best, met = written(_best(at_first, k), "topk-best", asked * k), 1
+    while met < shards:
+        wave = f"{folder}/wave-{met}"
+        _blocks(_with_floor(queries, best, k), blocks, wave)
+        found = _searched(trees, shards, (met, met * WIDER), blocks, wave, k)
+        found = best.select("query_id", "vec_id", "score").unionByName(found)
+        best, old, met = written(_best(found, k), "topk-best", asked * k), best, met * WIDER
+        drop_table(old)
+        drop_folder(vectors.sparkSession, wave)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
