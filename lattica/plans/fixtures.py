@@ -85,6 +85,9 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     first, _, rest = source.partition(" ")
     df = spark.read.parquet(f"{sf_dir}/{first}.parquet")
     if rest:
+        # hashed first, so that texts don't move for the join
+        df = df.selectExpr("*", "sha2(text, 256) AS text_hash").drop("text")
+        columns = [(c, e.replace("{sha(text)}", "text_hash")) for c, e in columns]
         df = df.join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "left")
     needs_n = any("{n}" in e for _, e in columns)
     n = str(spark.read.parquet(f"{sf_dir}/part.parquet").count()) if needs_n else ""
