@@ -1,7 +1,7 @@
 """From extraction results to the graph's tables: de-duplication and name resolution, all as joins and aggregations.
 
-Input rows are one file each: `file` and the nested columns of schema.EXTRACTION. Ids are hashes of natural keys, so they
-stay the same over incremental runs.
+Input rows are one file each: `file` and the nested columns of schema.EXTRACTION; or, with a column `part`, one part of a file,
+so that no row grows with its file. Ids are hashes of natural keys, so they stay the same over incremental runs.
 """
 
 from __future__ import annotations
@@ -12,12 +12,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattica.schema import decoded
+from lattica.schema import PART_ROWS, decoded
+
+
+def _elements(results: DataFrame, field: str) -> DataFrame:
+    """file, ordinal, _x: each element of a nested column, and its place in the file's order over all its parts."""
+    part = F.coalesce("part", F.lit(0)) if "part" in results.columns else F.lit(0)
+    each = results.select("file", part.alias("_part"), F.posexplode(field).alias("_pos", "_x"))
+    return each.select("file", (F.col("_part") * PART_ROWS + F.col("_pos")).alias("ordinal"), "_x")
 
 
 def exploded(results: DataFrame, field: str) -> DataFrame:
     """One row for each element of a nested column, with the file it is from and its ordinal there."""
-    return results.select("file", F.posexplode(field).alias("ordinal", "_x")).select("file", "ordinal", "_x.*")
+    return _elements(results, field).select("file", "ordinal", "_x.*")
 
 
 def file_order(path: Column) -> Column:
@@ -67,7 +74,7 @@ class Resolved:
 
 def calls_in_file(results: DataFrame, names: DataFrame) -> Resolved:
     """Calls with both ends in their own file, and the others."""
-    raw = results.select("file", F.posexplode("calls").alias("ordinal", "_x")).select("file", "ordinal", "_x.caller", "_x.callee", F.col("_x.file").alias("file_path"), "_x.line", "_x.column", "_x.is_virtual", "_x.is_indirect")
+    raw = _elements(results, "calls").select("file", "ordinal", "_x.caller", "_x.callee", F.col("_x.file").alias("file_path"), "_x.line", "_x.column", "_x.is_virtual", "_x.is_indirect")
     both = _named(_named(raw, names, "caller", "caller_id", "left", True), names, "callee", "callee_id", "left", True)
     ok = F.col("caller_id").isNotNull() & F.col("callee_id").isNotNull()
     return Resolved(both.where(ok), both.where(~ok).drop("caller_id", "callee_id"))
@@ -124,7 +131,7 @@ def with_resolved_paths(includes: DataFrame, files: DataFrame, folders: list[str
 
 def reference_rows(results: DataFrame, names: DataFrame) -> DataFrame:
     """References to names of their own file; those to other names are dropped."""
-    raw = results.select("file", F.posexplode("references").alias("ordinal", "_x")).select(
+    raw = _elements(results, "references").select(
         "file", "ordinal", "_x.symbol_name", F.col("_x.file").alias("file_path"), "_x.line", "_x.column", "_x.ref_kind"
     )
     found = _named(raw, names, "symbol_name", "symbol_id", "inner", True)

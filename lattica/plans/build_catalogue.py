@@ -306,7 +306,7 @@ def _(r, c):
     spark = r.sparkSession
     none = F.array()
     whole = F.struct(*(F.coalesce(n, none).alias(n) for n in ("symbols", "calls")), none.alias("includes"), none.alias("inherits"))
-    results = extraction.decoded(_results(r, c).select("file", F.to_json(whole).alias("json")))
+    results = extraction.decoded(_results(r, c).select("file", "part", F.to_json(whole).alias("json")))
     own = store.Snapshots(spark, f"{work_folder(spark)}/index-{uuid.uuid4().hex}", buckets=8)
     own.write(store.empty_tables(spark) | resolve.resolved_tables(results))
     changed = spark.createDataFrame([("src/m3/x.cpp", incremental.DELETED)], "path string, change_type string")
@@ -327,7 +327,7 @@ def _(r, c):
     spark = r.sparkSession
     none = F.array()
     whole = F.struct(*(F.coalesce(n, none).alias(n) for n in ("symbols", "calls")), none.alias("includes"), none.alias("inherits"))
-    arriving = _results(r, c).select("file", F.lit("h").alias("content_hash"), F.to_json(whole).alias("json"), F.pmod(F.xxhash64("file"), F.lit(6)).cast("int").alias("turn"))
+    arriving = _results(r, c).select("file", "part", F.lit("h").alias("content_hash"), F.to_json(whole).alias("json"), F.pmod(F.xxhash64("file"), F.lit(6)).cast("int").alias("turn"))
     root = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
     arriving = checkpointed(arriving)
     for first in (0, 3):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lattica.functions.text import short_name
 from lattica.operators import analyzers, client, digest_tree, incremental, lookup, reports, resolve, rules, search, stats, store, traverse
 from lattica.plans.fixtures import ctes, frame
+from lattica.schema import PART_ROWS
 from lattica.session import checkpointed
 from lattica.sources import compile_db, files
 
@@ -384,15 +385,15 @@ def _(r):
 
 
 def _results(symbols: DataFrame, calls: DataFrame | None = None, references: DataFrame | None = None) -> DataFrame:
-    """Rows as an extraction yields them: nested by file, in ordinal order."""
+    """Rows as an extraction yields them: nested by file and part of it, in ordinal order."""
     def nested(df: DataFrame, field: str, names: list[str]) -> DataFrame:
-        return df.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("ordinal", *names))).alias(field))
+        return df.groupBy("file", F.floor(F.col("ordinal") / PART_ROWS).cast("int").alias("part")).agg(F.array_sort(F.collect_list(F.struct("ordinal", *names))).alias(field))
 
     out = nested(symbols, "symbols", ["name", "qualified_name", "kind", "sub_kind", "file_path", "line", "column", "end_line", "is_definition", "return_type", "parameters", "access", "attributes"])
     if calls is not None:
-        out = out.join(nested(calls.withColumn("_f", F.col("file")), "calls", ["caller", "callee", F.col("_f").alias("file"), "line", "column", "is_virtual", "is_indirect", F.col("ordinal").alias("o")]), "file", "full_outer")
+        out = out.join(nested(calls.withColumn("_f", F.col("file")), "calls", ["caller", "callee", F.col("_f").alias("file"), "line", "column", "is_virtual", "is_indirect", F.col("ordinal").alias("o")]), ["file", "part"], "full_outer")
     if references is not None:
-        out = out.join(nested(references.withColumn("_f", F.col("file")), "references", ["symbol_name", F.col("_f").alias("file"), "line", "column", "ref_kind", F.col("ordinal").alias("o")]), "file", "full_outer")
+        out = out.join(nested(references.withColumn("_f", F.col("file")), "references", ["symbol_name", F.col("_f").alias("file"), "line", "column", "ref_kind", F.col("ordinal").alias("o")]), ["file", "part"], "full_outer")
     return out
 
 

@@ -60,6 +60,8 @@ includes array<struct<source_file:string,target_file:string,line:int,is_system:b
 inherits array<struct<derived:string,base:string,access:string,is_virtual:boolean>>,
 references array<struct<symbol_name:string,file:string,line:int,`column`:int,ref_kind:string>>
 """
+#: A long result may come in parts: rows of one file with a column `part`, from 0, each with so many rows of a kind at most.
+PART_ROWS = 10_000
 #: Fields that an extraction result must have; the others may be absent.
 REQUIRED = {
     "symbols": ("name", "qualified_name", "kind", "file_path", "line", "column", "is_definition"),

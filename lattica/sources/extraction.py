@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.schema import EXTRACTION, REQUIRED
+from lattica.schema import EXTRACTION, PART_ROWS, REQUIRED
 from lattica.sources.lexical import lexical as lexical  # noqa: PLC0414  the extractor that needs no compiler
 
+#: The longest text in a document; Spark's own bound, 20 million characters, takes longer ones for broken.
+LONGEST = str(2**31 - 1)
 #: An extractor maps (path, text) to a document with the fields of schema.EXTRACTION.
 Extractor = Callable[[str, str], dict]
 
@@ -24,8 +26,10 @@ def read_json(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
 
 def decoded(documents: DataFrame) -> DataFrame:
     """file, json -> file and nested columns. Fields of REQUIRED must be there, others may be absent; nested JSON within
-    parameters and attributes stays text. Null documents have no rows of any kind (a filter on them may run later)."""
-    parsed = documents.select("file", F.col("json").isNotNull().alias("there"), F.from_json("json", EXTRACTION, {"mode": "FAILFAST"}).alias("r"))
+    parameters and attributes stays text. Null documents have no rows of any kind (a filter on them may run later). A column
+    `part` is kept; a part with over PART_ROWS rows of a kind fails, since its ordinals would be those of the next."""
+    part = ["part"] if "part" in documents.columns else []
+    parsed = documents.select("file", *part, F.col("json").isNotNull().alias("there"), F.from_json("json", EXTRACTION, {"mode": "FAILFAST", "maxStringLen": LONGEST}).alias("r"))
     checked = []
     for field, names in REQUIRED.items():
         value = F.col(f"r.{field}")
@@ -33,8 +37,11 @@ def decoded(documents: DataFrame) -> DataFrame:
         absent = F.lit(False) if field == "references" else value.isNull()
         error = F.raise_error(F.concat(F.lit(f"a required field of {field} is missing in "), "file"))
         kept = F.when(F.col("there") & (absent | F.coalesce(missing, F.lit(False))), error.cast(parsed.select(value).schema[0].dataType)).otherwise(F.coalesce(value, F.array().cast(parsed.select(value).schema[0].dataType)))
+        if part:
+            many = F.raise_error(F.concat(F.lit(f"too many rows of {field} in a part of "), "file"))
+            kept = F.when(F.col("part").isNotNull() & (F.size(value) > PART_ROWS), many.cast(parsed.select(value).schema[0].dataType)).otherwise(kept)
         checked.append(kept.alias(field))
-    return parsed.select("file", *checked)
+    return parsed.select("file", *part, *checked)
 
 
 def _lacks(names: tuple[str, ...]) -> Callable[[Column], Column]:
@@ -47,6 +54,11 @@ def _lacks(names: tuple[str, ...]) -> Callable[[Column], Column]:
     return any_null
 
 
+def sizes(results: DataFrame) -> DataFrame:
+    """file, n: the symbols of each file, over all its parts."""
+    return results.groupBy("file").agg(F.sum(F.size("symbols")).cast("long").alias("n"))
+
+
 def extracted(files: DataFrame, extractor: Extractor) -> DataFrame:
     """file, json, error, millis of files(path, content): the extractor runs on the executors; one that fails yields no
     document but its message."""
@@ -69,8 +81,7 @@ def extracted(files: DataFrame, extractor: Extractor) -> DataFrame:
 
 def file_records(files: DataFrame, runs: DataFrame, results: DataFrame, now: int) -> DataFrame:
     """file_info rows: failed files have an empty hash and their message."""
-    sizes = results.select("file", F.size("symbols").cast("long").alias("n"))
-    joined = runs.join(files.select(F.col("path").alias("file"), F.sha2("content", 256).alias("hash")), "file").join(sizes, "file", "left")
+    joined = runs.join(files.select(F.col("path").alias("file"), F.sha2("content", 256).alias("hash")), "file").join(sizes(results), "file", "left")
     failed = F.col("error").isNotNull()
     return joined.select(
         F.col("file").alias("file_path"), F.lit(now).cast("long").alias("last_modified"), F.when(failed, "").otherwise(F.col("hash")).alias("content_hash"),
