@@ -108,18 +108,21 @@ def _(p):
     for mark, value in (("\x05", F.col("p_partkey") % 50), ("\x06", F.col("p_size")), ("\x07", F.col("p_partkey"))):
         parts = F.replace(parts, F.lit(mark), value.cast("string"))
     text = F.translate(parts, "\x01\x02", "{}")
-    own = p.select(F.concat(F.lit("gen/p"), F.col("p_partkey").cast("string"), F.lit(".cpp")).alias("path"), text.cast("binary").alias("content"))
+    # a part's row is a few bytes and its file's reading is work: the table's own splits would keep few cores busy
+    dealt = p.select("p_partkey", "p_size").repartition(4 * p.sparkSession.sparkContext.defaultParallelism, "p_partkey")
+    own = dealt.select(F.concat(F.lit("gen/p"), F.col("p_partkey").cast("string"), F.lit(".cpp")).alias("path"), text.cast("binary").alias("content"))
     r = extraction.decoded(extraction.extracted(own, extraction.lexical).where("json IS NOT NULL").select("file", "json"))
 
-    def rows(field: str, what: str, name, more: list, line=F.col("line")) -> DataFrame:
-        each = r.select(F.col("file").alias("_of"), F.explode(field).alias("_x")).select("_of", "_x.*")
-        return each.select(F.col("_of").alias("file"), F.lit(what).alias("what"), name.alias("name"), F.concat_ws(" ", *more).alias("more"), line.cast("int").alias("line"))
+    def rows(field: str, what: str, name: str, more: list[str], line: bool = True):
+        fact = lambda x: F.struct(F.lit(what).alias("what"), x[name].alias("name"), F.concat_ws(" ", *(x[m].cast("string") for m in more)).alias("more"), (x["line"] if line else F.lit(0)).alias("line"))
+        return F.transform(field, fact)
 
-    c = F.col
-    return store.union_all([
-        rows("symbols", "symbol", c("qualified_name"), [c("kind"), c("sub_kind"), c("return_type"), c("access")]), rows("calls", "call", c("caller"), [c("callee"), c("is_virtual").cast("string")]),
-        rows("includes", "include", c("target_file"), [c("is_system").cast("string")]), rows("inherits", "inherit", c("derived"), [c("base"), c("access")], F.lit(0)), rows("references", "reference", c("symbol_name"), [c("ref_kind")]),
-    ])
+    # one explode of all kinds: a union of five would run the extractor five times
+    facts = F.concat(
+        rows("symbols", "symbol", "qualified_name", ["kind", "sub_kind", "return_type", "access"]), rows("calls", "call", "caller", ["callee", "is_virtual"]), rows("includes", "include", "target_file", ["is_system"]),
+        rows("inherits", "inherit", "derived", ["base", "access"], False), rows("references", "reference", "symbol_name", ["ref_kind"]),
+    )
+    return r.select("file", F.explode(facts).alias("x")).select("file", "x.*")
 
 
 @query("s5h_resolved_includes", "include_relations", """SELECT id, source_file, target_file, is_system, CASE WHEN EXISTS (SELECT 1 FROM f_include_relations o WHERE o.source_file = 'inc/' || i.target_file) THEN 'inc/' || target_file END AS resolved_path FROM f_include_relations i""")

@@ -14,6 +14,8 @@ from lattica.sources.lexical import lexical as lexical  # noqa: PLC0414  the ext
 
 #: The longest text in a document; Spark's own bound, 20 million characters, takes longer ones for broken.
 LONGEST = str(2**31 - 1)
+#: Characters of documents that a task holds before it hands them on.
+HELD = 4 << 20
 #: An extractor maps (path, text) to a document with the fields of schema.EXTRACTION.
 Extractor = Callable[[str, str], dict]
 
@@ -66,6 +68,13 @@ def extracted(files: DataFrame, extractor: Extractor) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import time
 
+        def flushed() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), (pa.string(), pa.string(), pa.string(), pa.int64()))], names=["file", "json", "error", "millis"])
+            held.clear()
+            return out
+
+        held: list[tuple] = []
+        size = 0
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 began, document, error = time.monotonic(), None, None
@@ -74,7 +83,13 @@ def extracted(files: DataFrame, extractor: Extractor) -> DataFrame:
                 except Exception as e:  # noqa: BLE001  any failure of a plug-in is that file's failure
                     error = f"{type(e).__name__}: {e}"
                 took = int((time.monotonic() - began) * 1000)
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([document], pa.string()), pa.array([error], pa.string()), pa.array([took], pa.int64())], names=["file", "json", "error", "millis"])
+                held.append((path, document, error, took))
+                size += len(document or "")
+                if size >= HELD:
+                    yield flushed()
+                    size = 0
+        if held:
+            yield flushed()
 
     return files.select("path", "content").mapInArrow(run, "file string, json string, error string, millis long")
 

@@ -143,3 +143,11 @@ def test_order_of_arrivals(spark, tmp_path):
         assert sorted(names.values()) == ["far", "main"]
         assert [(names[r["caller_id"]], names[r["callee_id"]]) for r in tables["call_relations"].collect()] == [("main", "far")]
         assert tables["unresolved_calls"].count() == 0 and {r["symbol_count"] for r in tables["file_info"].collect()} == {1}
+
+
+def test_the_extractor_runs_once_on_all_cores(spark):
+    import __spark_entry__ as entry
+
+    df = entry.queries()["s5_lexical_extraction"](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert df.rdd.getNumPartitions() >= 4
