@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.schema import PART_ROWS, decoded
+from lattica.session import stored
 
 
 def _elements(results: DataFrame, field: str) -> DataFrame:
@@ -74,12 +75,20 @@ class Resolved:
 
 def calls_in_file(results: DataFrame, names: DataFrame) -> Resolved:
     """Calls with both ends in their own file, and the others."""
-    raw = _elements(results, "calls").select("file", "ordinal", "_x.caller", "_x.callee", F.col("_x.file").alias("file_path"), "_x.line", "_x.column", "_x.is_virtual", "_x.is_indirect")
-    both = _named(_named(raw, names, "caller", "caller_id", "left", True), names, "callee", "callee_id", "left", True)
+    return _resolved(_both_ends(results, names))
+
+
+def _resolved(both: DataFrame) -> Resolved:
     ok = F.col("caller_id").isNotNull() & F.col("callee_id").isNotNull()
     return Resolved(both.where(ok), both.where(~ok).drop("caller_id", "callee_id"))
 
 
+def _both_ends(results: DataFrame, names: DataFrame) -> DataFrame:
+    """Calls with the ids of their ends in their own file, null where it has none."""
+    raw = _elements(results, "calls").select("file", "ordinal", "_x.caller", "_x.callee", F.col("_x.file").alias("file_path"), "_x.line", "_x.column", "_x.is_virtual", "_x.is_indirect")
+    return _named(_named(raw, names, "caller", "caller_id", "left", True), names, "callee", "callee_id", "left", True)
+
+
 def calls_across_files(unresolved: DataFrame, names: DataFrame) -> DataFrame:
     """Calls whose ends both exist somewhere in the project."""
     return _named(_named(unresolved, names, "caller", "caller_id", "inner", False), names, "callee", "callee_id", "inner", False)
@@ -148,10 +157,12 @@ def inheritance_rows(results: DataFrame, names: DataFrame, strip_keywords: bool
 
 
 def resolved_tables(results: DataFrame, project_id: str = "default") -> dict[str, DataFrame]:
-    """All tables but file_info from the extraction results of a project."""
-    symbols = deduplicated_symbols(raw_symbols(results), project_id)
+    """All tables but file_info from the extraction results of a project. What several of them are made of is stored once:
+    the results, whose documents would be read anew for each, the symbols, and the calls as their own files resolve them."""
+    results = stored(results)
+    symbols = stored(deduplicated_symbols(raw_symbols(results), project_id))
     own = names_in_file(symbols)
-    near = calls_in_file(results, own)
+    near = _resolved(stored(_both_ends(results, own)))
     across = calls_across_files(near.unresolved, names_in_project(symbols))
     calls = near.calls.unionByName(across)
     return {

@@ -71,3 +71,17 @@ def test_parts_arrive_as_one_change(spark, tmp_path):
     assert after() == (["f", "g"], 1, [(2, "success")])
     (folder / "2.json").write_text(arrival(one, 0, "2"))
     assert after() == (["f"], 0, [(1, "success")])
+
+
+def test_documents_are_read_once_for_all_tables(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    documents = spark.createDataFrame([("a.c", document([symbol("f", 1)], [("f", "f")])), ("b.c", document([symbol("g", 1)]))], "file string, json string")
+    tables = resolve.resolved_tables(extraction.decoded(documents.mapInPandas(counted, documents.schema)))
+    assert {t: df.count() for t, df in tables.items() if t in ("symbols", "call_relations", "unresolved_calls")} == {"symbols": 2, "call_relations": 1, "unresolved_calls": 0}
+    assert read.value == 2
